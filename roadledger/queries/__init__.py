@@ -1,4 +1,4 @@
 """Registered queries: each operator on the given tables, with its SQL counterpart."""
 
 from roadledger.queries.base import REGISTRY
-from roadledger.queries import spending  # noqa: F401
+from roadledger.queries import audits, shapes, spending  # noqa: F401
