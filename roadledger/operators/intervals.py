@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadledger.operators.ordered import (HOT_ROWS, first_row, group_id, join_back, lookahead,
-                                          ordered, with_group_values)
+from roadledger.operators.ordered import (HOT_ROWS, drop_parts, first_row, group_id, join_back,
+                                          ordered, tag_parts, with_group_values)
+from roadledger.session import cut_lineage
 
 
 def chain(df: DataFrame, keys: list[str], start: str, end: str, tie: list[str],
@@ -29,8 +30,8 @@ def chain(df: DataFrame, keys: list[str], start: str, end: str, tie: list[str],
     prev = {f"__p_{c}": c for c in breaks} | ({"__p_end": end} if tolerance is not None else {})
     marked = df.withColumn("__solo", solo if solo_if_null else F.lit(False))
     work = marked.where(~F.col("__solo"))
-    work = work.withColumn("__one", F.lit(1))
-    work = ordered(work, keys, order, lag=prev | {"__seen": "__one"}, split=split, hot_rows=hot_rows)
+    work = tag_parts(work.withColumn("__one", F.lit(1)), keys, split, hot_rows)
+    work = ordered(work, keys, order, lag=prev | {"__seen": "__one"})
     tests = [F.col("__seen").isNull()]
     if tolerance is not None:
         # a missing border counts as a break, like a comparison with a value above every number
@@ -38,7 +39,7 @@ def chain(df: DataFrame, keys: list[str], start: str, end: str, tie: list[str],
     tests += [F.coalesce(F.abs(F.col(c) - F.col(f"__p_{c}")) > lim, F.lit(True))
               for c, lim in breaks.items()]
     work = work.withColumn("__break", reduce(lambda a, b: a | b, tests).cast("bigint"))
-    work = ordered(work, keys, order, total={out: "__break"}, split=split, hot_rows=hot_rows)
+    work = drop_parts(ordered(work, keys, order, total={out: "__break"}))
     work = work.drop("__break", "__one", "__seen", "__solo", *prev)
     work = work.withColumn("chain_key", group_id([*keys, out]))
     if not solo_if_null:
@@ -69,11 +70,10 @@ def link_gaps(df: DataFrame, keys: list[str], start: str, end: str, tie: list[st
     A gap is cancelled when the previous or next gap of the route has almost the same size.
     """
     order = [start, *tie]
-    df = ordered(df, keys, order, lag={"__p": end}, split=split, hot_rows=hot_rows)
+    df = ordered(tag_parts(df, keys, split, hot_rows), keys, order, lag={"__p": end})
     gap = F.round(F.col(start) - F.col("__p"), 9)
     df = df.withColumn("link_gap", F.when(F.abs(gap) < zero, F.lit(0.0)).otherwise(gap)).drop("__p")
-    df = ordered(df, keys, order, lag={"__g0": "link_gap"}, lead={"__g1": "link_gap"},
-                 split=split, hot_rows=hot_rows)
+    df = drop_parts(ordered(df, keys, order, lag={"__g0": "link_gap"}, lead={"__g1": "link_gap"}))
 
     def close(other: str) -> Column:
         near = F.abs(F.abs(F.col(other)) - F.abs(F.col("link_gap"))) <= cancel
@@ -172,10 +172,9 @@ def drop_overlaps(df: DataFrame, keys: list[str], start: str, length: str, tie:
     block replays the scan from its true entry. A long route is never held by one task.
     """
     order = [start, *tie]
-    df = lookahead(df, keys, order, start, depth + 2, "__next", split, hot_rows)
-    df = ordered(df, keys, order, rank="__rn", split=split, hot_rows=hot_rows)
+    df = ordered(df, keys, order, rank="__rn", ahead={"__next": (start, depth + 2)}, split=split, hot_rows=hot_rows)
     end = F.col(start) + F.col(length)
-    nxt = [F.element_at("__next", i) for i in range(1, depth + 3)]
+    nxt = [F.try_element_at("__next", F.lit(i)) for i in range(1, depth + 3)]
     continuous = F.coalesce(F.abs(nxt[0] - end) < tolerance, F.lit(False))
     better = [F.coalesce(F.abs(nxt[i + 1] - end) < F.abs(nxt[i] - end), F.lit(False))
               for i in range(depth)]
@@ -186,6 +185,7 @@ def drop_overlaps(df: DataFrame, keys: list[str], start: str, length: str, tie:
     jump = F.when(nxt[0].isNull() | continuous, 1).otherwise(dropped + 2)
     df = df.withColumns({"__drop": dropped.cast("int"), "__jump": jump.cast("int"),
                          "__block": F.floor((F.col("__rn") - 1) / block_rows)}).drop("__next")
+    df = cut_lineage(df)  # read three times below
     names = [f"__key{i}" for i in range(len(keys))]
     types = [df.schema[k].dataType.simpleString() for k in keys]
     steps = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)],

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadledger.functions.numeric import METRES_PER_FOOT, METRES_PER_MILE
-from roadledger.operators.ordered import HOT_ROWS, join_back, ordered, with_group_values
+from roadledger.operators.ordered import HOT_ROWS, drop_parts, ordered, tag_parts
 
 # GRS80 ellipsoid and the parameters of the CONUS equal-area projection.
 _A, _E2 = 6378137.0, 0.00669438002290
@@ -41,13 +41,14 @@ def project_albers(lon: Column, lat: Column) -> tuple[Column, Column]:
 def segments(vertices: DataFrame, keys: list[str], seq: str = "seq", split: Column | None = None,
              hot_rows: int = HOT_ROWS) -> DataFrame:
     """Consecutive vertex pairs with number, length and the distance of their start."""
-    v = ordered(vertices.select(*keys, seq, "x", "y"), keys, [seq], lead={"x2": "x", "y2": "y"},
-                rank="__rn", split=split, hot_rows=hot_rows)
+    v = tag_parts(vertices.select(*keys, seq, "x", "y"), keys, split, hot_rows)
+    part = [c for c in v.columns if c not in (*keys, seq, "x", "y")]
+    v = ordered(v, keys, [seq], lead={"x2": "x", "y2": "y"}, rank="__rn")
     v = v.where(F.col("x2").isNotNull())
     length = F.sqrt(F.pow(F.col("x2") - F.col("x"), 2) + F.pow(F.col("y2") - F.col("y"), 2))
-    v = v.select(*keys, seq, (F.col("__rn") - 1).cast("bigint").alias("seg_no"),
+    v = v.select(*keys, *part, seq, (F.col("__rn") - 1).cast("bigint").alias("seg_no"),
                  F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2", length.alias("seg_len"))
-    v = ordered(v, keys, [seq], total={"__end": "seg_len"}, split=split, hot_rows=hot_rows)
+    v = drop_parts(ordered(v, keys, [seq], total={"__end": "seg_len"}))
     return v.withColumn("d0", F.greatest(F.col("__end") - F.col("seg_len"), F.lit(0.0))).drop("__end")
 
 

@@ -36,35 +36,50 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
     return counts.where(F.col("__n") > hot_rows).select(*keys)
 
 
-def tag_parts(df: DataFrame, keys: list[str], split: Column, hot_rows: int) -> DataFrame:
-    """Add the part of each row: the split value for hot groups, NULL for all others.
-
-    The list of hot groups has at most one entry per ``hot_rows`` input rows (200,000 entries for
-    10^12 rows), which bounds the broadcast; below a million rows per entry the planner decides.
+def tag_parts(df: DataFrame, keys: list[str], split: Column | None,
+              hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add the part of each row where the table has hot groups; without any, return it unchanged.
+
+    One counting job over the key columns decides. The list of hot groups has at most one entry
+    per ``hot_rows`` input rows (200,000 entries for 10^12 rows), which bounds the broadcast; for
+    a lower threshold the planner decides. Rows of other groups get a NULL part. Operators with
+    several scans tag once and pass the tagged table on.
     """
-    if not keys or hot_rows <= 0:
+    if split is None or _PART in df.columns:
+        return df
+    if not keys:
         return df.withColumn(_PART, split)
-    hot = hot_keys(df, keys, hot_rows).withColumn("__hot", F.lit(True))
+    hot = hot_keys(df, keys, hot_rows)
+    if hot.isEmpty():
+        return df
+    hot = hot.withColumn("__hot", F.lit(True))
     hot = F.broadcast(hot) if hot_rows >= 1_000_000 else hot
     tagged = join_back(df, hot, keys)
     return tagged.withColumn(_PART, F.when(F.col("__hot"), split)).drop("__hot")
 
 
+def drop_parts(df: DataFrame) -> DataFrame:
+    return df.drop(_PART)
+
+
 def ordered(df: DataFrame, keys: list[str], order: list[str],
             lag: dict[str, str] | None = None, lead: dict[str, str] | None = None,
             total: dict[str, str] | None = None, rank: str | None = None,
-            first: dict[str, str] | None = None,
+            first: dict[str, str] | None = None, ahead: dict[str, tuple[str, int]] | None = None,
             split: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add columns computed along an ascending total order inside each group.
 
     ``lag``/``lead`` map output to source column (previous / next row), ``total`` gives running
-    sums, ``rank`` names a row number, ``first`` gives the value of the group's first row.
+    sums, ``rank`` names a row number, ``first`` gives the value of the group's first row, and
+    ``ahead`` maps output to (column, depth) for the array of the next ``depth`` values.
     Without ``split`` the groups must be small enough for one task. With an empty key list the
     whole table is one group and ``split`` always applies.
     """
     lag, lead, total, first = lag or {}, lead or {}, total or {}, first or {}
-    parted = split is not None
-    base = tag_parts(df, keys, split, hot_rows) if parted else df
+    ahead = ahead or {}
+    owner = _PART not in df.columns
+    base = tag_parts(df, keys, split, hot_rows)
+    parted = _PART in base.columns
     groups = [*keys, _PART] if parted else list(keys)
     w = Window.partitionBy(*groups).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -72,9 +87,14 @@ def ordered(df: DataFrame, keys: list[str], order: list[str],
     new |= {o: F.lead(c).over(w) for o, c in lead.items()}
     new |= {o: F.sum(c).over(upto) for o, c in total.items()}
     new |= {o: F.first(c).over(upto) for o, c in first.items()}
+    new |= {o: F.collect_list(F.struct(F.col(c).alias("v"))).over(w.rowsBetween(1, n))
+            for o, (c, n) in ahead.items()}
     if rank:
         new[rank] = F.row_number().over(w)
     if not parted:
+        if ahead:
+            base = base.withColumns(new)
+            return base.withColumns({o: F.transform(o, lambda x: x["v"]) for o in ahead})
         return base.withColumns(new)
 
     if lag:
@@ -91,7 +111,14 @@ def ordered(df: DataFrame, keys: list[str], order: list[str],
     aggs += [F.min_by(F.struct(c), at)[c].alias(f"__first_{o}") for o, c in lead.items()]
     aggs += [F.min_by(F.struct(c), at)[c].alias(f"__head_{o}") for o, c in first.items()]
     aggs += [F.sum(c).alias(f"__sum_{o}") for o, c in total.items()]
-    edges = base.where(F.col(_PART).isNotNull()).groupBy(*groups).agg(*aggs)
+    cut = base.where(F.col(_PART).isNotNull())
+    if ahead:
+        # only the first rows of a part can be ahead of the rows before it
+        depth = max(n for _, n in ahead.values())
+        cut = cut.withColumn("__rn", F.row_number().over(w))
+        aggs += [F.array_sort(F.collect_list(F.when(F.col("__rn") <= depth, F.struct("__rn", F.col(c).alias("v")))))
+                 .alias(f"__heads_{o}") for o, (c, _) in ahead.items()]
+    edges = cut.groupBy(*groups).agg(*aggs)
     across = Window.partitionBy(*keys).orderBy(_PART)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = {f"__lag_{o}": F.lag(f"__last_{o}").over(across) for o in lag}
@@ -99,6 +126,8 @@ def ordered(df: DataFrame, keys: list[str], order: list[str],
     carried |= {f"__base_{o}": F.sum(f"__sum_{o}").over(before) for o in total}
     carried |= {f"__top_{o}": F.first(f"__head_{o}").over(
         across.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for o in first}
+    carried |= {f"__more_{o}": F.flatten(F.collect_list(f"__heads_{o}").over(across.rowsBetween(1, n)))
+                for o, (_, n) in ahead.items()}
     if rank:
         carried["__base_rank"] = F.sum("__n").over(before)
     carry = edges.select(*groups, *[c.alias(n) for n, c in carried.items()],
@@ -117,21 +146,16 @@ def ordered(df: DataFrame, keys: list[str], order: list[str],
                     .otherwise(F.col(o) + base_sum))
     for o in first:
         fixed[o] = F.when(inside, F.col(f"__top_{o}")).otherwise(F.col(o))
+    for o, (_, n) in ahead.items():
+        own = F.transform(o, lambda x: x["v"])
+        more = F.transform(F.coalesce(F.col(f"__more_{o}"), F.array().cast(base.select(
+            F.array(F.struct(F.lit(1).alias("__rn"), F.col(ahead[o][0]).alias("v")))).schema[0].dataType)), lambda x: x["v"])
+        fixed[o] = F.slice(F.concat(own, more), 1, n)
     if rank:
         fixed[rank] = F.col(rank) + F.coalesce(F.col("__base_rank"), F.lit(0))
     out = out.withColumns(fixed)
-    return out.drop(_PART, "__is_first", "__is_last", "__in_part", *carried)
-
-
-def lookahead(df: DataFrame, keys: list[str], order: list[str], column: str, depth: int,
-              out: str, split: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Array of the next ``depth`` values of a column along the order."""
-    names = [f"__ahead_{i}" for i in range(1, depth + 1)]
-    source = column
-    for name in names:
-        df = ordered(df, keys, order, lead={name: source}, split=split, hot_rows=hot_rows)
-        source = name
-    return df.withColumn(out, F.array(*names)).drop(*names)
+    out = out.drop("__is_first", "__is_last", "__in_part", *carried)
+    return drop_parts(out) if owner else out
 
 
 def with_group_values(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
@@ -176,11 +200,10 @@ def distinct_running_count(df: DataFrame, keys: list[str], order: list[str], col
                            out: str, split: Column | None = None,
                            hot_rows: int = HOT_ROWS) -> DataFrame:
     """Running number of distinct consecutive values of an ordered column (first row counts 1)."""
-    df = ordered(df, keys, order, lag={"__prev": column}, split=split, hot_rows=hot_rows)
+    df = ordered(tag_parts(df, keys, split, hot_rows), keys, order, lag={"__prev": column})
     new = F.col("__prev").isNull() | (F.col("__prev") != F.col(column))
     df = df.withColumn("__step", new.cast("bigint")).drop("__prev")
-    df = ordered(df, keys, order, total={out: "__step"}, split=split, hot_rows=hot_rows)
-    return df.drop("__step")
+    return drop_parts(ordered(df, keys, order, total={out: "__step"})).drop("__step")
 
 
 def carry_first(df: DataFrame, keys: list[str], order: list[str], column: str,
