@@ -177,57 +177,59 @@ def precision_score(text: Column) -> Column:
         .when(u.rlike(_any(CROSSING_SCORE)), 5).when(u.rlike(VAGUE_SCORE), 1).otherwise(2), F.lit(0))
 
 
-def _rules() -> list[tuple[str, Column]]:
-    """(name, struct a,b or NULL) in the order they are tried, over the work columns __t, __n, __loc."""
-    t, n, loc = F.col("__t"), F.col("__n"), F.col("__loc")
-    none = F.lit(None).cast("string")
-
-    def ends(a: Column, b: Column, ok: Column) -> Column:
-        return F.when(ok, F.struct(a.alias("a"), b.alias("b")))
-
-    def pair(text: Column, pattern: str, least: int = 2) -> Column:
-        a, b = clean_endpoint(_grab(text, pattern, 1)), clean_endpoint(_grab(text, pattern, 2))
-        return ends(a, b, F.length(a) >= least)
-
-    def single(text: Column, pattern: str, least: int = 3, work_ok: bool = False) -> Column:
-        a = clean_endpoint(_grab(text, pattern))
-        ok = F.length(a) >= least
-        return ends(a, none, ok if work_ok else ok & ~starts_with_work(a))
-
-    rest = _grab(n, AFTER_ON)
-    whole = clean_endpoint(rest)
-    after_on = F.coalesce(
-        F.when(rest.rlike(ON_FROM_TO), F.struct(clean_endpoint(_grab(rest, ON_FROM_TO, 1)).alias("a"),
-                                                clean_endpoint(_grab(rest, ON_FROM_TO, 2)).alias("b"))),
-        F.when(rest.rlike(BETWEEN_AND_LOOSE), F.struct(
-            clean_endpoint(_grab(rest, BETWEEN_AND_LOOSE, 1)).alias("a"),
-            clean_endpoint(_grab(rest, BETWEEN_AND_LOOSE, 2)).alias("b"))),
-        single(rest, ON_PLACE, work_ok=True),
-        ends(whole, none, (F.length(whole) > 2) & ~starts_with_work(whole)),
-        single(n, OVER_ON, work_ok=True), single(n, AT_ON, work_ok=True))
-    a_to, b_to = clean_endpoint(_grab(loc, A_TO_B, 1)), clean_endpoint(_grab(loc, A_TO_B, 2))
-    a_dash, b_dash = F.trim(_grab(loc, A_DASH_B, 1)), clean_endpoint(_grab(loc, A_DASH_B, 2))
-    dash_ok = ((F.length(a_dash) > 2) & (F.length(b_dash) > 2) & looks_like_place(a_dash)
-               & looks_like_place(b_dash) & ~starts_with_work(a_dash) & ~starts_with_work(b_dash))
-    lead = F.trim(_grab(loc, LEADING_NAME))
-    lead_ok = looks_like_place(lead) & F.length(lead).between(3, 69) & ~starts_with_work(lead)
-    city = _grab(loc, IN_CITY)
-    return [
-        ("work", F.when(starts_with_work(t), after_on)),
-        ("from_to", F.coalesce(*[pair(n, p) for p in FROM_TO], single(n, FROM_WORK, 2, True),
-                               single(n, FROM_END, 3, True))),
-        ("between", F.coalesce(*[pair(n, p) for p in BETWEEN_AND])),
-        ("a_to_b", ends(a_to, b_to, (F.length(a_to) > 2) & (looks_like_place(a_to) | ~starts_with_work(a_to)))),
-        ("dash", ends(a_dash, b_dash, dash_ok)),
-        ("placed", F.coalesce(*[single(loc, p) for p in PLACED_AT], *[single(n, p) for p in PLACED_AT_FULL])),
-        ("offset", F.coalesce(*[single(n, p, 6, True) for p in OFFSET_TEXT])),
-        ("leading", ends(lead, none, lead_ok)),
-        ("fallback", F.coalesce(
-            *[ends(_grab(loc, p), none, _grab(loc, p).isNotNull()) for p in (ROAD_TEXT, STREET_TEXT, EXIT_TEXT)],
-            ends(clean_endpoint(_grab(loc, JUNCTION_TEXT)), none, _grab(loc, JUNCTION_TEXT).isNotNull()),
-            ends(_grab(loc, INTERCHANGE_TEXT), none, _grab(loc, INTERCHANGE_TEXT).isNotNull()),
-            ends(city, none, city.isNotNull() & ~starts_with_work(city)))),
-    ]
+# How a match is accepted once it is cleaned: (source text, pattern, clean the first end, least
+# length of the first end, check). Tried from top to bottom.
+RULES = [
+    ("on", ON_FROM_TO, True, 0, "always"),
+    ("on", BETWEEN_AND_LOOSE, True, 0, "always"),
+    ("on", ON_PLACE, True, 3, "any"),
+    ("on", r"^(.*)$", True, 3, "not work"),
+    ("work", OVER_ON, True, 3, "any"),
+    ("work", AT_ON, True, 3, "any"),
+    ("full", FROM_TO[0], True, 2, "any"),
+    ("full", FROM_TO[1], True, 2, "any"),
+    ("full", FROM_WORK, True, 2, "any"),
+    ("full", FROM_END, True, 3, "any"),
+    ("full", BETWEEN_AND[0], True, 2, "any"),
+    ("full", BETWEEN_AND[1], True, 2, "any"),
+    ("place", A_TO_B, True, 3, "place or not work"),
+    ("place", A_DASH_B, False, 3, "two places"),
+    *[("place", p, True, 3, "not work") for p in PLACED_AT],
+    *[("full", p, True, 3, "not work") for p in PLACED_AT_FULL],
+    *[("full", p, True, 6, "any") for p in OFFSET_TEXT],
+    ("place", LEADING_NAME, False, 3, "short place"),
+    *[("place", p, False, 1, "any") for p in (ROAD_TEXT, STREET_TEXT, EXIT_TEXT)],
+    ("place", JUNCTION_TEXT, True, 1, "any"),
+    ("place", INTERCHANGE_TEXT, False, 1, "any"),
+    ("place", IN_CITY, False, 1, "not work"),
+]
+_TWO_ENDED = {ON_FROM_TO, BETWEEN_AND_LOOSE, *FROM_TO, *BETWEEN_AND, A_TO_B, A_DASH_B}
+
+
+def _candidates(texts: dict[str, Column]) -> Column:
+    """Array of what every rule finds, in order: raw ends and how to accept them."""
+    found = []
+    for source, pattern, clean, least, check in RULES:
+        text = texts[source]
+        second = _grab(text, pattern, 2) if pattern in _TWO_ENDED else F.lit(None).cast("string")
+        found.append(F.struct(_grab(text, pattern).alias("a"), second.alias("b"), F.lit(clean).alias("clean"),
+                              F.lit(least).alias("least"), F.lit(check).alias("check")))
+    return F.array(*found)
+
+
+def _cleaned(c: Column) -> Column:
+    first = F.when(c["clean"], clean_endpoint(c["a"])).otherwise(F.trim(c["a"]))
+    return F.struct(first.alias("a"), clean_endpoint(c["b"]).alias("b"), c["least"].alias("least"), c["check"].alias("check"))
+
+
+def _accepted(c: Column) -> Column:
+    long_enough = F.coalesce(F.length(c["a"]) >= c["least"], F.lit(False))
+    work, place, check = starts_with_work(c["a"]), looks_like_place(c["a"]), c["check"]
+    return (F.when(check == "always", True).when(~long_enough, False).when(check == "any", True)
+            .when(check == "not work", ~work).when(check == "place or not work", place | ~work)
+            .when(check == "short place", place & ~work & (F.length(c["a"]) < 70))
+            .otherwise(place & ~work & F.coalesce(F.length(c["b"]) > 2, F.lit(False)) & looks_like_place(c["b"])
+                       & ~starts_with_work(c["b"])))
 
 
 FIELDS = ["endpoint_a", "endpoint_b", "precision_a", "precision_b", "milepost_start", "milepost_end",
@@ -249,11 +251,12 @@ def parse_titles(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
         _grab(t, CODED_MILEPOST, 2).alias("a"), _grab(t, CODED_MILEPOST, 3).alias("b"),
         _grab(t, CODED_MILEPOST, 1).alias("area")))
     out = out.withColumns({"__mile": F.coalesce(mile_pair, mile_one), "__coded": coded})
-    names = []
-    for name, rule in _rules():
-        out = out.withColumn(f"__r_{name}", rule)
-        names.append(f"__r_{name}")
-    out = out.withColumn("__e", F.coalesce(*names))
+    work = F.when(starts_with_work(t), F.col("__n"))
+    texts = {"on": _grab(work, AFTER_ON), "work": work, "full": F.col("__n"), "place": F.col("__loc")}
+    # the cleaning and the acceptance test are written once, over the array of finds
+    out = out.withColumn("__found", F.filter(_candidates(texts), lambda c: c["a"].isNotNull()))
+    ends = F.filter(F.transform("__found", _cleaned), _accepted)
+    out = out.withColumn("__e", F.try_element_at(ends, F.lit(1)))
     mile, code = F.col("__mile"), F.col("__coded")
     coded_b = code["b"].try_cast("double").cast("string")
     a = (F.when(mile.isNotNull(), F.concat(F.lit("MP "), mile["a"]))
@@ -264,13 +267,14 @@ def parse_titles(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
     out = out.withColumns({f"{prefix}endpoint_a": F.coalesce(a, F.lit("")),
                            f"{prefix}endpoint_b": F.coalesce(b, F.lit(""))})
     ea, eb = F.col(f"{prefix}endpoint_a"), F.col(f"{prefix}endpoint_b")
+    out = out.withColumn("__p", F.transform(F.array(ea, eb), precision_score))
     out = out.withColumns({
-        f"{prefix}precision_a": F.when(posted, 6).otherwise(precision_score(ea)),
-        f"{prefix}precision_b": F.when(posted, F.when(eb != "", 6).otherwise(0)).otherwise(precision_score(eb)),
+        f"{prefix}precision_a": F.when(posted, 6).otherwise(F.col("__p")[0]),
+        f"{prefix}precision_b": F.when(posted, F.when(eb != "", 6).otherwise(0)).otherwise(F.col("__p")[1]),
         f"{prefix}milepost_start": F.coalesce(mile["a"], code["a"]).try_cast("double"),
         f"{prefix}milepost_end": F.when(mile.isNotNull(), mile["b"]).otherwise(code["b"]).try_cast("double"),
         f"{prefix}project_type": F.coalesce(project_type(F.trim(F.col(column))), F.lit(""))})
-    return out.drop("__t", "__n", "__loc", "__mile", "__coded", "__e", *names)
+    return out.drop("__t", "__n", "__loc", "__mile", "__coded", "__found", "__e", "__p")
 
 
 def parse_with_fallback(df: DataFrame, description: str, title: str) -> DataFrame:

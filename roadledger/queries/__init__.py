@@ -1,4 +1,5 @@
 """Registered queries: each operator on the given tables, with its SQL counterpart."""
 
 from roadledger.queries.base import REGISTRY
-from roadledger.queries import audits, panel_queries, segments, shapes, spending  # noqa: F401
+from roadledger.queries import (audits, evaluation, panel_queries, segments, shapes, spending,  # noqa: F401
+                                texts)
