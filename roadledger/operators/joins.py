@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadledger.operators.names import jaro_distance, rare_prefix
+from roadledger.operators.names import (jaro_distance, match_keys, numbered, ranked_characters,
+                                        shared_needed)
 from roadledger.operators.ordered import HOT_ROWS, join_back, ordered
 
 
@@ -117,28 +118,35 @@ def nearest_name(left: DataFrame, right: DataFrame, block: list[str], left_name:
                  right_name: str, max_distance: float = 0.1) -> DataFrame:
     """Best name on the right for each distinct name on the left, by Jaro distance.
 
-    Exact for the accepted distances: two strings at distance <= d share at least (1 - 3d) of the
-    characters of either one, so they must share one of the rarest characters of each ("prefix
-    filter"). Joining on (block, character, occurrence) finds every such pair without comparing
-    all names of a block; each pair is kept at its first shared character only. Ties go to the
-    alphabetically first name.
+    Exact for the accepted distances without comparing all names of a block: two names that close
+    have similar lengths and share combinations of their rarest characters (see ``match_keys``),
+    so the names meet on (block, both lengths, combination). A pair that shares several is kept
+    at the first one. Ties go to the alphabetically first name.
     """
     share = 1.0 - 3.0 * max_distance
 
-    def listed(df: DataFrame, name: str, out: str) -> DataFrame:
+    def listed(df: DataFrame, name: str, out: str, lengths: tuple[str, str]) -> DataFrame:
         low = F.lower(F.col(name))
-        names = df.where(F.col(name).isNotNull() & (low != "")).select(*block, low.alias(out))
-        names = names.distinct()
-        return names.withColumn(f"{out}_toks", rare_prefix(F.col(out), share))
-
-    a = listed(left, left_name, "__a")
-    b = listed(right, right_name, "__b")
-    a = a.withColumn("__tok", F.explode("__a_toks"))
-    b = b.withColumn("__tok", F.explode("__b_toks"))
-    pairs = a.join(b, [*block, "__tok"])
-    la, lb = F.length("__a"), F.length("__b")
-    pairs = pairs.where((F.least(la, lb) >= F.greatest(la, lb) * share - 1e-9)
-                        & (F.array_min(F.array_intersect("__a_toks", "__b_toks")) == F.col("__tok")))
+        names = df.where(F.col(name).isNotNull() & (low != "")).select(*block, low.alias(out)).distinct()
+        own, other = lengths
+        # few bytes but much work per name: keep the configured number of tasks
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        names = names.repartition(tasks, *block, out)
+        names = names.withColumns({own: F.length(out), "__ranked": ranked_characters(F.col(out))})
+        names = names.withColumn("__tokens", numbered(F.col("__ranked"))).drop("__ranked")
+        partners = F.sequence(F.greatest(F.ceil(F.col(own) * share - 1e-9), F.lit(1)), F.floor(F.col(own) / share + 1e-9))
+        names = names.withColumn(other, F.explode(F.transform(partners, lambda n: n.cast("int"))))
+        need = shared_needed(F.col(own), F.col(other), max_distance)
+        names = names.withColumn("__take", F.least(need, F.lit(3)))
+        names = names.withColumn("__head", F.slice("__tokens", F.lit(1), F.col(own) - need + F.col("__take")))
+        keys = match_keys(F.col("__head"), F.col("__take"))
+        names = names.withColumn(f"{out}_keys", keys).drop("__tokens", "__head", "__take")
+        return names.withColumn("__key", F.explode(f"{out}_keys"))
+
+    a = listed(left, left_name, "__a", ("__la", "__lb"))
+    b = listed(right, right_name, "__b", ("__lb", "__la"))
+    pairs = a.join(b, [*block, "__la", "__lb", "__key"])
+    pairs = pairs.where(F.array_min(F.array_intersect("__a_keys", "__b_keys")) == F.col("__key"))
     scored = pairs.select(*block, "__a", "__b",
                           jaro_distance(F.col("__a"), F.col("__b")).alias("match_dist"))
     best = scored.where(F.col("match_dist") <= max_distance).groupBy(*block, "__a").agg(
