@@ -192,6 +192,9 @@ def drop_overlaps(df: DataFrame, keys: list[str], start: str, length: str, tie:
                       "__block", "__rn", "__jump", "__drop")
     reach = depth + 2
 
+    def repeat(pdf: pd.DataFrame, times: int) -> dict:
+        return {n: pd.Series([pdf[n].iloc[0]] * times, dtype=object) for n in names}
+
     def leave(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__rn")
         jumps = pdf["__jump"].to_numpy()
@@ -201,7 +204,7 @@ def drop_overlaps(df: DataFrame, keys: list[str], start: str, length: str, tie:
         for i in range(size + reach - 1, -1, -1):
             out[i] = i - size if i >= size else out[i + jumps[i]]
         head = pdf.iloc[0]
-        return pd.DataFrame({**{n: [head[n]] for n in names}, "__block": [head["__block"]],
+        return pd.DataFrame({**repeat(pdf, 1), "__block": [head["__block"]],
                              "__exit": [[int(out[e]) for e in range(reach)]]})
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -210,7 +213,7 @@ def drop_overlaps(df: DataFrame, keys: list[str], start: str, length: str, tie:
         for exits in pdf["__exit"]:
             entries.append(entry)
             entry = int(exits[entry])
-        return pdf.assign(__entry=entries)[[*names, "__block", "__entry"]]
+        return pd.DataFrame({**repeat(pdf, len(pdf)), "__block": pdf["__block"].to_numpy(), "__entry": entries})
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__rn")
@@ -220,7 +223,7 @@ def drop_overlaps(df: DataFrame, keys: list[str], start: str, length: str, tie:
         while at < len(jumps):
             gone.extend(first_rn + at + d for d in range(1, drops[at] + 1))
             at += jumps[at]
-        return pd.DataFrame({**{n: [pdf[n].iloc[0]] * len(gone) for n in names}, "__gone": gone})
+        return pd.DataFrame({**repeat(pdf, len(gone)), "__gone": pd.Series(gone, dtype="int64")})
 
     key_ddl = ", ".join(f"`{n}` {t}" for n, t in zip(names, types))
     exits = steps.groupBy(*names, "__block").applyInPandas(

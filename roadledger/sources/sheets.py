@@ -16,9 +16,9 @@ def normalise_report(sheets: DataFrame, sentinel: str, header_rows: int, word: s
     The header starts at the first row whose first cell is the sentinel and spans several rows;
     footnote marks are stripped from labels.
     """
-    first = F.upper(clean_text(F.try_element_at("cells", F.lit(1))))
+    first = clean_text(F.try_element_at("cells", F.lit(1)))
     marked = sheets.withColumn("__first", first)
-    start = marked.where(F.col("__first") == sentinel).groupBy("sheet").agg(F.min("row").alias("__top"))
+    start = marked.where(F.upper("__first") == sentinel).groupBy("sheet").agg(F.min("row").alias("__top"))
     rows = join_back(marked, start, ["sheet"]).where(F.col("__top").isNotNull())
     cells = rows.select("sheet", "row", "__first", "__top", F.posexplode("cells").alias("col", "cell"))
     in_header = (F.col("row") >= F.col("__top")) & (F.col("row") < F.col("__top") + header_rows)
