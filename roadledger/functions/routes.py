@@ -15,7 +15,8 @@ REFERENCE_PATTERNS = [
     r"\bINTERSTATE\s+\d{1,3}\b",
     r"\bFAI[-\s]?\d{1,3}\b",
 ]
-REFERENCE_PREFIX = r"^(INTERSTATE\s+|FAI[-\s]?|IH?[-\s]?|IR[-\s]?|IN[-\s]?)"
+# IR and IN stand before the bare I, so that the whole prefix is removed.
+REFERENCE_PREFIX = r"^(INTERSTATE\s+|FAI[-\s]?|IR[-\s]?|IN[-\s]?|IH?[-\s]?)"
 NUMBER_PATTERNS = [
     r"\bINTERSTATE\s+(\d{1,3})\b",
     r"\bIH\s*(\d{1,3})(?=[^0-9]|$)",

@@ -253,10 +253,12 @@ def parse_titles(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
     out = out.withColumns({"__mile": F.coalesce(mile_pair, mile_one), "__coded": coded})
     work = F.when(starts_with_work(t), F.col("__n"))
     texts = {"on": _grab(work, AFTER_ON), "work": work, "full": F.col("__n"), "place": F.col("__loc")}
-    # the cleaning and the acceptance test are written once, over the array of finds
+    # the cleaning and the acceptance test are written once and stop at the first accepted find
     out = out.withColumn("__found", F.filter(_candidates(texts), lambda c: c["a"].isNotNull()))
-    ends = F.filter(F.transform("__found", _cleaned), _accepted)
-    out = out.withColumn("__e", F.try_element_at(ends, F.lit(1)))
+    none = F.array().cast("array<struct<a: string, b: string, least: int, check: string>>")
+    first = F.aggregate("__found", none, lambda acc, c: F.when(F.size(acc) > 0, acc).otherwise(
+        F.filter(F.transform(F.array(c), _cleaned), _accepted)))
+    out = out.withColumn("__e", F.try_element_at(first, F.lit(1)))
     mile, code = F.col("__mile"), F.col("__coded")
     coded_b = code["b"].try_cast("double").cast("string")
     a = (F.when(mile.isNotNull(), F.concat(F.lit("MP "), mile["a"]))

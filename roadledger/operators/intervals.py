@@ -226,10 +226,15 @@ def drop_overlaps(df: DataFrame, keys: list[str], start: str, length: str, tie:
         return pd.DataFrame({**repeat(pdf, len(gone)), "__gone": pd.Series(gone, dtype="int64")})
 
     key_ddl = ", ".join(f"`{n}` {t}" for n, t in zip(names, types))
-    exits = steps.groupBy(*names, "__block").applyInPandas(
+    # only routes of several blocks need entries, and only blocks with something to drop a replay
+    blocks = steps.groupBy(*names, "__block").agg(F.max("__drop").alias("__d"))
+    long_routes = blocks.where("__block > 0").select(*names).distinct()
+    exits = steps.join(long_routes, names, "left_semi").groupBy(*names, "__block").applyInPandas(
         leave, f"{key_ddl}, `__block` bigint, `__exit` array<int>")
     entries = exits.groupBy(*names).applyInPandas(link, f"{key_ddl}, `__block` bigint, `__entry` int")
-    started = join_back(steps, entries, [*names, "__block"])
+    dirty = steps.join(blocks.where("__d > 0").select(*names, "__block"), [*names, "__block"], "left_semi")
+    started = join_back(dirty, entries, [*names, "__block"])
+    started = started.withColumn("__entry", F.coalesce("__entry", F.lit(0)))
     gone = started.groupBy(*names, "__block").applyInPandas(replay, f"{key_ddl}, `__gone` bigint")
     gone = gone.select(*[F.col(n).alias(k) for k, n in zip(keys, names)],
                        F.col("__gone").alias("__rn"), F.lit(True).alias("__out"))

@@ -149,7 +149,7 @@ def nearest_name(left: DataFrame, right: DataFrame, block: list[str], left_name:
     pairs = pairs.where(F.array_min(F.array_intersect("__a_keys", "__b_keys")) == F.col("__key"))
     scored = pairs.select(*block, "__a", "__b",
                           jaro_distance(F.col("__a"), F.col("__b")).alias("match_dist"))
-    best = scored.where(F.col("match_dist") <= max_distance).groupBy(*block, "__a").agg(
+    best = scored.where(F.col("match_dist") <= max_distance + 1e-12).groupBy(*block, "__a").agg(
         F.min(F.struct("match_dist", "__b")).alias("__m"))
     best = best.select(*block, F.col("__a").alias("name_key"), F.col("__m.__b").alias("matched_name"),
                        F.col("__m.match_dist").alias("match_dist"))

@@ -44,7 +44,7 @@ def titles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _RE = r"(\bIH?[-\s]?\d{1,3}[A-Z]{0,2}\b)|(\bIR[-\s]?\d{1,3}[A-Z]{0,2}\b)|(\bIN[-\s]?\d{1,3}\b)|(\bINTERSTATE\s+\d{1,3}\b)|(\bFAI[-\s]?\d{1,3}\b)"
-_PRE = r"^(INTERSTATE\s+|FAI[-\s]?|IH?[-\s]?|IR[-\s]?|IN[-\s]?)"
+_PRE = r"^(INTERSTATE\s+|FAI[-\s]?|IR[-\s]?|IN[-\s]?|IH?[-\s]?)"
 
 
 def _first_sql(src: str) -> str:

@@ -108,4 +108,4 @@ def test_report_sheets(spark):
                                    "sheet string, row_from int, row_to int, year int, group string, subgroup string, agency string, col int")
     assert rows(sheets.melt_blocks(df, layout), "year", "agency", "amount") == [(1999, "state", 1000.0), (1999, "state", 2500.0)]
     assert sheets.slice_rows(df, 1, 4, drop=2).count() == 2
-    assert rows(tables.union_by_name([spark.range(1), spark.range(1).withColumn("b", F.lit(2))])) == sorted([(0, None), (0, 2)], key=repr)
+    assert rows(tables.union_by_name([spark.range(1).toDF("id"), spark.range(1).withColumn("b", F.lit(2))])) == sorted([(0, None), (0, 2)], key=repr)
