@@ -67,13 +67,18 @@ def _clamped(px: Column, py: Column) -> tuple[Column, Column]:
 
 
 def locate(points: DataFrame, segs: DataFrame, keys: list[str], point_id: list[str],
-           px: str = "px", py: str = "py", fan: int = 64, levels: int = 2) -> DataFrame:
+           px: str = "px", py: str = "py", fan: int = 64, levels: int | None = None) -> DataFrame:
     """Nearest spot of its route for every point: distance along the route and off it.
 
     Routes are summarised as boxes over runs of ``fan``, ``fan``^2 ... segments. A point starts at
     the widest boxes and only opens a box whose nearest possible distance does not exceed the
     best distance some box already guarantees, so it meets a few dozen segments, not all of them.
+    ``levels`` defaults to what leaves at most ``fan`` boxes of the longest route at the top.
     """
+    if levels is None:
+        longest = segs.agg(F.max("seg_no")).first()[0] or 0
+        levels = max(1, math.ceil(math.log(longest + 1, fan)) - 1) if longest else 1
+
     def boxes(level: int) -> DataFrame:
         node = F.floor(F.col("seg_no") / F.lit(fan**level)).cast("bigint")
         return segs.groupBy(*keys, node.alias("node")).agg(

@@ -52,7 +52,7 @@ n AS (SELECT *, pow(x + t * (x2 - x) - px, 2) + pow(y + t * (y2 - y) - py, 2) AS
 r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(d2, 6), seg_no) AS rn FROM n)
 SELECT pid, user_id, round(sqrt(d2), 4) AS "offset" FROM r WHERE rn = 1""")
 def polyline_position(spark: SparkSession, sf: str) -> DataFrame:
-    at = ln.locate(path_points(spark, sf), path_segments(spark, sf), ["user_id"], ["pid"], fan=16, levels=2)
+    at = ln.locate(path_points(spark, sf), path_segments(spark, sf), ["user_id"], ["pid"], fan=16)
     return rnd(at.select("pid", "user_id", "offset"), offset=4)
 
 

@@ -84,13 +84,13 @@ def continuity_shares(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(out, share_broken=8, share_overlap=8)
 
 
-_OPEN = """y AS (SELECT o_custkey, open_year, sum(o_totalprice) AS miles FROM openings WHERE o_totalprice > 200000 GROUP BY 1, 2),
+_OPEN = """y AS (SELECT o_custkey, open_year, sum(o_totalprice) AS miles FROM openings GROUP BY 1, 2),
 g AS (SELECT *, open_year - lag(open_year) OVER (PARTITION BY o_custkey ORDER BY open_year) AS gap, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY open_year) AS INTEGER) AS opening_no FROM y),
 c AS (SELECT o_custkey, count(*) AS n_openings, min(gap) AS min_gap, sum(miles) AS cell_amount, max(open_year) - min(open_year) AS span FROM g GROUP BY 1)"""
 
 
 def _open_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    y = openings(spark, sf).where("o_totalprice > 200000").groupBy("o_custkey", "open_year").agg(F.sum("o_totalprice").alias("miles"))
+    y = openings(spark, sf).groupBy("o_custkey", "open_year").agg(F.sum("o_totalprice").alias("miles"))
     return iv.opening_gaps(y, ["o_custkey"], "open_year", "open_year", "miles")
 
 

@@ -40,14 +40,13 @@ def rectangular_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT p_brand, CAST(year(l_shipdate) AS INTEGER) AS y, sum(l_quantity) AS qty FROM lineitem JOIN part ON l_partkey = p_partkey
-  WHERE year(l_shipdate) <> 1998 AND l_quantity > 49 GROUP BY 1, 2)
-SELECT p_brand, y, coalesce(qty, 0) AS qty FROM (SELECT DISTINCT p_brand FROM s) a CROSS JOIN (SELECT DISTINCT y FROM s) b LEFT JOIN s USING (p_brand, y)""")
+WITH s AS (SELECT o_custkey, o_orderpriority, open_year, sum(o_totalprice) AS amount FROM openings GROUP BY 1, 2, 3)
+SELECT o_custkey, o_orderpriority, open_year, round(coalesce(amount, 0), 2) AS amount FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM s) a
+  CROSS JOIN (SELECT DISTINCT open_year FROM s) b LEFT JOIN s USING (o_custkey, o_orderpriority, open_year)""")
 def fill_in_panel(spark: SparkSession, sf: str) -> DataFrame:
-    p = read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    l = read(spark, sf, "lineitem").withColumn("y", F.year("l_shipdate")).where("y <> 1998 AND l_quantity > 49")
-    s = l.join(p, "l_partkey").groupBy("p_brand", "y").agg(F.sum("l_quantity").alias("qty"))
-    return reshape.fill_in(s, ["p_brand"], "y", ["qty"])
+    unit = ["o_custkey", "o_orderpriority"]
+    s = openings(spark, sf).groupBy(*unit, "open_year").agg(F.sum("o_totalprice").alias("amount"))
+    return rnd(reshape.fill_in(s, unit, "open_year", ["amount"]), amount=2)
 
 
 @query("""

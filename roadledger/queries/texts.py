@@ -175,11 +175,11 @@ def numbered_route_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT l_partkey, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS tier, l_suppkey FROM lineitem WHERE l_quantity > 45), b AS (SELECT l_partkey, min(tier) AS t FROM h GROUP BY 1)
+WITH h AS (SELECT l_partkey, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS tier, l_suppkey FROM lineitem), b AS (SELECT l_partkey, min(tier) AS t FROM h GROUP BY 1)
 SELECT h.l_partkey, CAST(tier AS INTEGER) AS tier, l_suppkey FROM h JOIN b ON h.l_partkey = b.l_partkey AND tier = t""")
 def tiered_fallback(spark: SparkSession, sf: str) -> DataFrame:
     tier = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(3)
-    h = read(spark, sf, "lineitem").where("l_quantity > 45").select("l_partkey", tier.alias("tier"), "l_suppkey")
+    h = read(spark, sf, "lineitem").select("l_partkey", tier.alias("tier"), "l_suppkey")
     return joins.first_tier(h, ["l_partkey"], "tier").select("l_partkey", "tier", "l_suppkey")
 
 
