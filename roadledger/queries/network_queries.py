@@ -74,7 +74,23 @@ def milepost_fraction(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(frac, 10).alias("fraction"))
 
 
-@query()
+_E2 = "0.00669438002290"
+
+
+def _q(lat: str) -> str:
+    s, e = f"sin(radians({lat}))", f"sqrt({_E2})"
+    return f"((1 - {_E2}) * ({s} / (1 - {_E2} * {s} * {s}) - ln((1 - {e} * {s}) / (1 + {e} * {s})) / (2 * {e})))"
+
+
+def _m2(lat: str) -> str:
+    return f"(pow(cos(radians({lat})), 2) / (1 - {_E2} * pow(sin(radians({lat})), 2)))"
+
+
+@query(f"""
+WITH k AS (SELECT ({_m2('29.5')} - {_m2('45.5')}) / ({_q('45.5')} - {_q('29.5')}) AS n), c AS (SELECT n, {_m2('29.5')} + n * {_q('29.5')} AS c FROM k),
+p AS (SELECT c_custkey, 6378137.0 * sqrt(c - n * {_q('(25.0 + c_nationkey)')}) / n AS rho, 6378137.0 * sqrt(c - n * {_q('23.0')}) / n AS rho0,
+  n * radians(c_acctbal / 250.0 - 125.0 + 96.0) AS theta FROM customer, c)
+SELECT c_custkey, round(rho * sin(theta), 3) AS x, round(rho0 - rho * cos(theta), 3) AS y FROM p""")
 def project_coordinates(spark: SparkSession, sf: str) -> DataFrame:
     c = read(spark, sf, "customer")
     x, y = ln.project_albers(-125.0 + F.col("c_acctbal") / 250.0, 25.0 + F.col("c_nationkey"))
@@ -173,7 +189,9 @@ def area_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(pl.centroids(pl.boundary_edges(squares(spark, sf), ["area"]), "area"), cx=9, cy=9, area_m2=9)
 
 
-@query()
+@query("""
+WITH s AS (SELECT s_suppkey AS req, s_suppkey % 3 = 0 AND s_suppkey % 25 <> 24 AND s_suppkey + 1 IN (SELECT s_suppkey FROM supplier) AS shared FROM supplier)
+SELECT req, CASE WHEN shared THEN 'shared' WHEN req % 3 = 1 THEN 'half' ELSE 'outline' END AS kind, CAST(CASE WHEN shared THEN 1 WHEN req % 3 = 1 THEN 3 ELSE 4 END AS BIGINT) AS n_edges FROM s""")
 def boundary_reference(spark: SparkSession, sf: str) -> DataFrame:
     e = pl.boundary_edges(squares(spark, sf), ["area"])
     s = read(spark, sf, "supplier")
