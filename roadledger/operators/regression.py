@@ -24,8 +24,8 @@ def _moments(names: list[str]) -> list:
     return out
 
 
-def ols(df: DataFrame, y: str, xs: list[str], weight: str | None = None, cluster: str | None = None,
-        robust: bool = False) -> DataFrame:
+def ols(df: DataFrame, y: str, xs: list[str], weight: str | None = None,
+        cluster: str | None = None) -> DataFrame:
     """Regression with an intercept: one row per coefficient (term, estimate, se, n)."""
     return fixed_effects(df.withColumn("const", F.lit(1.0)), y, ["const", *xs], weight=weight,
                          cluster=cluster)
