@@ -7,7 +7,7 @@ stores that token for each prefix: the ids are read off backwards, ``append`` go
 prefixes, and ``replace`` recomputes from the edit until the stored tokens repeat.
 
 Texts are first cut where any match of the pattern must end, at the start of each white-space run, so
-equal chunks are encoded once per task.
+equal chunks are encoded once per worker (up to a bound).
 
 Defined results: a null text encodes as an empty one, to no ids; special tokens are ordinary text;
 repeated rows and ids are independent; an empty table gives an empty result.
@@ -33,7 +33,7 @@ from roadledger.llm.common import column_name, pieces, ragged_take, whole_text
 # Fixed value: Unicode white space, as the pattern's \s means it.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
 #: Pieces that a worker remembers; beyond, its memory starts afresh.
-REMEMBER = 1 << 19
+REMEMBER = 1 << 17
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
@@ -130,6 +130,7 @@ class ByteBpe:
         self.ranks = read_ranks(path)
         self.merges, self.pattern = Merges(self.ranks), regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.cache = ChunkCache(self.encode_chunks)
         tokens = sorted(self.ranks.items(), key=lambda x: x[1])
         size = np.zeros(tokens[-1][1] + 1, np.int64)
         size[[i for _, i in tokens]] = [len(t) for t, _ in tokens]
@@ -141,7 +142,7 @@ class ByteBpe:
         if len(self.known) > REMEMBER:
             self.known.clear()
         encoder = PrefixEncoder(self.merges)
-        for data in sorted(t.encode() for t in texts - self.known.keys()):
+        for data in sorted(t.encode() for t in texts if t not in self.known):
             if data in self.ranks:  # a piece that is a token is that token, reachable by merges or not
                 ids = (self.ranks[data],)
             else:
@@ -162,16 +163,15 @@ class ByteBpe:
 
 @lru_cache(2)
 def load(path: str, pattern: str) -> ByteBpe:
-    """The tokenizer of a worker process; its memory of pieces and pairs outlives a task."""
+    """The tokenizer of a worker process; its memory of chunks and pairs outlives a task."""
     return ByteBpe(path, pattern)
 
 
 def encoded_batches(batches, text: str, path: str, pattern: str):
     """(batch, ids of all its texts, number of ids of each, tokenizer) for bounded pieces of the batches."""
     bpe = load(path, pattern)
-    cache = ChunkCache(bpe.encode_chunks)
     for batch in pieces(batches, text):
-        ids, sizes = cache.encode_texts([CHUNK.findall(t) for t in batch[text].to_pylist()])
+        ids, sizes = bpe.cache.encode_texts([CHUNK.findall(t) for t in batch[text].to_pylist()])
         yield batch, ids, sizes, bpe
 
 

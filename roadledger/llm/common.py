@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def word_count(text: Column) -> Column:
 def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold at most ``limit`` bytes of ``column``, or one row."""
     for batch in batches:
-        size = pa.compute.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, start = np.cumsum(size), 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0

@@ -268,19 +268,24 @@ def keyless(store: IdStore) -> DataFrame:
     return store.entries.where("key is null").select("key", "shard", "row", F.lit(1).cast("long").alias("n_rows"))
 
 
+@lru_cache(2)
+def _word_cache(path: str, end: int) -> ChunkCache:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    # an empty chunk stands for the end
+    return ChunkCache(lambda words: [[end] if not w else e.ids for w, e in zip(
+        words, tokenizer.encode_batch(words, add_special_tokens=False))])
+
+
 def word_encoder(path: str, end: int) -> Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]]:
     """Encoder by a tokenizer file whose rules drop white space, so that words encode alone; ``end`` ends a text.
 
-    The library encodes each distinct word once a task.
+    The library encodes each distinct word once a worker, up to a bound.
     """
     def encode():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        # an empty chunk stands for the end
-        cache = ChunkCache(lambda words: [[end] if not w else e.ids for w, e in zip(
-            words, tokenizer.encode_batch(words, add_special_tokens=False))])
+        cache = _word_cache(path, end)
         # bytes.split() cuts at ASCII white space only, all of it white space to the tokenizer too
         return lambda texts: cache.encode_texts([[*(w.decode() for w in t.encode().split()), ""] for t in texts])
 

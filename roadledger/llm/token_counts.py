@@ -40,11 +40,6 @@ def piece_scores(path: str) -> dict[str, int]:
     return {p: -round(1e6 * (math.log(r + 1) + norm)) for r, p in enumerate(names)}
 
 
-@lru_cache(2)
-def load(path: str) -> dict[str, int]:
-    return piece_scores(path)
-
-
 class CountTrie:
     """Trie of pre-tokens; best[n] belongs to the prefix that ends at node n.
 
@@ -84,17 +79,37 @@ class CountTrie:
         return -best[node] % self.COUNTS
 
 
+class WordCounts:
+    """Token counts of words, kept by a worker process; the trie starts afresh beyond MOST_NODES."""
+
+    def __init__(self, path: str):
+        self.scores = piece_scores(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.trie, self.known = CountTrie(self.scores), {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.trie.best) > MOST_NODES:
+            self.clear()
+        for w in words:
+            if w not in self.known:
+                self.known[w] = self.trie.insert(MARK + w)
+
+
+@lru_cache(2)
+def load(path: str) -> WordCounts:
+    return WordCounts(path)
+
+
 def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_tokens) of every whole text."""
     def work(batches):
-        scores = load(path)
-        trie, known = CountTrie(scores), {}
+        counts = load(path)
         for batch in pieces(batches, text):
-            words = [[w.decode() for w in x.as_buffer().to_pybytes().split()] if x.is_valid else [] for x in batch[text]]
-            if len(trie.best) > MOST_NODES:
-                trie, known = CountTrie(scores), {}
-            for w in {w for t in words for w in t} - known.keys():
-                known[w] = trie.insert(MARK + w)
+            words = [[w.decode() for w in t.encode().split()] for t in batch[text].to_pylist()]
+            counts.learn({w for t in words for w in t})
+            known = counts.known
             yield pa.RecordBatch.from_arrays(
                 [batch[key], pa.array(map(len, words), pa.int64()), pa.array([sum(map(known.__getitem__, t)) for t in words], pa.int64())],
                 names=[key, "n_words", "n_tokens"])
