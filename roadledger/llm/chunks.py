@@ -10,6 +10,8 @@ from roadledger.llm.common import ragged_take
 
 #: Chunks remembered in a task; beyond, the memory starts afresh.
 REMEMBER = 1 << 20
+#: Chunks given to the encoder in one call.
+AT_ONCE = 1 << 13
 
 
 class ChunkCache:
@@ -29,7 +31,7 @@ class ChunkCache:
         new = [c for c in dict.fromkeys(chunks) if c not in self.index]
         if not new:
             return
-        found = [np.asarray(x, np.uint32) for x in self.encode(new)]
+        found = [np.asarray(x, np.uint32) for i in range(0, len(new), AT_ONCE) for x in self.encode(new[i:i + AT_ONCE])]
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
         size = np.fromiter(map(len, found), np.int64, len(found))
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(size) - size)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -268,6 +269,21 @@ def keyless(store: IdStore) -> DataFrame:
     return store.entries.where("key is null").select("key", "shard", "row", F.lit(1).cast("long").alias("n_rows"))
 
 
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Texts of ASCII and Latin letters, whose words may be cut further where the tokenizer always cuts: between
+#: letters and ASCII signs or digits. A word with an apostrophe stays whole, as 's and the like are pieces.
+PLAIN = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+RUNS = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff\s]+")
+RUNS_QUOTED = re.compile(rb"\S*'\S*|" + RUNS.pattern)
+
+
+def word_chunks(text: str) -> list[bytes]:
+    """Parts of a text that the word tokenizer encodes independently, A-Z lower-cased where it would be."""
+    if "<|" in text or not PLAIN.fullmatch(text):
+        return text.encode().split()  # cuts at ASCII white space only, all of it white space to the tokenizer too
+    return (RUNS_QUOTED if "'" in text else RUNS).findall(text.encode().translate(LOWER))
+
+
 @lru_cache(2)
 def _word_cache(path: str, end: int) -> ChunkCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -275,18 +291,17 @@ def _word_cache(path: str, end: int) -> ChunkCache:
 
     tokenizer = Tokenizer.from_file(path)
     # an empty chunk stands for the end
-    return ChunkCache(lambda words: [[end] if not w else e.ids for w, e in zip(
-        words, tokenizer.encode_batch(words, add_special_tokens=False))])
+    return ChunkCache(lambda chunks: [e.ids if c else [end] for c, e in zip(
+        chunks, tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False))])
 
 
 def word_encoder(path: str, end: int) -> Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]]:
-    """Encoder by a tokenizer file whose rules drop white space, so that words encode alone; ``end`` ends a text.
+    """Encoder by a tokenizer file that lower-cases and drops white space; ``end`` ends each text.
 
-    The library encodes each distinct word once a worker, up to a bound.
+    The library encodes each distinct chunk once a worker, up to a bound.
     """
     def encode():
         cache = _word_cache(path, end)
-        # bytes.split() cuts at ASCII white space only, all of it white space to the tokenizer too
-        return lambda texts: cache.encode_texts([[*(w.decode() for w in t.encode().split()), ""] for t in texts])
+        return lambda texts: cache.encode_texts([[*word_chunks(t), b""] for t in texts])
 
     return encode
