@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadledger.llm import byte_bpe, id_store, media, mixing, quality, secrets, token_counts
+from roadledger.llm import byte_bpe, id_store, jaccard, line_dedup, media, mixing, quality, secrets, token_counts
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -62,10 +62,19 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoding_digests(read(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_media_columns, op2_quality_rules, op3_secret_scans, op5_token_counts,
-                                   op6_token_id_store, op7_byte_bpe, op10_source_mixing)}
+                                   op6_token_id_store, op7_byte_bpe, op8_line_dedup, op9_ngram_jaccard, op10_source_mixing)}
 ORACLE_SQL = {"op10_source_mixing": mixing.MIX_SQL}
