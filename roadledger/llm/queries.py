@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadledger.llm import byte_bpe, id_store, jaccard, line_dedup, media, mixing, quality, secrets, token_counts
+from roadledger.llm import byte_bpe, id_store, jaccard, line_dedup, media, mixing, ppm, quality, secrets, token_counts
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -47,6 +47,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op4_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), PIECES)
 
@@ -75,6 +79,6 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_quality_rules, op3_secret_scans, op5_token_counts,
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_quality_rules, op3_secret_scans, op4_ppm_scoring, op5_token_counts,
                                    op6_token_id_store, op7_byte_bpe, op8_line_dedup, op9_ngram_jaccard, op10_source_mixing)}
 ORACLE_SQL = {"op10_source_mixing": mixing.MIX_SQL}
