@@ -6,7 +6,7 @@ n-grams come first. Documents with the same set are one class, classes with the
 group. Prefix members of the groups make buckets; pairs of groups in a bucket pass on size and on the
 places of the shared member, are expanded to classes, and verified on whole sets.
 
-Rarity is the logarithm of the number of sets that fall into an n-gram's bucket, of 65,536, counted over all
+Rarity is the logarithm of the number of n-grams that fall into an n-gram's bucket, of 2**20, counted over all
 documents; it only orders n-grams, so its coarseness costs candidates and never a link.
 
 Words are compared as 64-bit hashes, n-grams as 64-bit mixes of these, sets as 128-bit hashes.
@@ -19,11 +19,13 @@ unless nothing else is there; an empty table gives an empty result. Other column
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +34,7 @@ from roadledger.llm.common import column_name, drop_stored, pieces, stored, whol
 from roadledger.llm.links import link_buckets
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-SKETCH_BITS = 16
+SKETCH_BITS, STRETCHES = 20, 64
 #: Word hashes that a worker remembers.
 REMEMBER = 1 << 19
 
@@ -61,51 +63,88 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
-def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text."""
+def _grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the n-grams at each word of all texts joined, word hashes, and the number of words of each text."""
     words = [t.encode().translate(LOWER).split() for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     flat = word_hashes([w for t in words for w in t])
-    weights = _weights(n)
     grams = np.zeros(max(len(flat) - n + 1, 0), np.uint64)
-    for i in range(n if len(grams) else 0):
-        grams += flat[i:len(flat) - n + 1 + i] * weights[i]
-    grams = mixed(grams)
+    for i, weight in enumerate(_weights(n) if len(grams) else ()):
+        grams += flat[i:len(flat) - n + 1 + i] * weight
+    return mixed(grams), flat, sizes
+
+
+def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
+    """The sorted distinct n-gram hashes of each text."""
+    grams, flat, sizes = _grams(texts, n)
     start = 0
-    for t in words:
-        if len(t) >= n:
-            yield np.unique(grams[start:start + len(t) - n + 1])
-        elif t:  # another mix than that of any full n-gram
-            whole = np.sum(flat[start:start + len(t)] * weights[:len(t)], dtype=np.uint64) + np.uint64(len(t))
+    for size in sizes.tolist():
+        if size >= n:
+            found = np.sort(grams[start:start + size - n + 1])
+            yield found[np.append(True, found[1:] != found[:-1])]
+        elif size:  # another mix than that of any full n-gram
+            whole = np.sum(flat[start:start + size] * _weights(size), dtype=np.uint64) + np.uint64(size)
             yield mixed(mixed(np.array([whole], np.uint64)))
         else:
             yield flat[:0]
-        start += len(t)
+        start += size
 
 
 def rarity(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
-    """Rarity class, 0 to 63, of each of 65,536 buckets of n-grams, from all documents."""
+    """Rarity class, 0 to 63, of each of 2**20 buckets of n-grams, from all documents.
+
+    A task sends its counts as packed stretches of the buckets; they are added up in two steps, so that a
+    stretch's task does not see one row of every first task.
+    """
     def work(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in pieces(batches, "text"):
-            sets = list(shingle_sets(batch["text"].to_pylist(), n))
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-        bucket = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(counts[bucket])], names=["bucket", "n"])
-
-    counts = docs.select(whole_text(text).alias("text")).mapInArrow(work, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+            grams, _, sizes = _grams(batch["text"].to_pylist(), n)
+            whole = np.ones(len(grams), bool)
+            for back in range(1, n):  # n-grams that would run into the next text
+                at = np.cumsum(sizes) - back
+                whole[at[(at >= 0) & (at < len(grams))]] = False
+            counts += np.bincount((grams[whole] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+        task = TaskContext.get().partitionId() % 64
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(STRETCHES), pa.int32()), pa.array([task] * STRETCHES, pa.int32()),
+             pa.array([zlib.compress(c.astype(_least_type(c)).tobytes(), 1) for c in np.split(counts, STRETCHES)], pa.binary())],
+            names=["stretch", "task", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros((1 << SKETCH_BITS) // STRETCHES, np.int64)
+        for data in group["counts"].to_pylist():
+            data = zlib.decompress(data)
+            total += np.frombuffer(data, f"<u{len(data) // len(total)}").astype(np.int64)
+        return pa.table({"stretch": group["stretch"][:1], "task": group["task"][:1], "counts": pa.array(
+            [zlib.compress(total.astype(_least_type(total)).tobytes(), 1)], pa.binary())})
+
+    schema = "stretch int, task int, counts binary"
+    sent = docs.select(whole_text(text).alias("text")).mapInArrow(work, schema).groupBy("stretch", "task").applyInArrow(add, schema)
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for bucket, n_sets in counts.collect():  # at most 65,536 rows
-        out[bucket] = int(n_sets).bit_length()
+    width = len(out) // STRETCHES
+    for stretch, _, data in sent.groupBy("stretch").applyInArrow(add, schema).collect():  # STRETCHES rows, 8 MB at most
+        data = zlib.decompress(data)
+        counts = np.frombuffer(data, f"<u{len(data) // width}").astype(np.float64)
+        out[stretch * width:(stretch + 1) * width] = np.frexp(counts)[1]
     return out
 
 
+def _least_type(counts: np.ndarray) -> str:
+    most = int(counts.max(initial=0))
+    return "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8"
+
+
 def _signed(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, c_hi, c_lo, g_hi, g_lo, prefix): set size, names of set and group, and prefix."""
+    held = docs.sparkSession.sparkContext.broadcast(classes)  # 1 MB
+
     def work(batches):
+        classes = held.value
         for batch in pieces(batches, "text"):
             size, whole, group, prefix = [], [], [], []
             for s in shingle_sets(batch["text"].to_pylist(), n):
@@ -128,7 +167,10 @@ def prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray, text: s
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """(id, set) of the classes ``wanted`` (id, c_hi, c_lo), read off the document that names each."""
+    """(id, set) of the classes ``wanted`` (id, c_hi, c_lo), read off the document that names each.
+
+    A document that is in the table twice gives its set twice, which does no harm to a join for links.
+    """
     def work(batches):
         for batch in pieces(batches, "text"):
             sets = list(shingle_sets(batch["text"].to_pylist(), n))
@@ -141,7 +183,7 @@ def _class_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str = "text")
                 names=["id", "set"])
 
     rows = wanted.join(docs.select("doc_id", whole_text(text).alias("text")), F.col("id") == F.col("doc_id")).select("id", "c_hi", "c_lo", "text")
-    return rows.mapInArrow(work, "id bigint, set array<bigint>").dropDuplicates(["id"])
+    return rows.mapInArrow(work, "id bigint, set array<bigint>")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text") -> DataFrame:
@@ -180,9 +222,17 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, text: str
     wanted = live.select("id").distinct().join(named.select("id", "c_hi", "c_lo"), "id")
     sets = stored(_class_sets(docs, wanted, n, text), "sets")
 
+    heads = stored(wanted.select("id").join(members, "id").join(firsts.select("gid", F.col("n_shingles").alias("n"), "prefix"), "gid")
+                   .select("id", "n", "prefix"), "heads")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-        both = pairs.join(left, "a").join(right, "b")
+        # of the prefix that ends first in the common order, all members but n - overlap are shared
+        first = pairs.join(heads.toDF("a", "na", "pa"), "a").join(heads.toDF("b", "nb", "pb"), "b")
+        both_n = F.col("na") + F.col("nb")
+        overlap = F.ceil(percent * both_n / (100 + percent))
+        least = F.least(F.size("pa") - F.col("na"), F.size("pb") - F.col("nb")) + overlap
+        first = first.where(F.size(F.array_intersect("pa", "pb")) >= least).select("a", "b", "ra", "rb").distinct()
+        both = first.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
         return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b", "ra", "rb")
 
