@@ -6,7 +6,7 @@ n-grams come first. Documents with the same set are one class, classes with the
 group. Prefix members of the groups make buckets; pairs of groups in a bucket pass on size and on the
 places of the shared member, are expanded to classes, and verified on whole sets.
 
-Rarity is the logarithm of the number of n-grams that fall into an n-gram's bucket, of 2**20, counted over all
+Rarity is the logarithm of the number of n-grams that fall into an n-gram's bucket, of 2**22, counted over all
 documents; it only orders n-grams, so its coarseness costs candidates and never a link.
 
 Words are compared as 64-bit hashes, n-grams as 64-bit mixes of these, sets as 128-bit hashes.
@@ -34,7 +34,8 @@ from roadledger.llm.common import column_name, drop_stored, pieces, stored, whol
 from roadledger.llm.links import link_buckets
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-SKETCH_BITS, STRETCHES = 20, 64
+#: Buckets whose n-grams are counted for their rarity, and the packed stretches in which counts travel.
+SKETCH_BITS, STRETCHES = 22, 256
 #: Word hashes that a worker remembers.
 REMEMBER = 1 << 19
 
@@ -91,7 +92,7 @@ def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
 
 
 def rarity(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
-    """Rarity class, 0 to 63, of each of 2**20 buckets of n-grams, from all documents.
+    """Rarity class of each of 2**22 buckets of n-grams, in eighths of a power of two, from all documents.
 
     A task sends its counts as packed stretches of the buckets; they are added up in two steps, so that a
     stretch's task does not see one row of every first task.
@@ -123,10 +124,10 @@ def rarity(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
     sent = docs.select(whole_text(text).alias("text")).mapInArrow(work, schema).groupBy("stretch", "task").applyInArrow(add, schema)
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     width = len(out) // STRETCHES
-    for stretch, _, data in sent.groupBy("stretch").applyInArrow(add, schema).collect():  # STRETCHES rows, 8 MB at most
+    for stretch, _, data in sent.groupBy("stretch").applyInArrow(add, schema).collect():  # STRETCHES rows, 32 MB at most
         data = zlib.decompress(data)
         counts = np.frombuffer(data, f"<u{len(data) // width}").astype(np.float64)
-        out[stretch * width:(stretch + 1) * width] = np.frexp(counts)[1]
+        out[stretch * width:(stretch + 1) * width] = np.minimum(8 * np.log2(counts + 1), 255)
     return out
 
 
@@ -141,7 +142,7 @@ def _signed(digests: list[bytes]) -> np.ndarray:
 
 def prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, c_hi, c_lo, g_hi, g_lo, prefix): set size, names of set and group, and prefix."""
-    held = docs.sparkSession.sparkContext.broadcast(classes)  # 1 MB
+    held = docs.sparkSession.sparkContext.broadcast(classes)  # 4 MB
 
     def work(batches):
         classes = held.value
