@@ -96,7 +96,7 @@ def gram_log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
     what meets is at most ``buckets`` rows a task. Ratios are rounded to four places.
     """
     ids = trusted.select(F.col("doc_id").alias("t_id")).distinct()
-    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("t_id"), "left")
+    marked = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("t_id"), "left")
     grams = marked.select(F.col("t_id").isNotNull().cast("long").alias("good"),
                           F.explode(_gram_buckets(words_of(F.col("text")), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("all"))
