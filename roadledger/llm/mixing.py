@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadledger.llm.common import column_name, word_count
+from roadledger.llm.common import column_name, stored, word_count
 
 #: Words in a block, slots numbered together, and cells of the unit interval that route points to sources.
 BLOCK, CHUNK, CELLS = 64, 65_536, 2_048
@@ -77,12 +77,13 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     cells = (ends.where(F.col("all") > 0).select("rn", edge(F.col("cum") - F.col("quota")).alias("lo"), edge(F.col("cum")).alias("hi"))
              .where("hi > lo").select("*", F.explode(F.sequence(
                  F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell")))
-    hit = (slots.withColumn("cell", F.floor(F.col("x") / width)).join(cells, "cell")
+    # runs of slots pack so well that their size misleads the choice of a broadcast: the big sides say merge
+    hit = (slots.withColumn("cell", F.floor(F.col("x") / width)).hint("merge").join(cells, "cell")
            .where("x >= lo and x < hi").select("chunk", "slot", "rn"))
     counts = hit.groupBy("rn", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("rn", "chunk", (F.sum("n").over(Window.partitionBy("rn").orderBy("chunk")) - F.col("n")).alias("base"))
     ranked = hit.select("*", F.row_number().over(Window.partitionBy("chunk", "rn").orderBy("slot")).alias("nth"))
-    ranked = ranked.join(before, ["rn", "chunk"]).select("slot", "rn", (F.col("base") + F.col("nth") - 1).alias("block"))
+    ranked = ranked.hint("merge").join(before, ["rn", "chunk"]).select("slot", "rn", (F.col("base") + F.col("nth") - 1).alias("block"))
     need = sources.select("rn", F.ceil(F.col("quota") / block).alias("need"), F.sum("quota").over(Window.partitionBy(F.lit(0))).alias("all"))
     got = counts.groupBy("rn").agg(F.sum("n").alias("got"))
     tail = (need.join(got, "rn", "left").withColumn("got", F.coalesce("got", F.lit(0)))
@@ -119,7 +120,7 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5
     One row for each part of a document in a block that the schedule takes, and one with a null slot
     for documents and passes that it leaves out. (rn, stretch, nth) names the document's row.
     """
-    sources = source_targets(sized.select("source", "size"), weights, share, cap)
+    sources = stored(source_targets(sized.select("source", "size"), weights, share, cap), "sources")  # one row per source
     lines = document_lines(sized.select("doc_id", "source", "size"), sources.withColumnRenamed("source", "s_source"), seed)
     walks = lines.select("*", F.explode(F.array(*map(F.lit, range(cap)))).alias("pass"))
     start = F.least(F.col("quota"), F.col("pass") * F.col("source_size") + F.col("at"))
@@ -130,7 +131,7 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5
     parts = walks.select("*", F.explode_outer(blocks).alias("block"))
     words = F.least("b", (F.col("block") + 1) * block) - F.greatest("a", F.col("block") * block)
     parts = parts.select("*", words.alias("words")).drop("a", "b")
-    return parts.join(schedule(sources, block), ["rn", "block"], "left").withColumn(
+    return parts.join(schedule(sources, block).hint("merge"), ["rn", "block"], "left").withColumn(
         "words", F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0))
 
 
