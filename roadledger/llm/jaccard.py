@@ -51,16 +51,21 @@ def _weights(n: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-_known: dict[bytes, int] = {}
+class _WordHashes(dict):
+    """64-bit hashes of words, each worked out when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_known = _WordHashes()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, each distinct word hashed once a worker, up to a bound."""
     if len(_known) > REMEMBER:
         _known.clear()
-    for w in set(words):
-        if w not in _known:
-            _known[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
