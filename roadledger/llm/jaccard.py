@@ -36,8 +36,6 @@ from roadledger.llm.links import link_buckets
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Buckets whose n-grams are counted for their rarity, and the packed stretches in which counts travel.
 SKETCH_BITS, STRETCHES = 22, 256
-#: Word hashes that a worker remembers.
-REMEMBER = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -51,22 +49,9 @@ def _weights(n: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, each worked out when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_known = _WordHashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, each distinct word hashed once a worker, up to a bound."""
-    if len(_known) > REMEMBER:
-        _known.clear()
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def _grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
