@@ -191,8 +191,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, text: str
     firsts = rows.join(groups.select("gid", "classes", F.col("g_hi").alias("hi"), F.col("g_lo").alias("lo")),
                        (F.col("doc_id") == F.col("gid")) & (F.col("g_hi") == F.col("hi")) & (F.col("g_lo") == F.col("lo")))
     listed = firsts.select("gid", "classes", "n_shingles", F.posexplode("prefix").alias("pos", "bucket"))
-    shared = listed.groupBy("bucket").agg(F.min("gid").alias("low"), F.max("gid").alias("high"), F.max("classes").alias("most"))
-    shared = shared.where("low < high or most > 1").select("bucket")
+    # of a bucket alone no name of its group travels; a row that repeats its id only lets a bucket more through
+    shared = listed.groupBy("bucket").agg(F.sum("classes").alias("held")).where("held > 1").select("bucket")
     group_entries = listed.join(shared, "bucket").select("bucket", "gid", F.col("n_shingles").alias("n"), F.col("pos").cast("long").alias("pos"))
 
     def near(x, y) -> Column:
