@@ -9,7 +9,7 @@ import numpy as np
 from roadledger.llm.common import ragged_take
 
 #: Chunks remembered in a task; beyond, the memory starts afresh.
-REMEMBER = 1 << 20
+REMEMBER = 1 << 19
 #: Chunks given to the encoder in one call.
 AT_ONCE = 1 << 13
 
