@@ -223,33 +223,58 @@ def crossings(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> Data
     return hit.withColumns({"x": F.col("a_x1") + F.col("t") * rx, "y": F.col("a_y1") + F.col("t") * ry})
 
 
-def crop_routes(parts: DataFrame, endpoints: DataFrame, project: str, part: str,
-                max_metres: float = 25_000.0, rule: str = "inner", touch: float = 1e-6,
-                ) -> tuple[DataFrame, DataFrame]:
-    """Crop every part of a project's route between its two endpoints.
-
-    ``parts`` are segments keyed by (project, part); ``endpoints`` are vertices (project, endpoint
-    'a'/'b', vid, x, y). Parts farther than ``max_metres`` from either endpoint are left out. The
-    endpoint's range on a part is where its vertices touch the part, or else its nearest spot.
-    Returns one row per kept part (fractions, distances, sources) and the cropped vertices.
+def endpoint_ranges(parts: DataFrame, endpoints: DataFrame, project: str, part: str, touch: float = 1e-6,
+                    lines: DataFrame | None = None, width: float = 1000.0) -> DataFrame:
+    """Where both endpoints of a project lie on each part of its route, and how far off, near or far.
+
+    ``endpoints`` are vertices (project, endpoint 'a'/'b', vid, x, y). Those of line and area endpoints
+    come a second time as segments in ``lines`` (project, endpoint, as from ``segments``; an area by its
+    closed outline). An endpoint's range on a part spans the spots where a segment of it crosses the part
+    or a vertex of either lies on the other; without any, it is the nearest spot. ``width`` is the side of
+    the grid cells in which crossings are looked for.
     """
     keys = [project, part]
     ids = parts.select(*keys).distinct()
     pts = endpoints.select(project, "endpoint", "vid", F.col("x").alias("px"), F.col("y").alias("py"))
-    pts = ids.join(pts, project)
-    at = locate(pts, parts, keys, ["endpoint", "vid"])
+    at = locate(ids.join(pts, project), parts, keys, ["endpoint", "vid"]).select(*keys, "endpoint", "offset", "position")
+    if lines is not None:
+        box = ["x1", "y1", "x2", "y2"]
+        lines = lines.select(project, "endpoint", "seg_no", *box, "d0", "seg_len")
+        met = crossings(parts.select(*keys, *box, "d0", "seg_len"), lines.select(project, "endpoint", *box), [project], width)
+        met = met.select(project, F.col(f"a_{part}").alias(part), F.col("b_endpoint").alias("endpoint"), F.lit(0.0).alias("offset"),
+                         (F.col("a_d0") + F.col("t") * F.col("a_seg_len")).alias("position"))
+        corners = parts.select(*keys, (2 * F.col("seg_no")).alias("vid"), F.col("x1").alias("px"), F.col("y1").alias("py"), F.col("d0").alias("position"))
+        corners = corners.unionByName(parts.select(*keys, (2 * F.col("seg_no") + 1).alias("vid"), F.col("x2").alias("px"), F.col("y2").alias("py"),
+                                                   (F.col("d0") + F.col("seg_len")).alias("position")))
+        near = corners.join(lines.select(project, "endpoint").distinct(), project)
+        off = locate(near, lines, [project, "endpoint"], [part, "vid"]).select(*keys, "vid", "endpoint", "offset")
+        off = off.join(corners.select(*keys, "vid", "position"), [*keys, "vid"]).select(*at.columns)
+        at = at.unionByName(met).unionByName(off)
     length = line_lengths(parts, keys).select(*keys, "length").where("length > 0")
     at = at.join(length, keys).withColumn("f", F.col("position") / F.col("length"))
     on = F.col("offset") <= touch
     ep = at.groupBy(*keys, "endpoint", "length").agg(
         F.min("offset").alias("dist"), F.min(F.when(on, F.col("f"))).alias("lo_on"),
-        F.max(F.when(on, F.col("f"))).alias("hi_on"), F.min(F.struct("offset", "vid", "f")).alias("n"))
+        F.max(F.when(on, F.col("f"))).alias("hi_on"), F.min(F.struct("offset", "f")).alias("n"))
     ep = ep.select(*keys, "endpoint", "length", "dist",
                    F.coalesce("lo_on", "n.f").alias("lo"), F.coalesce("hi_on", "n.f").alias("hi"),
                    F.when(F.col("lo_on").isNotNull(), "intersect").otherwise("nearest").alias("src"))
     sides = [ep.where(F.col("endpoint") == e).select(*keys, *(["length"] if e == "a" else []), *[
         F.col(c).alias(f"{c}_{e}") for c in ("dist", "lo", "hi", "src")]) for e in ("a", "b")]
-    both = sides[0].join(sides[1], keys)
+    return sides[0].join(sides[1], keys)
+
+
+def crop_routes(parts: DataFrame, endpoints: DataFrame, project: str, part: str,
+                max_metres: float = 25_000.0, rule: str = "inner", touch: float = 1e-6,
+                lines: DataFrame | None = None, width: float = 1000.0) -> tuple[DataFrame, DataFrame]:
+    """Crop every part of a project's route between its two endpoints.
+
+    ``parts`` are segments keyed by (project, part); ``endpoints`` and ``lines`` are as in
+    ``endpoint_ranges``. Parts farther than ``max_metres`` from either endpoint are left out.
+    Returns one row per kept part (fractions, distances, sources) and the cropped vertices.
+    """
+    keys = [project, part]
+    both = endpoint_ranges(parts, endpoints, project, part, touch, lines, width)
     both = both.where(F.greatest("dist_a", "dist_b") <= max_metres)
     swap = F.col("lo_a") + F.col("hi_a") > F.col("lo_b") + F.col("hi_b")
     first = {c: F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")) for c in ("lo", "hi")}
@@ -265,15 +290,17 @@ def crop_routes(parts: DataFrame, endpoints: DataFrame, project: str, part: str,
     return both, cut_lines(parts, cuts, keys, [])
 
 
-def crop_summary(cropped: DataFrame, all_parts: DataFrame, project: str, part: str) -> DataFrame:
-    """Per project: parts, kept parts, cropped length and length per carriageway."""
+def crop_summary(cropped: DataFrame, all_parts: DataFrame, project: str, part: str, ranges: DataFrame | None = None) -> DataFrame:
+    """Per project: parts, kept parts, cropped length, length per carriageway and distance of the nearest part.
+
+    ``ranges``, from ``endpoint_ranges``, gives the distance for projects with no part in reach as well.
+    """
     n_all = all_parts.select(project, part).distinct().groupBy(project).agg(F.count(F.lit(1)).alias("n_parts_all"))
     length = (F.col("crop_to") - F.col("crop_from")) * F.col("length")
     best = F.min_by(F.struct("crop_from", "crop_to", "src_a", "src_b"), F.col(part))
-    kept = cropped.groupBy(project).agg(
-        F.count(F.lit(1)).alias("n_parts_kept"), F.sum(length).alias("len_crop_m"),
-        F.min(F.greatest("dist_a", "dist_b")).alias("part_dist_m"), best.alias("b"))
-    out = n_all.join(kept, project, "left")
+    kept = cropped.groupBy(project).agg(F.count(F.lit(1)).alias("n_parts_kept"), F.sum(length).alias("len_crop_m"), best.alias("b"))
+    reach = (cropped if ranges is None else ranges).groupBy(project).agg(F.min(F.greatest("dist_a", "dist_b")).alias("part_dist_m"))
+    out = n_all.join(kept, project, "left").join(reach, project, "left")
     n = F.coalesce("n_parts_kept", F.lit(0))
     return out.select(project, "n_parts_all", n.alias("n_parts_kept"), "len_crop_m", "part_dist_m",
                       (F.col("len_crop_m") / F.greatest(n, F.lit(1))).alias("len_corr_m"), "b.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadledger.operators import joins
@@ -209,4 +209,35 @@ def crop_routes(spark: SparkSession, sf: str) -> DataFrame:
     ends = v.where(F.col("event_type").isin("signup", "purchase")).select(
         "user_id", F.when(F.col("event_type") == "signup", "a").otherwise("b").alias("endpoint"), F.col("seq").alias("vid"), "x", "y")
     cropped, _ = ln.crop_routes(s, ends, "user_id", "part", rule="mid")
-    return ln.crop_summary(cropped, s, "user_id", "part").drop("crop_from", "crop_to")
+    ranges = ln.endpoint_ranges(s, ends, "user_id", "part")
+    return ln.crop_summary(cropped, s, "user_id", "part", ranges).drop("crop_from", "crop_to")
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, s_suppkey % 4 AS kind, 100 + s_suppkey % 200 AS a, CASE WHEN s_suppkey % 4 = 0 THEN 600 ELSE 700 END + s_suppkey % 100 AS b,
+  CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS n_all FROM supplier)
+SELECT s_suppkey, CAST(n_all AS BIGINT) AS n_parts_all, CAST(CASE WHEN kind = 3 THEN 0 ELSE n_all END AS BIGINT) AS n_parts_kept,
+  round(CASE WHEN kind < 3 THEN (b - a) * n_all END::DOUBLE, 6) AS len_crop_m, CASE kind WHEN 2 THEN 30 WHEN 3 THEN 30000 ELSE 0 END::DOUBLE AS part_dist_m,
+  round(CASE WHEN kind < 3 THEN b - a END::DOUBLE, 6) AS len_corr_m, round(CASE WHEN kind < 3 THEN a END / 1000::DOUBLE, 9) AS crop_from,
+  round(CASE WHEN kind < 3 THEN b END / 1000::DOUBLE, 9) AS crop_to, CASE WHEN kind < 3 THEN 'intersect' END AS src_a,
+  CASE WHEN kind < 2 THEN 'intersect' WHEN kind = 2 THEN 'nearest' END AS src_b FROM s""")
+def crop_between_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Straight routes; one endpoint is a crossing line, the other an area, a spot on the route, beside it, or out of reach."""
+    key = F.col("s_suppkey")
+
+    def shape(*spots):
+        return F.array(*[F.struct((x if isinstance(x, Column) else F.lit(x)).cast("double").alias("x"), F.lit(float(y)).alias("y")) for x, y in spots])
+
+    s = read(spark, sf, "supplier").select("s_suppkey")
+    straight = s.select("s_suppkey", F.lit(0).alias("part"), F.posexplode(shape((0, 0), (400, 0), (1000, 0))).alias("seq", "p")).unionByName(
+        s.where(key % 2 == 0).select("s_suppkey", F.lit(1).alias("part"), F.posexplode(shape((0, 5000), (1000, 5000))).alias("seq", "p")))
+    parts = ln.segments(straight.select("s_suppkey", "part", "seq", "p.*"), ["s_suppkey", "part"])
+    a, left, spot = 100 + key % 200, 600 + key % 100, 700 + key % 100
+    area = shape((left, -10), (spot, -10), (spot, 10), (left, 10), (left, -10))
+    other = F.when(key % 4 == 0, area).when(key % 4 == 1, shape((spot, 0))).when(key % 4 == 2, shape((spot, 30))).otherwise(shape((spot, -30_000)))
+    ends = s.select("s_suppkey", F.lit("a").alias("endpoint"), F.posexplode(shape((a, -50), (a, 50))).alias("vid", "p")).unionByName(
+        s.select("s_suppkey", F.lit("b").alias("endpoint"), F.posexplode(other).alias("vid", "p"))).select("s_suppkey", "endpoint", "vid", "p.*")
+    lines = ln.segments(ends, ["s_suppkey", "endpoint"], "vid")
+    cropped, _ = ln.crop_routes(parts, ends, "s_suppkey", "part", lines=lines)
+    ranges = ln.endpoint_ranges(parts, ends, "s_suppkey", "part", lines=lines)
+    return rnd(ln.crop_summary(cropped, parts, "s_suppkey", "part", ranges), len_crop_m=6, part_dist_m=6, len_corr_m=6, crop_from=9, crop_to=9)

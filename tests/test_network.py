@@ -116,6 +116,19 @@ def test_crop_inner_rule(spark):
     assert rows(x, "x", "y") == [(500.0, 0.0)]
 
 
+def test_crop_with_shapes(spark):
+    parts = ln.segments(line(spark, [(0, 0), (1000, 0)], "p"), ["k"]).withColumn("part", F.lit(0))
+    ends = spark.createDataFrame([("p", "a", 1, 20.0, -50.0), ("p", "a", 2, 20.0, 50.0), ("p", "b", 1, 990.0, -40.0), ("p", "b", 2, 1010.0, -30.0), ("p", "b", 3, 990.0, 5.0)],
+                                 "k string, endpoint string, vid int, x double, y double")
+    lines = ln.segments(ends.where("endpoint = 'a' or vid < 3"), ["k", "endpoint"], "vid")
+    r = ln.endpoint_ranges(parts, ends, "k", "part", lines=lines).first()
+    assert (r["lo_a"], r["hi_a"], r["dist_a"], r["src_a"]) == (0.02, 0.02, 0.0, "intersect")
+    assert (r["dist_b"], r["lo_b"], r["src_b"]) == (5.0, 0.99, "nearest")
+    cropped, _ = ln.crop_routes(parts, ends, "k", "part", max_metres=1.0, lines=lines)
+    far = ln.crop_summary(cropped, parts, "k", "part", ln.endpoint_ranges(parts, ends, "k", "part", lines=lines)).first()
+    assert (far["n_parts_kept"], far["part_dist_m"]) == (0, 5.0)
+
+
 def test_jaro_and_name_join(spark):
     sim = jaro_batch(pd.Series(["martha", "dwayne", "dixon", "abc", ""]), pd.Series(["marhta", "duane", "dicksonx", "xyz", ""]))
     assert [round(v, 4) for v in sim] == [0.9444, 0.8222, 0.7667, 0.0, 1.0]
