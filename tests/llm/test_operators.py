@@ -335,6 +335,29 @@ def test_simhash_of_long_lines():
     assert line_dedup.simhashes([words, words[:1]]).view(np.uint64)[0] == want
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_word_check_is_never_wrong():
+    rng = random.Random(5)
+    sure = 0
+    for _ in range(300):
+        a = [rng.choice(["a", "bb", "ccc", "dé", "eeeee"]) for _ in range(rng.randint(1, 12))]
+        b = [w for w in a if rng.random() > .1]
+        b.insert(rng.randint(0, len(b)), "zz")
+        la, lb = " ".join(a), " ".join(b)
+        if line_dedup.surely_near(la, lb):
+            sure += 1
+            assert 100 * _edits(la, lb) <= 20 * max(len(la), len(lb))
+    assert sure > 20 and not line_dedup.surely_near("a b", "c d") and line_dedup.surely_near("a b", "a b")
+
+
 def test_mixing_meets_targets_and_sql(docs, empty):
     got = mixing.mixed_words(docs).collect()
     con = duckdb.connect()
