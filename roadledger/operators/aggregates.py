@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadledger.operators.ordered import HOT_ROWS, ordered, with_group_values
+from roadledger.operators.ordered import ordered, with_group_values
 
 
 def roll_up(df: DataFrame, keys: list[str], order: list[str], sums: list[str] | None = None,
@@ -46,8 +46,7 @@ def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str, out:
 
 
 def weighted_percentiles(df: DataFrame, keys: list[str], value: str, weight: str | None,
-                         points: list[float], split_width: float,
-                         hot_rows: int = HOT_ROWS) -> DataFrame:
+                         points: list[float], split_width: float) -> DataFrame:
     """Weighted percentiles: first value whose running weight passes p * total, averaged with the
     one before when the running weight meets it exactly.
 
@@ -58,7 +57,7 @@ def weighted_percentiles(df: DataFrame, keys: list[str], value: str, weight: str
     rows = df.where(F.col(value).isNotNull() & w.isNotNull() & (w > 0))
     mass = rows.groupBy(*keys, value).agg(F.sum(w).alias("__w"))
     cum = ordered(mass, keys, [value], total={"__cum": "__w"},
-                  split=F.floor(F.col(value) / split_width), hot_rows=hot_rows)
+                  split=F.floor(F.col(value) / split_width))
     cum = with_group_values(cum, keys, __tot=F.sum("__w"))
     aggs = []
     for i, p in enumerate(points):
@@ -75,7 +74,7 @@ def weighted_percentiles(df: DataFrame, keys: list[str], value: str, weight: str
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: list[float],
-                      names: list[str], split_width: float, hot_rows: int = HOT_ROWS) -> DataFrame:
+                      names: list[str], split_width: float) -> DataFrame:
     """Linearly interpolated percentiles without holding a group's values in one task.
 
     Counts per distinct value, an ordered running count, then the two order statistics of each
@@ -84,7 +83,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: list[f
     rows = df.where(F.col(value).isNotNull())
     freq = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     cum = ordered(freq, keys, [value], total={"__cum": "__c"},
-                  split=F.floor(F.col(value) / split_width), hot_rows=hot_rows)
+                  split=F.floor(F.col(value) / split_width))
     cum = with_group_values(cum, keys, __n=F.sum("__c"))
     aggs = []
     for i, p in enumerate(points):
@@ -271,12 +270,12 @@ def top_k_within(df: DataFrame, group: str, category: str, k: int) -> DataFrame:
 
 
 def cumulative_share(df: DataFrame, keys: list[str], at: str, weight: str, split_width: float,
-                     points: tuple[float, ...] = (0.5, 0.9), hot_rows: int = HOT_ROWS,
+                     points: tuple[float, ...] = (0.5, 0.9),
                      ) -> tuple[DataFrame, DataFrame]:
     """Cumulative weight share by position, and the first position that reaches each point."""
     mass = df.groupBy(*keys, at).agg(F.sum(weight).alias("amount"))
     cum = ordered(mass, keys, [at], total={"__c": "amount"},
-                  split=F.floor(F.col(at) / split_width), hot_rows=hot_rows)
+                  split=F.floor(F.col(at) / split_width))
     cum = with_group_values(cum, keys, __t=F.sum("amount")) if keys else cum.withColumn(
         "__t", mass.agg(F.sum("amount")).scalar())
     cum = cum.withColumn("share", F.try_divide("__c", "__t"))

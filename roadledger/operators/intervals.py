@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadledger.operators.ordered import (HOT_ROWS, drop_parts, first_row, group_id, join_back,
+from roadledger.operators.ordered import (drop_parts, first_row, group_id, join_back,
                                           ordered, tag_parts, with_group_values)
 from roadledger.session import cut_lineage
 
@@ -16,8 +16,7 @@ from roadledger.session import cut_lineage
 def chain(df: DataFrame, keys: list[str], start: str, end: str, tie: list[str],
           breaks: dict[str, float] | None = None, tolerance: float | None = 0.01,
           order: list[str] | None = None, solo_if_null: bool = True,
-          out: str = "chain_seq", split: Column | None = None,
-          hot_rows: int = HOT_ROWS) -> DataFrame:
+          out: str = "chain_seq", split: Column | None = None) -> DataFrame:
     """Number contiguous runs of intervals inside each key, along the start position.
 
     A run breaks when the start is farther than ``tolerance`` from the previous end, or when a
@@ -30,7 +29,7 @@ def chain(df: DataFrame, keys: list[str], start: str, end: str, tie: list[str],
     prev = {f"__p_{c}": c for c in breaks} | ({"__p_end": end} if tolerance is not None else {})
     marked = df.withColumn("__solo", solo if solo_if_null else F.lit(False))
     work = marked.where(~F.col("__solo"))
-    work = tag_parts(work.withColumn("__one", F.lit(1)), keys, split, hot_rows)
+    work = tag_parts(work.withColumn("__one", F.lit(1)), split)
     work = ordered(work, keys, order, lag=prev | {"__seen": "__one"})
     tests = [F.col("__seen").isNull()]
     if tolerance is not None:
@@ -63,14 +62,13 @@ def collapse_chains(df: DataFrame, keys: list[str], seq: str, start: str, end: s
 
 
 def link_gaps(df: DataFrame, keys: list[str], start: str, end: str, tie: list[str],
-              zero: float = 0.01, cancel: float = 0.001, split: Column | None = None,
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              zero: float = 0.01, cancel: float = 0.001, split: Column | None = None) -> DataFrame:
     """Gap to the previous interval's end, with near-zero gaps cleared and neighbours cancelled.
 
     A gap is cancelled when the previous or next gap of the route has almost the same size.
     """
     order = [start, *tie]
-    df = ordered(tag_parts(df, keys, split, hot_rows), keys, order, lag={"__p": end})
+    df = ordered(tag_parts(df, split), keys, order, lag={"__p": end})
     gap = F.round(F.col(start) - F.col("__p"), 9)
     df = df.withColumn("link_gap", F.when(F.abs(gap) < zero, F.lit(0.0)).otherwise(gap)).drop("__p")
     df = drop_parts(ordered(df, keys, order, lag={"__g0": "link_gap"}, lead={"__g1": "link_gap"}))
@@ -111,12 +109,10 @@ def continuity_shares(routes: DataFrame) -> DataFrame:
 
 
 def opening_gaps(df: DataFrame, cell: list[str], first_year: str, last_year: str, amount: str,
-                 tie: list[str] | None = None, split: Column | None = None,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+                 tie: list[str] | None = None, split: Column | None = None) -> DataFrame:
     """Years between successive openings of a cell, the opening's ordinal, cell count, min gap, span."""
     order = [last_year, first_year, *(tie or [])]
-    df = ordered(df, cell, order, lag={"__p": last_year}, rank="opening_no", split=split,
-                 hot_rows=hot_rows)
+    df = ordered(df, cell, order, lag={"__p": last_year}, rank="opening_no", split=split)
     df = df.withColumn("gap", F.col(first_year) - F.col("__p")).drop("__p")
     return with_group_values(
         df, cell, n_openings=F.count(F.lit(1)), min_gap=F.min("gap"), cell_amount=F.sum(amount),
@@ -148,10 +144,9 @@ def attribution_classes(gaps: DataFrame, cell: list[str], wide: float, narrow: f
 
 
 def continuity_flags(df: DataFrame, keys: list[str], start: str, length: str, tie: list[str],
-                     tolerance: float = 100, split: Column | None = None,
-                     hot_rows: int = HOT_ROWS) -> DataFrame:
+                     tolerance: float = 100, split: Column | None = None) -> DataFrame:
     """Whether the next start equals this end exactly (``check1``) or within a tolerance (``check0``)."""
-    df = ordered(df, keys, [start, *tie], lead={"__n": start}, split=split, hot_rows=hot_rows)
+    df = ordered(df, keys, [start, *tie], lead={"__n": start}, split=split)
     end = F.col(start) + F.col(length)
     near = F.coalesce(F.abs(F.col("__n") - end) < tolerance, F.lit(False))
     same = F.coalesce(F.col("__n") == end, F.lit(False))
@@ -160,8 +155,7 @@ def continuity_flags(df: DataFrame, keys: list[str], start: str, length: str, ti
 
 def drop_overlaps(df: DataFrame, keys: list[str], start: str, length: str, tie: list[str],
                   tolerance: float = 100, slack: float = 50, depth: int = 5,
-                  block_rows: int = 50_000, split: Column | None = None,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+                  block_rows: int = 50_000, split: Column | None = None) -> DataFrame:
     """Remove repeated segments: after a discontinuity, drop up to ``depth`` later rows while the
     start after them fits the reference end better.
 
@@ -172,7 +166,7 @@ def drop_overlaps(df: DataFrame, keys: list[str], start: str, length: str, tie:
     block replays the scan from its true entry. A long route is never held by one task.
     """
     order = [start, *tie]
-    df = ordered(df, keys, order, rank="__rn", ahead={"__next": (start, depth + 2)}, split=split, hot_rows=hot_rows)
+    df = ordered(df, keys, order, rank="__rn", ahead={"__next": (start, depth + 2)}, split=split)
     end = F.col(start) + F.col(length)
     nxt = [F.try_element_at("__next", F.lit(i)) for i in range(1, depth + 3)]
     continuous = F.coalesce(F.abs(nxt[0] - end) < tolerance, F.lit(False))
@@ -243,12 +237,11 @@ def drop_overlaps(df: DataFrame, keys: list[str], start: str, length: str, tie:
 
 
 def gap_rows(df: DataFrame, keys: list[str], start: str, length: str, tie: list[str],
-             blank: list[str], limit: float = 100, split: Column | None = None,
-             hot_rows: int = HOT_ROWS) -> DataFrame:
+             blank: list[str], limit: float = 100, split: Column | None = None) -> DataFrame:
     """Add a row with blank attributes for every gap above ``limit`` and for a late first start."""
     df = df.withColumn("__one", F.lit(1))
     df = ordered(df, keys, [start, *tie], lag={"__ps": start, "__pl": length, "__seen": "__one"},
-                 split=split, hot_rows=hot_rows)
+                 split=split)
     prev_end = F.when(F.col("__seen").isNull(), F.lit(0.0)).otherwise(F.col("__ps") + F.col("__pl"))
     gap = F.when(F.col("__seen").isNull(), F.col(start) != 0).otherwise(
         F.col(start) - prev_end > limit)
@@ -268,8 +261,8 @@ def subtract_first(df: DataFrame, keys: list[str], column: str, when: Column) ->
 
 
 def repeated_segments(df: DataFrame, keys: list[str], start: str, end: str, tie: list[str],
-                      split: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                      split: Column | None = None) -> DataFrame:
     """Drop a segment when the next of its route ends at the same place, then exact repeats."""
-    nxt = ordered(df, keys, [end, start, *tie], lead={"__n": end}, split=split, hot_rows=hot_rows)
+    nxt = ordered(df, keys, [end, start, *tie], lead={"__n": end}, split=split)
     kept = nxt.where(F.col("__n").isNull() | (F.col("__n") != F.col(end))).drop("__n")
     return first_row(kept, [*keys, start, end], tie)

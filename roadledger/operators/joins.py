@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roadledger.operators.names import (jaro_distance, match_keys, numbered, ranked_characters,
                                         shared_needed)
-from roadledger.operators.ordered import HOT_ROWS, join_back, ordered
+from roadledger.operators.ordered import join_back, ordered
 
 
 def lookup(df: DataFrame, dim: DataFrame, keys: list[str], keep_unmatched: bool = False) -> DataFrame:
@@ -36,22 +36,22 @@ def merge_code(left: DataFrame, right: DataFrame, keys: list[str],
 
 def positional_merge(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str],
                      right_order: list[str], left_split: Column | None = None,
-                     right_split: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                     right_split: Column | None = None) -> DataFrame:
     """Pair the i-th rows of both sides inside a key; the shorter side repeats its last row."""
     count = F.count(F.lit(1)).alias("__n")
     l_n = left.groupBy(*keys).agg(count.alias("__ln"))
     r_n = right.groupBy(*keys).agg(count.alias("__rn"))
     sizes = l_n.join(r_n, keys, "inner")
-    a = ordered(left, keys, left_order, rank="__i", split=left_split, hot_rows=hot_rows)
-    b = ordered(right, keys, right_order, rank="__j", split=right_split, hot_rows=hot_rows)
+    a = ordered(left, keys, left_order, rank="__i", split=left_split)
+    b = ordered(right, keys, right_order, rank="__j", split=right_split)
     a, b = a.join(sizes, keys), b.join(sizes.select(*keys, "__ln"), keys)
     # the repeated last row of the shorter side becomes one row per missing position
     a = a.withColumn("__i", F.explode(F.when(
         (F.col("__i") == F.col("__ln")) & (F.col("__rn") > F.col("__ln")),
-        F.sequence(F.col("__i"), F.col("__rn").cast("int"))).otherwise(F.array("__i"))))
+        F.sequence(F.col("__i"), F.col("__rn"))).otherwise(F.array("__i"))))
     b = b.join(r_n, keys).withColumn("__j", F.explode(F.when(
         (F.col("__j") == F.col("__rn")) & (F.col("__ln") > F.col("__rn")),
-        F.sequence(F.col("__j"), F.col("__ln").cast("int"))).otherwise(F.array("__j"))))
+        F.sequence(F.col("__j"), F.col("__ln"))).otherwise(F.array("__j"))))
     a, b = a.drop("__ln", "__rn"), b.drop("__ln", "__rn").withColumnRenamed("__j", "__i")
     return a.join(b, [*keys, "__i"]).drop("__i")
 
@@ -171,8 +171,7 @@ def with_fallback(requests: DataFrame, keys: list[str], first: DataFrame,
 
 
 def nearest_record(left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str],
-                   left_at: str, right_at: str, right_tie: str, split_width: float,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+                   left_at: str, right_at: str, right_tie: str, split_width: float) -> DataFrame:
     """Nearest right row by absolute difference inside a key, ties to the lowest ``right_tie``.
 
     Only the last position at or below and the first above can be nearest. Both sides are scanned
@@ -187,8 +186,7 @@ def nearest_record(left: DataFrame, right: DataFrame, keys: list[str], left_id:
         *keys, F.col(left_at).alias("__at"), F.lit(1).alias("__side"), F.lit(0).alias("__one"),
         F.lit(None).cast(right.schema[right_tie].dataType).alias("__tie"), *left_id))
     split = F.floor(F.col("__at").cast("double") / split_width)
-    seen = ordered(mixed, keys, ["__at", "__side", *left_id], total={"__k": "__one"}, split=split,
-                   hot_rows=hot_rows)
+    seen = ordered(mixed, keys, ["__at", "__side", *left_id], total={"__k": "__one"}, split=split)
     numbered = seen.where("__side = 0").select(*keys, "__k", F.col("__at").alias("__r"), "__tie")
     probes = seen.where("__side = 1").select(*keys, *left_id, F.col("__at").alias("__l"),
                                              F.explode(F.array("__k", F.col("__k") + 1)).alias("__k"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadledger.functions.numeric import METRES_PER_FOOT, METRES_PER_MILE
-from roadledger.operators.ordered import HOT_ROWS, drop_parts, ordered, tag_parts
+from roadledger.operators.ordered import drop_parts, ordered, tag_parts
 
 # GRS80 ellipsoid and the parameters of the CONUS equal-area projection.
 _A, _E2 = 6378137.0, 0.00669438002290
@@ -38,10 +38,9 @@ def project_albers(lon: Column, lat: Column) -> tuple[Column, Column]:
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
 
 
-def segments(vertices: DataFrame, keys: list[str], seq: str = "seq", split: Column | None = None,
-             hot_rows: int = HOT_ROWS) -> DataFrame:
+def segments(vertices: DataFrame, keys: list[str], seq: str = "seq", split: Column | None = None) -> DataFrame:
     """Consecutive vertex pairs with number, length and the distance of their start."""
-    v = tag_parts(vertices.select(*keys, seq, "x", "y"), keys, split, hot_rows)
+    v = tag_parts(vertices.select(*keys, seq, "x", "y"), split)
     part = [c for c in v.columns if c not in (*keys, seq, "x", "y")]
     v = ordered(v, keys, [seq], lead={"x2": "x", "y2": "y"}, rank="__rn")
     v = v.where(F.col("x2").isNotNull())

@@ -1,9 +1,10 @@
 """Ordered scans and group totals that survive a group holding a large share of all rows.
 
-A plain ordered window puts each group into one task. Here a group above ``hot_rows`` rows is cut
-into consecutive parts by a caller-supplied expression that never decreases along the order (a
-month of a date, a block of miles). Each part is scanned on its own; one row per part then carries
-the running sums, ranks and border values across, so the result equals the plain window's.
+A plain ordered window puts each group into one task. Here every group is cut into consecutive
+parts by a caller-supplied expression that never decreases along the order (a month of a date, a
+block of miles; NULL where the leading order column is NULL). Each part is scanned on its own; one
+row per part then carries the running sums, ranks and border values across, so the result equals
+the plain window's. The plan is the same at every size, and no job runs while it is built.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 5_000_000
 _PART = "__part"
 
 
@@ -30,32 +30,9 @@ def join_back(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return out.drop(*[f"__k_{k}" for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Key values with more than ``hot_rows`` rows: at most rows / hot_rows of them."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return counts.where(F.col("__n") > hot_rows).select(*keys)
-
-
-def tag_parts(df: DataFrame, keys: list[str], split: Column | None,
-              hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add the part of each row where the table has hot groups; without any, return it unchanged.
-
-    One counting job over the key columns decides. The list of hot groups has at most one entry
-    per ``hot_rows`` input rows (200,000 entries for 10^12 rows), which bounds the broadcast; for
-    a lower threshold the planner decides. Rows of other groups get a NULL part. Operators with
-    several scans tag once and pass the tagged table on.
-    """
-    if split is None or _PART in df.columns:
-        return df
-    if not keys:
-        return df.withColumn(_PART, split)
-    hot = hot_keys(df, keys, hot_rows)
-    if hot.isEmpty():
-        return df
-    hot = hot.withColumn("__hot", F.lit(True))
-    hot = F.broadcast(hot) if hot_rows >= 1_000_000 else hot
-    tagged = join_back(df, hot, keys)
-    return tagged.withColumn(_PART, F.when(F.col("__hot"), split)).drop("__hot")
+def tag_parts(df: DataFrame, split: Column | None) -> DataFrame:
+    """Add the part of each row. Operators with several scans tag once and pass the tagged table on."""
+    return df if split is None or _PART in df.columns else df.withColumn(_PART, split)
 
 
 def drop_parts(df: DataFrame) -> DataFrame:
@@ -66,19 +43,19 @@ def ordered(df: DataFrame, keys: list[str], order: list[str],
             lag: dict[str, str] | None = None, lead: dict[str, str] | None = None,
             total: dict[str, str] | None = None, rank: str | None = None,
             first: dict[str, str] | None = None, ahead: dict[str, tuple[str, int]] | None = None,
-            split: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+            split: Column | None = None) -> DataFrame:
     """Add columns computed along an ascending total order inside each group.
 
     ``lag``/``lead`` map output to source column (previous / next row), ``total`` gives running
     sums, ``rank`` names a row number, ``first`` gives the value of the group's first row, and
     ``ahead`` maps output to (column, depth) for the array of the next ``depth`` values.
     Without ``split`` the groups must be small enough for one task. With an empty key list the
-    whole table is one group and ``split`` always applies.
+    whole table is one group.
     """
     lag, lead, total, first = lag or {}, lead or {}, total or {}, first or {}
     ahead = ahead or {}
     owner = _PART not in df.columns
-    base = tag_parts(df, keys, split, hot_rows)
+    base = tag_parts(df, split)
     parted = _PART in base.columns
     groups = [*keys, _PART] if parted else list(keys)
     w = Window.partitionBy(*groups).orderBy(*order)
@@ -90,7 +67,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str],
     new |= {o: F.collect_list(F.struct(F.col(c).alias("v"))).over(w.rowsBetween(1, n))
             for o, (c, n) in ahead.items()}
     if rank:
-        new[rank] = F.row_number().over(w)
+        new[rank] = F.row_number().over(w).cast("bigint")
     if not parted:
         if ahead:
             base = base.withColumns(new)
@@ -103,7 +80,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str],
         new["__is_last"] = F.lead(F.lit(1)).over(w).isNull()
     scanned = base.withColumns(new)
 
-    # one row per part of a hot group, then one small window across the parts of each group
+    # one row per part, then one small window across the parts of each group
     at = F.struct(*order)
     aggs = [F.count(F.lit(1)).alias("__n")]
     aggs += [F.max_by(F.struct(c), at)[c].alias(f"__last_{o}")
@@ -111,7 +88,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str],
     aggs += [F.min_by(F.struct(c), at)[c].alias(f"__first_{o}") for o, c in lead.items()]
     aggs += [F.min_by(F.struct(c), at)[c].alias(f"__head_{o}") for o, c in first.items()]
     aggs += [F.sum(c).alias(f"__sum_{o}") for o, c in total.items()]
-    cut = base.where(F.col(_PART).isNotNull())
+    cut = base
     if ahead:
         # only the first rows of a part can be ahead of the rows before it
         depth = max(n for _, n in ahead.values())
@@ -130,22 +107,20 @@ def ordered(df: DataFrame, keys: list[str], order: list[str],
                 for o, (_, n) in ahead.items()}
     if rank:
         carried["__base_rank"] = F.sum("__n").over(before)
-    carry = edges.select(*groups, *[c.alias(n) for n, c in carried.items()],
-                         F.lit(True).alias("__in_part"))
+    carry = edges.select(*groups, *[c.alias(n) for n, c in carried.items()])
     out = join_back(scanned, carry, groups)
 
     fixed = {}
-    inside = F.col("__in_part").isNotNull()
     for o in lag:
-        fixed[o] = F.when(inside & F.col("__is_first"), F.col(f"__lag_{o}")).otherwise(F.col(o))
+        fixed[o] = F.when(F.col("__is_first"), F.col(f"__lag_{o}")).otherwise(F.col(o))
     for o in lead:
-        fixed[o] = F.when(inside & F.col("__is_last"), F.col(f"__lead_{o}")).otherwise(F.col(o))
+        fixed[o] = F.when(F.col("__is_last"), F.col(f"__lead_{o}")).otherwise(F.col(o))
     for o in total:
         base_sum = F.col(f"__base_{o}")
         fixed[o] = (F.when(base_sum.isNull(), F.col(o)).when(F.col(o).isNull(), base_sum)
                     .otherwise(F.col(o) + base_sum))
     for o in first:
-        fixed[o] = F.when(inside, F.col(f"__top_{o}")).otherwise(F.col(o))
+        fixed[o] = F.col(f"__top_{o}")
     for o, (_, n) in ahead.items():
         own = F.transform(o, lambda x: x["v"])
         more = F.transform(F.coalesce(F.col(f"__more_{o}"), F.array().cast(base.select(
@@ -154,7 +129,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str],
     if rank:
         fixed[rank] = F.col(rank) + F.coalesce(F.col("__base_rank"), F.lit(0))
     out = out.withColumns(fixed)
-    out = out.drop("__is_first", "__is_last", "__in_part", *carried)
+    out = out.drop("__is_first", "__is_last", *carried)
     return drop_parts(out) if owner else out
 
 
@@ -189,18 +164,17 @@ def group_id(keys: list[str]) -> Column:
 
 
 def drop_when_next_equal(df: DataFrame, keys: list[str], order: list[str], column: str,
-                         split: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                         split: Column | None = None) -> DataFrame:
     """Drop a row when the next one has the same value of ``column``."""
-    nxt = ordered(df, keys, order, lead={"__next": column}, split=split, hot_rows=hot_rows)
+    nxt = ordered(df, keys, order, lead={"__next": column}, split=split)
     kept = nxt.where(F.col("__next").isNull() | (F.col("__next") != F.col(column)))
     return kept.drop("__next")
 
 
 def distinct_running_count(df: DataFrame, keys: list[str], order: list[str], column: str,
-                           out: str, split: Column | None = None,
-                           hot_rows: int = HOT_ROWS) -> DataFrame:
+                           out: str, split: Column | None = None) -> DataFrame:
     """Running number of distinct consecutive values of an ordered column (first row counts 1)."""
-    df = ordered(tag_parts(df, keys, split, hot_rows), keys, order, lag={"__prev": column})
+    df = ordered(tag_parts(df, split), keys, order, lag={"__prev": column})
     new = F.col("__prev").isNull() | (F.col("__prev") != F.col(column))
     df = df.withColumn("__step", new.cast("bigint")).drop("__prev")
     return drop_parts(ordered(df, keys, order, total={out: "__step"})).drop("__step")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadledger.operators.ordered import HOT_ROWS, ordered, with_group_values
+from roadledger.operators.ordered import ordered, with_group_values
 
 
 def hash_fraction(key: Column, salt: Column | str) -> Column:
@@ -36,14 +36,13 @@ def allocate_strata(df: DataFrame, strata: list[str], n: int) -> DataFrame:
     return ranked.select(*strata, "population", (F.col("__floor") + extra).alias("allocated"))
 
 
-def stratified_sample(df: DataFrame, id_col: str, strata: list[str], n: int, seed: str,
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
+def stratified_sample(df: DataFrame, id_col: str, strata: list[str], n: int, seed: str) -> DataFrame:
     """Proportional sample without replacement; large strata are ranked in hash-range parts."""
     quota = allocate_strata(df, strata, n).select(*strata, "allocated")
     rows = df.withColumn("__h", F.md5(F.concat_ws("_", F.col(id_col).cast("string"), F.lit(seed))))
     rows = rows.join(quota.where("allocated > 0"), strata)
     part = F.conv(F.substring("__h", 1, 3), 16, 10).cast("bigint")
-    ranked = ordered(rows, strata, ["__h", id_col], rank="__i", split=part, hot_rows=hot_rows)
+    ranked = ordered(rows, strata, ["__h", id_col], rank="__i", split=part)
     return ranked.where(F.col("__i") <= F.col("allocated")).drop("__i", "__h", "allocated")
 
 

@@ -178,7 +178,7 @@ def test_fixed_effects_match_dummies(spark):
 
 def test_sampling_is_exact_when_split(spark):
     df = spark.range(500).select("id", F.when(F.col("id") < 400, "big").otherwise("small").alias("s"))
-    a = rows(sm.stratified_sample(df, "id", ["s"], 51, "x", hot_rows=100))
+    a = rows(sm.stratified_sample(df, "id", ["s"], 51, "x"))
     assert a == rows(sm.stratified_sample(df, "id", ["s"], 51, "x")) and len(a) == 51
     assert rows(sm.allocate_strata(df, ["s"], 51), "s", "allocated") == [("big", 41), ("small", 10)]
 

@@ -27,7 +27,7 @@ def test_split_scan_equals_window(spark, data):
     df = _table(spark, data)
     args = dict(lag={"lg": "v"}, lead={"ld": "v"}, total={"t": "v"}, rank="r", first={"f": "v"}, ahead={"ah": ("p", 3)})
     plain = od.ordered(df, ["k"], ["p", "i"], **args)
-    split = od.ordered(df, ["k"], ["p", "i"], **args, split=F.floor(F.col("p") / 7), hot_rows=4)
+    split = od.ordered(df, ["k"], ["p", "i"], **args, split=F.floor(F.col("p") / 7))
     assert "__part" not in split.columns
     assert rows(plain) == rows(split.select(*plain.columns))
 
@@ -38,6 +38,16 @@ def test_split_scan_over_whole_table(spark):
     assert rows(out, "p", "r", "t") == sorted(((p, p + 1, float(p + 1)) for p in range(20)), key=repr)
 
 
+def test_rows_without_a_position_form_the_first_part(spark):
+    df = spark.createDataFrame([("a", None, 0, 2.0), ("a", None, 1, 3.0), ("a", 4, 2, 5.0), ("a", 40, 3, None)],
+                               "k string, p int, i int, v double")
+    args = dict(lag={"lg": "i"}, lead={"ld": "i"}, total={"t": "v"}, rank="r", first={"f": "v"})
+    want = [(0, None, 1, 2.0, 1, 2.0), (1, 0, 2, 5.0, 2, 2.0), (2, 1, 3, 10.0, 3, 2.0), (3, 2, None, 10.0, 4, 2.0)]
+    for width in (1, 7, 100):
+        out = od.ordered(df, ["k"], ["p", "i"], **args, split=F.floor(F.col("p") / width))
+        assert sorted(map(tuple, out.select("i", "lg", "ld", "t", "r", "f").collect())) == want
+
+
 def test_range_window_equals_window(spark):
     random.seed(1)
     df = spark.createDataFrame([(random.choice("ab"), random.randint(1990, 2000), random.random()) for _ in range(60)],
@@ -86,7 +96,7 @@ def test_overlap_removal_matches_a_plain_scan(spark):
         want[route] = [float(s) for s in _reference_drop(starts, lengths)]
     df = spark.createDataFrame(data, "route string, s double, l double")
     for block in (4, 50_000):
-        out = iv.drop_overlaps(df, ["route"], "s", "l", [], block_rows=block, split=F.floor(F.col("s") / 500), hot_rows=10)
+        out = iv.drop_overlaps(df, ["route"], "s", "l", [], block_rows=block, split=F.floor(F.col("s") / 500))
         got = {}
         for r, s in rows(out, "route", "s"):
             got.setdefault(r, []).append(s)
