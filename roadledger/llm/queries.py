@@ -67,7 +67,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"), distance=None)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
