@@ -134,14 +134,16 @@ def two_way(df: DataFrame, row: str, col: str, weight: str | None = None) -> Dat
 
 def dense_grid(df: DataFrame, a: str, a_range: range, b: str, b_range: range,
                weight: str | None = None) -> DataFrame:
-    """Every cell of a fixed rectangle with its amount (0 when absent) and percent of the total."""
+    """Every cell of a rectangle and every cell of the rows outside it, with its amount (0 when absent) and
+    percent of the total. A missing code counts as 0."""
     spark = df.sparkSession
     amount = F.count(F.lit(1)).cast("double") if weight is None else F.sum(weight)
-    cells = df.groupBy(F.col(a).cast("int").alias(a), F.col(b).cast("int").alias(b)).agg(amount.alias("n"))
+    codes = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in (a, b)]
+    cells = df.groupBy(*codes).agg(amount.alias("n"))
     frame = spark.range(1).select(
         F.explode(F.array(*map(F.lit, a_range))).alias(a),
         F.lit(list(b_range)).alias("__b")).select(a, F.explode("__b").alias(b))
-    grid = frame.join(cells, [a, b], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
+    grid = frame.join(cells, [a, b], "full_outer").withColumn("n", F.coalesce("n", F.lit(0.0)))
     return with_share(grid, "n", "pct", percent=True)
 
 

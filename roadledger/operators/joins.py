@@ -36,24 +36,33 @@ def merge_code(left: DataFrame, right: DataFrame, keys: list[str],
 
 def positional_merge(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str],
                      right_order: list[str], left_split: Column | None = None,
-                     right_split: Column | None = None) -> DataFrame:
-    """Pair the i-th rows of both sides inside a key; the shorter side repeats its last row."""
+                     right_split: Column | None = None, out: str = "merge_code") -> DataFrame:
+    """Pair the i-th rows of both sides inside a key; the shorter side repeats its last row.
+
+    NULL keys equal each other. Rows of a key on one side only stay, with NULLs for the other side;
+    ``out`` is 1 = left only, 2 = right only, 3 = both.
+    """
     count = F.count(F.lit(1)).alias("__n")
     l_n = left.groupBy(*keys).agg(count.alias("__ln"))
     r_n = right.groupBy(*keys).agg(count.alias("__rn"))
-    sizes = l_n.join(r_n, keys, "inner")
-    a = ordered(left, keys, left_order, rank="__i", split=left_split)
-    b = ordered(right, keys, right_order, rank="__j", split=right_split)
-    a, b = a.join(sizes, keys), b.join(sizes.select(*keys, "__ln"), keys)
+    a = join_back(ordered(left, keys, left_order, rank="__i", split=left_split), l_n, keys)
+    a = join_back(a, r_n, keys)
+    b = join_back(ordered(right, keys, right_order, rank="__j", split=right_split), l_n, keys)
+    b = join_back(b, r_n, keys)
     # the repeated last row of the shorter side becomes one row per missing position
     a = a.withColumn("__i", F.explode(F.when(
         (F.col("__i") == F.col("__ln")) & (F.col("__rn") > F.col("__ln")),
         F.sequence(F.col("__i"), F.col("__rn"))).otherwise(F.array("__i"))))
-    b = b.join(r_n, keys).withColumn("__j", F.explode(F.when(
+    b = b.withColumn("__j", F.explode(F.when(
         (F.col("__j") == F.col("__rn")) & (F.col("__ln") > F.col("__rn")),
         F.sequence(F.col("__j"), F.col("__ln"))).otherwise(F.array("__j"))))
-    a, b = a.drop("__ln", "__rn"), b.drop("__ln", "__rn").withColumnRenamed("__j", "__i")
-    return a.join(b, [*keys, "__i"]).drop("__i")
+    a, b = a.drop("__ln", "__rn"), b.drop("__ln", "__rn").withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    match = [F.col("__i") == F.col("__j"), *[F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]]
+    both = a.join(b, reduce(lambda x, y: x & y, match), "full_outer")
+    code = F.when(F.col("__j").isNull(), 1).when(F.col("__i").isNull(), 2).otherwise(3)
+    own = [F.when(F.col("__i").isNull(), F.col(f"__r_{k}")).otherwise(F.col(k)).alias(k) for k in keys]
+    rest = [F.col(c) for c in [*left.columns, *right.columns] if c not in keys]
+    return both.select(*own, *rest, code.alias(out))
 
 
 def window_match(openings: DataFrame, records: DataFrame, keys: list[str], open_year: str,

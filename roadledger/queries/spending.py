@@ -128,7 +128,26 @@ def positional_merge(spark: SparkSession, sf: str) -> DataFrame:
     o = openings(spark, sf).select(*keys, "o_orderkey", "o_totalprice")
     m = joins.positional_merge(r, o, keys, ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber"], ["o_orderkey"],
                                left_split=F.date_trunc("month", "l_shipdate"), right_split=F.floor(F.col("o_orderkey") / 100_000))
-    return m.select(*keys, "l_partkey", "l_suppkey", "l_extendedprice", "o_orderkey", "o_totalprice")
+    # the SQL pairs keys of both sides only; positional_merge_outer keeps all
+    return m.where("merge_code = 3").select(*keys, "l_partkey", "l_suppkey", "l_extendedprice", "o_orderkey", "o_totalprice")
+
+
+@query("""
+WITH r AS (SELECT nullif(o_custkey % 50, 7) AS k, l_partkey, l_suppkey,
+  row_number() OVER (PARTITION BY nullif(o_custkey % 50, 7) ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber, o_custkey, l_extendedprice) AS i FROM receipts),
+o AS (SELECT nullif(s_suppkey % 60, 7) + 20 AS k, s_suppkey, row_number() OVER (PARTITION BY nullif(s_suppkey % 60, 7) ORDER BY s_suppkey) AS j FROM supplier),
+n AS (SELECT coalesce(a.k, b.k) AS k, a.n AS rn, b.n AS onn FROM (SELECT k, count(*) n FROM r GROUP BY 1) a
+  FULL JOIN (SELECT k, count(*) n FROM o GROUP BY 1) b ON a.k IS NOT DISTINCT FROM b.k),
+pos AS (SELECT k, rn, onn, unnest(range(1, greatest(coalesce(rn, 0), coalesce(onn, 0)) + 1)) AS p FROM n)
+SELECT pos.k, r.l_partkey, r.l_suppkey, o.s_suppkey, CAST(CASE WHEN onn IS NULL THEN 1 WHEN rn IS NULL THEN 2 ELSE 3 END AS INTEGER) AS merge_code
+FROM pos LEFT JOIN r ON r.k IS NOT DISTINCT FROM pos.k AND r.i = least(p, rn) LEFT JOIN o ON o.k IS NOT DISTINCT FROM pos.k AND o.j = least(p, onn)""")
+def positional_merge_outer(spark: SparkSession, sf: str) -> DataFrame:
+    r = receipts(spark, sf).withColumn("k", F.nullif(F.col("o_custkey") % 50, F.lit(7)))
+    r = r.select("k", "l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "o_custkey", "l_extendedprice")
+    o = read(spark, sf, "supplier").select((F.nullif(F.col("s_suppkey") % 60, F.lit(7)) + 20).alias("k"), "s_suppkey")
+    m = joins.positional_merge(r, o, ["k"], ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "o_custkey", "l_extendedprice"], ["s_suppkey"],
+                               left_split=F.date_trunc("month", "l_shipdate"), right_split=F.floor(F.col("s_suppkey") / 100_000))
+    return m.select("k", "l_partkey", "l_suppkey", "s_suppkey", "merge_code")
 
 
 @query("""
@@ -270,6 +289,17 @@ g AS (SELECT CAST(x.range AS INTEGER) AS a, CAST(y.range AS INTEGER) AS b FROM r
 SELECT a, b, round(coalesce(n, 0), 2) AS n, round(100 * coalesce(n, 0) / sum(coalesce(n, 0)) OVER (), 8) AS pct
 FROM g LEFT JOIN c USING (a, b)""")
 def dense_grid(spark: SparkSession, sf: str) -> DataFrame:
+    p = read(spark, sf, "part").withColumns({"a": F.col("p_size") % 7, "b": F.floor(F.col("p_retailprice") / 10) % 9})
+    # the SQL counts inside the frame only; dense_grid_whole counts all
+    return rnd(agg.dense_grid(p.where("b < 7"), "a", range(7), "b", range(7), "p_retailprice"), n=2, pct=8)
+
+
+@query("""
+WITH c AS (SELECT CAST(p_size % 7 AS INTEGER) AS a, CAST(floor(p_retailprice / 10) % 9 AS INTEGER) AS b, sum(p_retailprice) AS n FROM part GROUP BY 1, 2),
+g AS (SELECT CAST(x.range AS INTEGER) AS a, CAST(y.range AS INTEGER) AS b FROM range(0, 7) x, range(0, 7) y)
+SELECT a, b, round(coalesce(n, 0), 2) AS n, round(100 * coalesce(n, 0) / sum(coalesce(n, 0)) OVER (), 8) AS pct
+FROM g FULL JOIN c USING (a, b)""")
+def dense_grid_whole(spark: SparkSession, sf: str) -> DataFrame:
     p = read(spark, sf, "part").withColumns({"a": F.col("p_size") % 7, "b": F.floor(F.col("p_retailprice") / 10) % 9})
     return rnd(agg.dense_grid(p, "a", range(7), "b", range(7), "p_retailprice"), n=2, pct=8)
 
