@@ -6,6 +6,10 @@ mean over its n-grams of log(p_trusted / p_raw), and documents below ``THRESHOLD
 step is a DataFrame function: the counts are one aggregate over (bucket), the log ratios reach the
 documents as one constant array of ``BUCKETS`` numbers.
 
+With a ``prior``, a bucket's ratio is log((trusted / share + prior) / (all + prior)), share being the trusted part
+of all n-grams: a bucket as common in both has ratio 0 whatever the size of the corpus. Without one, each
+multinomial has one count more in every bucket, which draws all ratios together on small data.
+
 Defined results: a null text has no words; a document without n-grams has score 0 and fails the base
 rule of ten words; with no trusted documents all ratios are 0; an empty table gives an empty result.
 Other columns pass through ``quality_filter`` untouched.
@@ -18,7 +22,9 @@ from pyspark.sql import functions as F
 
 from roadledger.llm.common import SPACE, column_name, whole_text, words_of
 
-BUCKETS = 32_768
+BUCKETS = 262_144
+#: Counts that the queries add to both sides of a bucket.
+PRIOR = 2.0
 #: Documents whose mean log ratio is lower are rejected; equal scores are kept.
 THRESHOLD = -0.25
 #: Fixed value: characters that count as symbols.
@@ -89,7 +95,7 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def gram_log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def gram_log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float | None = None) -> DataFrame:
     """One row: the log ratios of all buckets in order, joined by commas, from every n-gram there is.
 
     ``trusted`` holds the ids of the trusted documents. Each partition sums its own buckets first, so
@@ -108,8 +114,13 @@ def gram_log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
     def rate(count: Column, total: str) -> Column:
         return (count + 1.0) / (F.col(total) + float(buckets))
 
+    def quotient(x: Column) -> Column:
+        if prior is None:
+            return rate(x["good"], "n_good") / rate(x["all"], "n_all")
+        return (x["good"] * F.col("n_all") / F.col("n_good") + prior) / (x["all"] + prior)
+
     return sums.select(F.array_join(F.transform("c", lambda x: F.when(F.col("n_good") == 0, F.lit(0.0)).otherwise(F.round(
-        F.log(rate(x["good"], "n_good") / rate(x["all"], "n_all")), 4)).cast("string")), ",").alias("ratios"))
+        F.log(quotient(x)), 4)).cast("string")), ",").alias("ratios"))
 
 
 def _mean_ratio(buckets: Column, ratios: Column) -> Column:
@@ -119,10 +130,10 @@ def _mean_ratio(buckets: Column, ratios: Column) -> Column:
 
 
 def quality_columns(docs: DataFrame, trusted: DataFrame, columns: list[str], buckets: int = BUCKETS,
-                    threshold: float = THRESHOLD) -> DataFrame:
+                    threshold: float = THRESHOLD, prior: float | None = None) -> DataFrame:
     """``columns`` of every document with the base columns, base_failed, score and kept."""
     # a constant of ``buckets`` numbers in the plan: subqueries may not stand in a lambda
-    ratios = F.split(F.lit(gram_log_ratios(docs, trusted, buckets).first()["ratios"]), ",").cast("array<double>")
+    ratios = F.split(F.lit(gram_log_ratios(docs, trusted, buckets, prior).first()["ratios"]), ",").cast("array<double>")
     text, words = (column_name(docs, c) for c in ("whole_text", "words"))
     d = docs.select(*columns, whole_text().alias(text))
     d = d.select("*", words_of(F.col(text)).alias(words))

@@ -30,7 +30,7 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.quality_columns(docs, trusted_ids(spark, sf_dir), ["doc_id"])
+    return quality.quality_columns(docs, trusted_ids(spark, sf_dir), ["doc_id"], prior=quality.PRIOR)
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
