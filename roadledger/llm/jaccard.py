@@ -3,8 +3,8 @@
 A document's set holds the hashes of its word n-grams. Two sets whose Jaccard similarity reaches the
 threshold share a member among the first |s| - ceil(t |s|) + 1 of each in any common order; here rare
 n-grams come first. Documents with the same set are one class, classes with the same prefix and size one
-group. Prefix members of the groups make buckets; pairs of groups in a bucket pass on size and on the
-places of the shared member, are expanded to classes, and verified on whole sets.
+group. Prefix members of the groups make buckets; those that more than one class shares are expanded to
+classes, pairs of classes in a bucket pass on size and on the places of the shared member, and are verified on whole sets.
 
 Rarity is the logarithm of the number of n-grams that fall into an n-gram's bucket, of 2**22, counted over all
 documents; it only orders n-grams, so its coarseness costs candidates and never a link.
