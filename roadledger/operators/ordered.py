@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadledger.session import cut_lineage
+
 _PART = "__part"
 
 
@@ -157,6 +159,22 @@ def duplicate_sizes(df: DataFrame, keys: list[str], out: str = "n_same") -> Data
     return with_group_values(df, keys, **{out: F.count(F.lit(1))})
 
 
+def dense_ids(df: DataFrame, keys: list[str], out: str = "id") -> DataFrame:
+    """Number rows that are unique in ``keys`` 1..n in key order (NULL first), exactly.
+
+    The rows are dealt out by key range and sorted there, and that table is checkpointed once, so every
+    row keeps its place; a row's number is its place plus the rows of the ranges before its own. One row
+    per range meets in one task, never the rows themselves.
+    """
+    at = F.monotonically_increasing_id()
+    placed = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", at))
+    placed = placed.select(*df.columns, F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    return placed.join(starts, "__part").select(*df.columns, (F.col("__before") + F.col("__place") + 1).alias(out))
+
+
 def group_id(keys: list[str]) -> Column:
     """Stable 64-bit id of a key combination (NULL parts included)."""
     parts = [F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]

@@ -109,3 +109,12 @@ def test_gap_rows_and_group_values(spark):
     assert rows(out, "s", "l", "d", "is_fill") == sorted(
         [(0.0, 10.0, None, 1), (10.0, 5.0, "x", 0), (15.0, 185.0, None, 1), (200.0, 1.0, "y", 0)], key=repr)
     assert od.with_group_values(df, [], n=F.count(F.lit(1))).first()["n"] == 2
+
+
+def test_dense_ids_count_from_one_in_key_order(spark):
+    keys = [(None if i == 7 else f"k{i % 500:03d}", i // 500) for i in range(1500)]
+    df = spark.createDataFrame([(*k, i) for i, k in enumerate(keys)], "a string, b int, v int").repartition(7)
+    got = {r["v"]: r["id"] for r in od.dense_ids(df, ["a", "b"]).collect()}
+    rank = {v: n for n, (_, v) in enumerate(sorted(((a is not None, a or "", b), v) for v, (a, b) in enumerate(keys)), 1)}
+    assert got == rank
+    assert od.dense_ids(df.where("v < 0"), ["a"]).collect() == []
