@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadledger.llm import byte_bpe, centroids, id_store, jaccard, line_dedup, media, mixing, ppm, quality, secrets, token_counts
+from roadledger.llm import byte_bpe, centroids, id_store, jaccard, line_dedup, media, mixing, phrases, ppm, quality, secrets, token_counts
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -83,6 +83,12 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", dims=64, k=40, rounds=5)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"), longest=3, least=10, inside_percent=50, top=2000)
+
+
 QUERIES = {f.__name__: f for f in (op1_media_columns, op2_quality_rules, op3_secret_scans, op4_ppm_scoring, op5_token_counts,
-                                   op6_token_id_store, op7_byte_bpe, op8_line_dedup, op9_ngram_jaccard, op10_source_mixing, op11_centroid_clustering)}
-ORACLE_SQL = {"op10_source_mixing": mixing.MIX_SQL, "op11_centroid_clustering": centroids.cluster_sql(64, 40, 5)}
+                                   op6_token_id_store, op7_byte_bpe, op8_line_dedup, op9_ngram_jaccard, op10_source_mixing, op11_centroid_clustering,
+                                   op12_phrase_collocations)}
+ORACLE_SQL = {"op10_source_mixing": mixing.MIX_SQL, "op11_centroid_clustering": centroids.cluster_sql(64, 40, 5),
+              "op12_phrase_collocations": phrases.COLLOCATION_SQL}
