@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadledger.llm import byte_bpe, centroids, id_store, jaccard, line_dedup, media, mixing, phrases, ppm, quality, secrets, token_counts
+from roadledger.llm import (byte_bpe, centroids, id_store, jaccard, line_dedup, media, mixing, neighbour_graph, phrases, ppm,
+                            quality, secrets, token_counts)
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -87,8 +88,12 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"), longest=3, least=10, inside_percent=50, top=2000)
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_graph.near_duplicates(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", threshold=0.9)
+
+
 QUERIES = {f.__name__: f for f in (op1_media_columns, op2_quality_rules, op3_secret_scans, op4_ppm_scoring, op5_token_counts,
                                    op6_token_id_store, op7_byte_bpe, op8_line_dedup, op9_ngram_jaccard, op10_source_mixing, op11_centroid_clustering,
-                                   op12_phrase_collocations)}
+                                   op12_phrase_collocations, op13_embedding_near_dedup)}
 ORACLE_SQL = {"op10_source_mixing": mixing.MIX_SQL, "op11_centroid_clustering": centroids.cluster_sql(64, 40, 5),
               "op12_phrase_collocations": phrases.COLLOCATION_SQL}
