@@ -275,19 +275,72 @@ def _reg(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_tax") + 0.01).alias("w"), (F.col("s") % 2).alias("treated"), (F.col("ship_year") >= 1999).cast("int").alias("post"))
 
 
-@query()
+def _effects_sql(xs: list[str], weight: str = "1.0", counted: str = "n_s + n_t - 1", extra: str = "") -> str:
+    """SQL for a regression on ``xs`` with one dummy per nation and year and errors clustered on the nation.
+
+    Both systems of equations are solved by elimination, one row of the matrix per table row.
+    """
+    k, zs = len(xs), [*xs, "y"]
+    z = [f"z{i}" for i in range(k + 1)]
+
+    def eliminate(name: str, start: str) -> str:
+        return f"""{name} AS (SELECT 0 AS k, i, v FROM {start} UNION ALL SELECT m.k + 1, m.i, CASE WHEN m.i = m.k + 1 THEN list_transform(m.v, lambda x: x / p.v[p.i])
+          ELSE list_transform(list_zip(m.v, p.v), lambda q: q[1] - m.v[p.i] / p.v[p.i] * q[2]) END FROM {name} m JOIN {name} p ON p.i = m.k + 1)"""
+
+    inner = ", ".join(f"sum(w * z{i} * z{j}) AS m{min(i, j)}_{max(i, j)}" for i in range(k + 1) for j in range(i, k + 1))
+
+    def m(i: int, j: int) -> str:
+        return f"m{min(i, j)}_{max(i, j)}"
+
+    small = " UNION ALL ".join(f"SELECT {i + 1} AS i, [{', '.join([m(i, j) for j in range(k + 1)] + [str(float(i == j)) for j in range(k)])}] AS v FROM inn" for i in range(k))
+    fitted = " - ".join([z[k], *[f"(SELECT v[{k + 1}] FROM sol WHERE i = {j + 1}) * z{j}" for j in range(k)]])
+    scores = ", ".join(f"sum(w * z{i} * u) AS g{i}" for i in range(k))
+    meat = ", ".join(f"sum(g{i} * g{j}) AS v{i}_{j}" for i in range(k) for j in range(k))
+
+    def var(i: int) -> str:
+        return " + ".join(f"(SELECT v[{k + 2 + a}] FROM sol WHERE i = {i + 1}) * v{a}_{b} * (SELECT v[{k + 2 + b}] FROM sol WHERE i = {i + 1})" for a in range(k) for b in range(k))
+
+    return f"""
+WITH RECURSIVE d AS (SELECT CAST(c_nationkey AS INTEGER) AS s, ship_year AS t, l_extendedprice AS y, l_quantity AS x, l_discount AS x2, {weight} AS w,
+    c_nationkey % 2 AS treated, CASE WHEN ship_year >= 1999 THEN 1 ELSE 0 END AS post FROM receipts JOIN customer ON o_custkey = c_custkey),
+  v AS (SELECT s, t, w, {", ".join(f"CAST({e} AS DOUBLE) AS z{i}" for i, e in enumerate(zs))} FROM d),
+  lv AS (SELECT DISTINCT 's' AS kind, s AS l FROM v UNION ALL SELECT DISTINCT 't', t FROM v WHERE t > (SELECT min(t) FROM v)),
+  dm AS (SELECT kind, l, row_number() OVER (ORDER BY kind, l) AS i FROM lv),
+  c AS MATERIALIZED (SELECT s, t, sum(w) AS w, {", ".join(f"sum(w * {e}) AS {e}" for e in z)} FROM v GROUP BY s, t),
+  ci AS MATERIALIZED (SELECT c.*, i FROM c JOIN dm ON (kind = 's' AND l = s) OR (kind = 't' AND l = t)),
+  a AS (SELECT p.i, q.i AS j, sum(p.w) AS v FROM ci p JOIN ci q ON p.s = q.s AND p.t = q.t GROUP BY 1, 2),
+  full_a AS (SELECT p.i, list(coalesce(a.v, 0) ORDER BY q.i) AS v FROM dm p CROSS JOIN dm q LEFT JOIN a ON a.i = p.i AND a.j = q.i GROUP BY p.i),
+  start AS MATERIALIZED (SELECT i, list_concat(full_a.v, r) AS v FROM full_a JOIN (SELECT i, [{", ".join(f"sum({e})" for e in z)}] AS r FROM ci GROUP BY i) USING (i)),
+  {eliminate("big", "start")},
+  coef AS MATERIALIZED (SELECT kind, l, v[len(v) - {k}:] AS b FROM big JOIN dm USING (i) WHERE k = (SELECT max(k) FROM big)),
+  res AS MATERIALIZED (SELECT v.s, w, {", ".join(f"{e} - a.b[{i + 1}] - coalesce(b.b[{i + 1}], 0) AS {e}" for i, e in enumerate(z))} FROM v JOIN coef a ON a.kind = 's' AND a.l = v.s
+    LEFT JOIN coef b ON b.kind = 't' AND b.l = v.t),
+  inn AS MATERIALIZED (SELECT {inner} FROM res), small AS MATERIALIZED ({small}), {eliminate("gs", "small")},
+  sol AS MATERIALIZED (SELECT i, v FROM gs WHERE k = {k}),
+  sc AS (SELECT s, {scores} FROM (SELECT *, {fitted} AS u FROM res) GROUP BY s),
+  meat AS (SELECT {meat} FROM sc), sizes AS (SELECT count(*) AS n, count(DISTINCT s) AS n_s, count(DISTINCT t) AS n_t FROM v),
+  fit AS ({" UNION ALL ".join(f"SELECT '{'y' + x.split('= ')[1][:4] if ' = ' in x else 'interaction' if '*' in x else x}' AS term, round((SELECT v[{k + 1}] FROM sol WHERE i = {i + 1}), 6) AS estimate, round(sqrt(({var(i)}) * n_s / (n_s - 1) * (n - 1) / (n - {k} - ({counted}))), 6) AS se, n FROM meat, sizes" for i, x in enumerate(xs))})
+{extra or "SELECT * FROM fit"}"""
+
+
+_STUDY = "SELECT term, estimate, se, n, true AS effects, 'estimated' AS status FROM fit"
+_YEARS = [1995, 1996, 1997, 1999, 2000, 2001]
+
+
+@query(_effects_sql(["x", "x2"], weight="l_tax + 0.01"))
 def fe_two_way_weighted(spark: SparkSession, sf: str) -> DataFrame:
-    return rg.fixed_effects(_reg(spark, sf), "y", ["x", "x2"], first="s", second="ship_year", weight="w", cluster="s")
+    return rnd(rg.fixed_effects(_reg(spark, sf), "y", ["x", "x2"], first="s", second="ship_year", weight="w", cluster="s"), estimate=6, se=6)
 
 
-@query()
+@query(_effects_sql(["treated * post", "x"], counted="n_t", extra=f"""{_STUDY} UNION ALL
+  SELECT unnest(['post', 'treated']), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), n, true, 'collinear' FROM sizes"""))
 def difference_in_differences(spark: SparkSession, sf: str) -> DataFrame:
-    return rg.difference_in_differences(_reg(spark, sf), "y", "treated", "post", "s", "ship_year", ["x"])
+    return rnd(rg.difference_in_differences(_reg(spark, sf), "y", "treated", "post", "s", "ship_year", ["x"]), estimate=6, se=6)
 
 
-@query()
+@query(_effects_sql([f"CASE WHEN t = {y} THEN treated ELSE 0 END" for y in _YEARS], counted="n_t", extra=_STUDY))
 def event_study_regression(spark: SparkSession, sf: str) -> DataFrame:
-    return rg.event_study(_reg(spark, sf), "y", "treated", "s", "ship_year", list(range(1995, 2002)), 1998)
+    return rnd(rg.event_study(_reg(spark, sf), "y", "treated", "s", "ship_year", _YEARS, 1998), estimate=6, se=6)
 
 
 @query("""SELECT o_custkey, round(sum(l_extendedprice), 2) AS total, CAST(length(string_agg(DISTINCT l_returnflag, '')) AS INTEGER) AS n_listed, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'multi' ELSE 'single' END AS kind
