@@ -39,7 +39,8 @@ def receipts(flat: DataFrame, counties: DataFrame | None = None) -> DataFrame:
     def pick(*columns):
         return F.coalesce(*columns)
 
-    row_no = F.struct("source_file", "detail_pos") if "source_file" in lower.columns else F.col("detail_pos")
+    # rows are ordered by their place in the source, so projects that repeat in a file have no ties
+    row_no = F.struct(*[c for c in ("source_file", "position", "detail_pos") if c in lower.columns])
     typed = lower.select(
         code("recipientid").alias("recipientid"),
         F.col("federalprojectnumber").alias("federal_project_number"),

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from roadledger.functions.text import label_text
 from roadledger.operators.ordered import first_row
+from roadledger.sources.records import read_quoted
 
 # Layout of the headerless segment files.
 SEGMENT_FILE_SCHEMA = """sh string, i int, rte string, seo string, st int, mpost double, seg double,
@@ -23,9 +24,8 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str | T.StructType,
              header: bool = True) -> DataFrame:
-    """Delimited text with quoted commas, quotes and line breaks; the schema is always declared."""
-    return (spark.read.schema(schema).option("header", header).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    """Delimited text with quoted commas, quotes and line breaks, read in splits; the schema is always declared."""
+    return read_quoted(spark, path, schema, header).drop("source_file", "place")
 
 
 def read_tagged(spark: SparkSession, paths: dict[str, int], schema: str = SEGMENT_FILE_SCHEMA,
