@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadledger.operators.ordered import ordered, with_group_values
+from roadledger.operators.selection import select_ranks, whole_weight
 
 
 def roll_up(df: DataFrame, keys: list[str], order: list[str], sums: list[str] | None = None,
@@ -46,60 +47,42 @@ def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str, out:
 
 
 def weighted_percentiles(df: DataFrame, keys: list[str], value: str, weight: str | None,
-                         points: list[float], split_width: float) -> DataFrame:
+                         points: list[float]) -> DataFrame:
     """Weighted percentiles: first value whose running weight passes p * total, averaged with the
     one before when the running weight meets it exactly.
 
-    Weights are first summed per distinct value. The running sum is an ordered scan that cuts
-    large groups at multiples of ``split_width``.
+    Weights count to twelve decimals and points to six, as whole numbers, so meeting is exact.
     """
-    w = F.col(weight) if weight else F.lit(1.0)
-    rows = df.where(F.col(value).isNotNull() & w.isNotNull() & (w > 0))
-    mass = rows.groupBy(*keys, value).agg(F.sum(w).alias("__w"))
-    cum = ordered(mass, keys, [value], total={"__cum": "__w"},
-                  split=F.floor(F.col(value) / split_width))
-    cum = with_group_values(cum, keys, __tot=F.sum("__w"))
-    aggs = []
-    for i, p in enumerate(points):
-        target = F.col("__tot") * F.lit(p)
-        aggs += [F.min(F.when(F.col("__cum") > target, F.col(value))).alias(f"__gt{i}"),
-                 F.max(F.when(F.col("__cum") == target, F.col(value))).alias(f"__eq{i}")]
-    found = cum.groupBy(*keys).agg(*aggs)
     names = [f"p{int(round(100 * p))}" for p in points]
+    targets = {}
+    for i, p in enumerate(points):
+        goal = F.col("total") * F.lit(int(round(p * 10**6)))
+        targets |= {f"__gt{i}": (goal, True), f"__ge{i}": (goal, False)}
+    w = whole_weight(F.col(weight)) if weight else None
+    found = select_ranks(df, keys, value, targets, w, scale=10**6)
     return found.select(*keys, *[
-        F.when(F.col(f"__eq{i}").isNotNull() & F.col(f"__gt{i}").isNotNull(),
-               (F.col(f"__eq{i}") + F.col(f"__gt{i}")) / 2)
-        .otherwise(F.coalesce(f"__gt{i}", f"__eq{i}")).cast("double").alias(n)
-        for i, n in enumerate(names)])
+        ((F.coalesce(f"__gt{i}", f"__ge{i}") + F.col(f"__ge{i}")) / 2).cast("double").alias(n) for i, n in enumerate(names)])
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: list[float],
-                      names: list[str], split_width: float) -> DataFrame:
+                      names: list[str]) -> DataFrame:
     """Linearly interpolated percentiles without holding a group's values in one task.
 
-    Counts per distinct value, an ordered running count, then the two order statistics of each
-    point are picked by position.
+    The two order statistics around each point are selected by narrowing brackets.
     """
-    rows = df.where(F.col(value).isNotNull())
-    freq = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    cum = ordered(freq, keys, [value], total={"__cum": "__c"},
-                  split=F.floor(F.col(value) / split_width))
-    cum = with_group_values(cum, keys, __n=F.sum("__c"))
-    aggs = []
+    at = {p: F.lit(float(p)) * (F.col("total").cast("double") - 1) for p in points}
+    targets = {}
     for i, p in enumerate(points):
-        pos = F.lit(p) * (F.col("__n") - 1)
-        aggs += [F.min(F.when(F.col("__cum") > F.floor(pos), F.col(value))).alias(f"__lo{i}"),
-                 F.min(F.when(F.col("__cum") > F.ceil(pos), F.col(value))).alias(f"__hi{i}"),
-                 F.max(pos - F.floor(pos)).alias(f"__f{i}")]
-    got = cum.groupBy(*keys).agg(*aggs)
+        targets |= {f"__lo{i}": (F.floor(at[p]), True), f"__hi{i}": (F.ceil(at[p]), True)}
+    got = select_ranks(df, keys, value, targets)
     return got.select(*keys, *[
-        (F.col(f"__lo{i}") + F.col(f"__f{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}")))
-        .cast("double").alias(n) for i, n in enumerate(names)])
+        (F.col(f"__lo{i}") + (at[p] - F.floor(at[p])) * (F.col(f"__hi{i}") - F.col(f"__lo{i}")))
+        .cast("double").alias(n) for (i, p), n in zip(enumerate(points), names)])
 
 
-def below_median(df: DataFrame, value: str, out: str, split_width: float) -> DataFrame:
+def below_median(df: DataFrame, value: str, out: str) -> DataFrame:
     """Whether the value is below the table's median; a missing value is false."""
-    median = exact_percentiles(df, [], value, [0.5], ["m"], split_width).scalar()
+    median = exact_percentiles(df, [], value, [0.5], ["m"]).scalar()
     return df.withColumn(out, F.coalesce(F.col(value) < median, F.lit(False)))
 
 
@@ -182,8 +165,7 @@ def sample_keys(df: DataFrame, keys: list[str], unit: str, year: str, rule: str)
     return ever.where(F.col("__a") == F.col("__b")).select(*keys)
 
 
-def describe_subsets(df: DataFrame, value: str, subsets: dict[str, Column],
-                     split_width: float) -> DataFrame:
+def describe_subsets(df: DataFrame, value: str, subsets: dict[str, Column]) -> DataFrame:
     """n, mean, sd, min, max and median of a value for several subsets side by side."""
     tags = F.filter(F.array(*[F.when(cond, F.lit(n)) for n, cond in subsets.items()]),
                     lambda t: t.isNotNull())
@@ -191,7 +173,7 @@ def describe_subsets(df: DataFrame, value: str, subsets: dict[str, Column],
     stats = rows.groupBy("subset").agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
         F.min(value).alias("min"), F.max(value).alias("max"))
-    medians = exact_percentiles(rows, ["subset"], value, [0.5], ["median"], split_width)
+    medians = exact_percentiles(rows, ["subset"], value, [0.5], ["median"])
     return stats.join(medians, "subset", "left")
 
 
@@ -244,10 +226,9 @@ def histogram(df: DataFrame, value: str, width: float, start: float | None = Non
     return with_share(rows, "n", "share")
 
 
-def winsorise(df: DataFrame, value: str, low: float, high: float, out: str,
-              split_width: float) -> DataFrame:
+def winsorise(df: DataFrame, value: str, low: float, high: float, out: str) -> DataFrame:
     """Clamp a value to two quantiles of the table."""
-    q = exact_percentiles(df, [], value, [low, high], ["lo", "hi"], split_width)
+    q = exact_percentiles(df, [], value, [low, high], ["lo", "hi"])
     lo, hi = q.select("lo").scalar(), q.select("hi").scalar()
     return df.withColumn(out, F.when(F.col(value).isNotNull(), F.greatest(F.least(F.col(value), hi), lo)))
 

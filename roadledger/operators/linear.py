@@ -305,11 +305,11 @@ def crop_summary(cropped: DataFrame, all_parts: DataFrame, project: str, part: s
                       (F.col("len_crop_m") / F.greatest(n, F.lit(1))).alias("len_corr_m"), "b.*")
 
 
-def crop_quality(summary: DataFrame, split_width: float = 1000.0) -> DataFrame:
+def crop_quality(summary: DataFrame) -> DataFrame:
     """One row: failed, two-part, both-touch and full-length shares, median kept length in km."""
     from roadledger.operators.aggregates import exact_percentiles
     kept = summary.where("n_parts_kept > 0")
-    median = exact_percentiles(kept, [], "len_corr_m", [0.5], ["m"], split_width).scalar()
+    median = exact_percentiles(kept, [], "len_corr_m", [0.5], ["m"]).scalar()
     touch = (F.col("src_a") == "intersect") & (F.col("src_b") == "intersect")
     full = (F.col("crop_from") < 1e-6) & (F.col("crop_to") > 1 - 1e-6)
     return summary.agg(

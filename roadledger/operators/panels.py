@@ -208,13 +208,12 @@ def compare_totals(a: DataFrame, b: DataFrame, keys: list[str], a_value: str, b_
         "sign", F.signum("difference").cast("int"))
 
 
-def concentration_bands(rows: DataFrame, cell: list[str], year: str, points: list[float],
-                        split_width: float = 16.0) -> DataFrame:
+def concentration_bands(rows: DataFrame, cell: list[str], year: str, points: list[float]) -> DataFrame:
     """Cells per year whose count is at most each percentile of all the cell counts."""
     from roadledger.operators.aggregates import exact_percentiles
     counts = rows.groupBy(*cell, year).agg(F.count(F.lit(1)).alias("n"))
     names = [f"p{int(100 * p)}" for p in points]
-    cut = exact_percentiles(counts, [], "n", points, names, split_width)
+    cut = exact_percentiles(counts, [], "n", points, names)
     limits = cut.select(F.struct(*names).alias("l")).scalar()
     out = counts.groupBy(year).agg(F.count(F.lit(1)).alias("n_cells"), *[
         F.count(F.when(F.col("n") <= limits[n], 1)).alias(f"within_{n}") for n in names])

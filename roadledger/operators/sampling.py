@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadledger.operators.ordered import ordered, with_group_values
+from roadledger.operators.selection import smallest
 
 
 def hash_fraction(key: Column, salt: Column | str) -> Column:
@@ -16,8 +17,9 @@ def hash_fraction(key: Column, salt: Column | str) -> Column:
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
-    """Exactly n rows in hash order (a top-n, so only n rows per task leave the tasks)."""
-    return df.orderBy(F.md5(F.concat_ws("_", F.col(id_col).cast("string"), F.lit(seed))), id_col).limit(n)
+    """The n first rows in hash order: the hash that ends the sample is selected, and the rows up to it stay in place."""
+    digest = F.md5(F.concat_ws("_", F.col(id_col).cast("string"), F.lit(seed)))
+    return smallest(df, F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), [digest, F.col(id_col)], n)
 
 
 def allocate_strata(df: DataFrame, strata: list[str], n: int) -> DataFrame:

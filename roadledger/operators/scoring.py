@@ -9,8 +9,7 @@ from roadledger.operators.aggregates import exact_percentiles
 from roadledger.operators.ordered import join_back
 
 
-def metric_summary(df: DataFrame, metrics: list[str], strata: list[str], threshold: float,
-                   split_width: float) -> DataFrame:
+def metric_summary(df: DataFrame, metrics: list[str], strata: list[str], threshold: float) -> DataFrame:
     """n of finite values, mean, median, p25, p75, p90 and percent within a threshold, for all
     rows and for every value of every stratum."""
     tags = [F.struct(F.lit("all").alias("stratum"), F.lit("all").alias("level"))]
@@ -26,7 +25,7 @@ def metric_summary(df: DataFrame, metrics: list[str], strata: list[str], thresho
         F.count("value").alias("n"), F.avg("value").alias("mean"),
         (100.0 * F.avg((F.col("value") <= threshold).cast("double"))).alias("pct_within"))
     q = exact_percentiles(finite, keys, "value", [0.5, 0.25, 0.75, 0.9],
-                          ["median", "p25", "p75", "p90"], split_width)
+                          ["median", "p25", "p75", "p90"])
     return join_back(base, q, keys)
 
 

@@ -134,7 +134,7 @@ def deflate(df: DataFrame, index: DataFrame, year: str, columns: list[str], suff
                             for c in columns}).drop("__y", "__cpi")
 
 
-def title_table(project_rows: DataFrame, index: DataFrame, split_width: float = 0.001) -> DataFrame:
+def title_table(project_rows: DataFrame, index: DataFrame) -> DataFrame:
     """Interstate-construction projects with deflated cost, route number, period and cost flags."""
     from roadledger.operators.aggregates import below_median
     ic = project_rows.where(F.col("fp_ic"))
@@ -144,7 +144,7 @@ def title_table(project_rows: DataFrame, index: DataFrame, split_width: float =
         "route_fpn": text.leading_route(F.col("federal_project_number")),
         "authconstyear": F.year("authconstdate")})
     out = out.withColumn("post_1970_auth", F.coalesce(F.col("authconstyear") >= 1970, F.lit(False)))
-    return below_median(out, "total_cost_bills_adjusted", "below_median_cost", split_width)
+    return below_median(out, "total_cost_bills_adjusted", "below_median_cost")
 
 
 def yearly_spend(df: DataFrame, year: str, columns: list[str]) -> DataFrame:

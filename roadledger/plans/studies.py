@@ -71,10 +71,10 @@ def snap_records(records: DataFrame, segs: DataFrame, ranges: DataFrame, keys: l
     return r.drop("f1", "f2"), linear.cut_lines(segs, cuts, keys, [record_id])
 
 
-def match_quality(matches: DataFrame, kind: str, distance: str, split_width: float = 0.01) -> DataFrame:
+def match_quality(matches: DataFrame, kind: str, distance: str) -> DataFrame:
     """Matches by kind: count, percent, and quartiles of the match distance."""
     counts = frequency(matches, [kind])
-    q = exact_percentiles(matches, [kind], distance, [0.25, 0.5, 0.75], ["p25", "median", "p75"], split_width)
+    q = exact_percentiles(matches, [kind], distance, [0.25, 0.5, 0.75], ["p25", "median", "p75"])
     return counts.join(q, kind, "left")
 
 

@@ -103,7 +103,7 @@ def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
     p1, p2, t1, t2 = (F.col(c) for c in ("p1", "p2", "t1", "t2"))
     errors = sc.length_errors(p2 - p1, t2 - t1)
     m = pairs(spark, sf).withColumns({"iou": sc.interval_iou((p1, p2), (t1, t2)), **errors})
-    out = sg.metric_summary(m, ["iou", "len_abs", "len_ratio"], ["l_returnflag", "l_linestatus"], 0.5, 0.25)
+    out = sg.metric_summary(m, ["iou", "len_abs", "len_ratio"], ["l_returnflag", "l_linestatus"], 0.5)
     return rnd(out, mean=8, pct_within=8, median=8, p25=8, p75=8, p90=8)
 
 

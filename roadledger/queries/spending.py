@@ -245,19 +245,19 @@ SELECT l_returnflag, {_wp(0.1, 'p10')}, {_wp(0.25, 'p25')}, {_wp(0.5, 'p50')}, {
 FROM c GROUP BY 1""")
 def weighted_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return agg.weighted_percentiles(read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity",
-                                    [0.1, 0.25, 0.5, 0.75, 0.9], split_width=1000.0)
+                                    [0.1, 0.25, 0.5, 0.75, 0.9])
 
 
 @query("""SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(quantile_cont(o_totalprice, 0.5), 4) AS q2,
   round(quantile_cont(o_totalprice, 0.9), 4) AS q90 FROM orders GROUP BY 1""")
 def exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(agg.exact_percentiles(read(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", [0.25, 0.5, 0.9],
-                                     ["q1", "q2", "q90"], split_width=5000.0), q1=4, q2=4, q90=4)
+                                     ["q1", "q2", "q90"]), q1=4, q2=4, q90=4)
 
 
 @query("""SELECT o_orderkey, o_totalprice < (SELECT median(o_totalprice) FROM orders) AS below FROM orders""")
 def below_median_flag(spark: SparkSession, sf: str) -> DataFrame:
-    return agg.below_median(read(spark, sf, "orders"), "o_totalprice", "below", 5000.0).select("o_orderkey", "below")
+    return agg.below_median(read(spark, sf, "orders"), "o_totalprice", "below").select("o_orderkey", "below")
 
 
 @query("""
@@ -265,7 +265,7 @@ WITH late AS (SELECT * FROM openings WHERE open_year >= 1998)
 SELECT o_orderkey, o_totalprice < (SELECT median(o_totalprice) FROM late) AS below FROM late""")
 def below_median_refiltered(spark: SparkSession, sf: str) -> DataFrame:
     late = openings(spark, sf).where("open_year >= 1998")
-    return agg.below_median(late, "o_totalprice", "below", 5000.0).select("o_orderkey", "below")
+    return agg.below_median(late, "o_totalprice", "below").select("o_orderkey", "below")
 
 
 @query("""SELECT CASE WHEN l_tax > 0 THEN l_tax END AS tax, count(*) AS n, round(sum(l_extendedprice), 2) AS weight,
@@ -326,7 +326,7 @@ SELECT subset, count(x) AS n, round(avg(x), 4) AS mean, round(stddev_samp(x), 4)
   round(median(x), 4) AS median FROM s GROUP BY 1""")
 def descriptives(spark: SparkSession, sf: str) -> DataFrame:
     out = agg.describe_subsets(read(spark, sf, "lineitem"), "l_extendedprice", {
-        "all": F.lit(True), "returned": F.col("l_returnflag") == "R", "large": F.col("l_quantity") >= 40}, 1000.0)
+        "all": F.lit(True), "returned": F.col("l_returnflag") == "R", "large": F.col("l_quantity") >= 40})
     return rnd(out, mean=4, sd=4, median=4)
 
 
@@ -383,7 +383,7 @@ WITH q AS (SELECT quantile_cont(l_extendedprice, 0.05) AS lo, quantile_cont(l_ex
 SELECT l_returnflag, round(sum(greatest(least(l_extendedprice, hi), lo)), 2) AS clamped, count(*) AS n,
   count(CASE WHEN l_extendedprice > hi OR l_extendedprice < lo THEN 1 END) AS n_moved FROM lineitem, q GROUP BY 1""")
 def winsorise(spark: SparkSession, sf: str) -> DataFrame:
-    w = agg.winsorise(read(spark, sf, "lineitem"), "l_extendedprice", 0.05, 0.95, "clamped", 1000.0)
+    w = agg.winsorise(read(spark, sf, "lineitem"), "l_extendedprice", 0.05, 0.95, "clamped")
     moved = F.count(F.when(F.col("clamped") != F.col("l_extendedprice"), 1))
     return rnd(w.groupBy("l_returnflag").agg(F.sum("clamped").alias("clamped"), F.count(F.lit(1)).alias("n"),
                                              moved.alias("n_moved")), clamped=2)
