@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadledger.operators.ordered import (drop_parts, first_row, group_id, join_back,
+from roadledger.operators.ordered import (drop_parts, first_row, group_key, join_back,
                                           ordered, tag_parts, with_group_values)
 from roadledger.session import cut_lineage
 
@@ -40,11 +40,11 @@ def chain(df: DataFrame, keys: list[str], start: str, end: str, tie: list[str],
     work = work.withColumn("__break", reduce(lambda a, b: a | b, tests).cast("bigint"))
     work = drop_parts(ordered(work, keys, order, total={out: "__break"}))
     work = work.drop("__break", "__one", "__seen", "__solo", *prev)
-    work = work.withColumn("chain_key", group_id([*keys, out]))
+    work = work.withColumn("chain_key", group_key([*keys, out]))
     if not solo_if_null:
         return work
     alone = marked.where(F.col("__solo")).drop("__solo").withColumn(out, F.lit(None).cast("bigint"))
-    alone = alone.withColumn("chain_key", group_id([*keys, *order]))
+    alone = alone.withColumn("chain_key", group_key([*keys, *order]))
     return work.unionByName(alone)
 
 

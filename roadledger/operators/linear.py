@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roadledger.functions.numeric import METRES_PER_FOOT, METRES_PER_MILE
 from roadledger.operators.ordered import drop_parts, ordered, tag_parts
+from roadledger.session import cut_lineage
 
 # GRS80 ellipsoid and the parameters of the CONUS equal-area projection.
 _A, _E2 = 6378137.0, 0.00669438002290
@@ -39,7 +40,10 @@ def project_albers(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 
 def segments(vertices: DataFrame, keys: list[str], seq: str = "seq", split: Column | None = None) -> DataFrame:
-    """Consecutive vertex pairs with number, length and the distance of their start."""
+    """Consecutive vertex pairs with number, length and the distance of their start.
+
+    Positions, boxes and cuts all read the segments several times, so they are stored once.
+    """
     v = tag_parts(vertices.select(*keys, seq, "x", "y"), split)
     part = [c for c in v.columns if c not in (*keys, seq, "x", "y")]
     v = ordered(v, keys, [seq], lead={"x2": "x", "y2": "y"}, rank="__rn")
@@ -48,7 +52,7 @@ def segments(vertices: DataFrame, keys: list[str], seq: str = "seq", split: Colu
     v = v.select(*keys, *part, seq, (F.col("__rn") - 1).cast("bigint").alias("seg_no"),
                  F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2", length.alias("seg_len"))
     v = drop_parts(ordered(v, keys, [seq], total={"__end": "seg_len"}))
-    return v.withColumn("d0", F.greatest(F.col("__end") - F.col("seg_len"), F.lit(0.0))).drop("__end")
+    return cut_lineage(v.withColumn("d0", F.greatest(F.col("__end") - F.col("seg_len"), F.lit(0.0))).drop("__end"))
 
 
 def line_lengths(segs: DataFrame, keys: list[str]) -> DataFrame:

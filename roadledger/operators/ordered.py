@@ -76,12 +76,6 @@ def ordered(df: DataFrame, keys: list[str], order: list[str],
             return base.withColumns({o: F.transform(o, lambda x: x["v"]) for o in ahead})
         return base.withColumns(new)
 
-    if lag:
-        new["__is_first"] = F.lag(F.lit(1)).over(w).isNull()
-    if lead:
-        new["__is_last"] = F.lead(F.lit(1)).over(w).isNull()
-    scanned = base.withColumns(new)
-
     # one row per part, then one small window across the parts of each group
     at = F.struct(*order)
     aggs = [F.count(F.lit(1)).alias("__n")]
@@ -100,38 +94,55 @@ def ordered(df: DataFrame, keys: list[str], order: list[str],
     edges = cut.groupBy(*groups).agg(*aggs)
     across = Window.partitionBy(*keys).orderBy(_PART)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    carried = {f"__lag_{o}": F.lag(f"__last_{o}").over(across) for o in lag}
-    carried |= {f"__lead_{o}": F.lead(f"__first_{o}").over(across) for o in lead}
-    carried |= {f"__base_{o}": F.sum(f"__sum_{o}").over(before) for o in total}
-    carried |= {f"__top_{o}": F.first(f"__head_{o}").over(
-        across.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for o in first}
-    carried |= {f"__more_{o}": F.flatten(F.collect_list(f"__heads_{o}").over(across.rowsBetween(1, n)))
-                for o, (_, n) in ahead.items()}
+    header = {o: F.lag(f"__last_{o}").over(across) for o in lag}
+    header |= {o: F.sum(f"__sum_{o}").over(before) for o in total}
+    header |= {o: F.first(f"__head_{o}").over(before) for o in first}
     if rank:
-        carried["__base_rank"] = F.sum("__n").over(before)
-    carry = edges.select(*groups, *[c.alias(n) for n, c in carried.items()])
-    out = join_back(scanned, carry, groups)
-
-    fixed = {}
-    for o in lag:
-        fixed[o] = F.when(F.col("__is_first"), F.col(f"__lag_{o}")).otherwise(F.col(o))
-    for o in lead:
-        fixed[o] = F.when(F.col("__is_last"), F.col(f"__lead_{o}")).otherwise(F.col(o))
-    for o in total:
-        base_sum = F.col(f"__base_{o}")
-        fixed[o] = (F.when(base_sum.isNull(), F.col(o)).when(F.col(o).isNull(), base_sum)
-                    .otherwise(F.col(o) + base_sum))
-    for o in first:
-        fixed[o] = F.col(f"__top_{o}")
-    for o, (_, n) in ahead.items():
-        own = F.transform(o, lambda x: x["v"])
-        more = F.transform(F.coalesce(F.col(f"__more_{o}"), F.array().cast(base.select(
-            F.array(F.struct(F.lit(1).alias("__rn"), F.col(ahead[o][0]).alias("v")))).schema[0].dataType)), lambda x: x["v"])
-        fixed[o] = F.slice(F.concat(own, more), 1, n)
+        header[rank] = F.sum("__n").over(before)
+    trailer = {o: F.array(F.lead(f"__first_{o}").over(across)) for o in lead}
+    trailer |= {o: F.transform(F.slice(F.flatten(F.collect_list(f"__heads_{o}").over(across.rowsBetween(1, n))), 1, n), lambda x: x["v"])
+                for o, (_, n) in ahead.items()}
+    parts = edges.select(*groups, *[c.alias(f"__c_{o}") for o, c in header.items()], *[c.alias(f"__c_{o}") for o, c in trailer.items()],
+                         F.lag(F.lit(1)).over(across).isNotNull().alias("__behind"), F.lead(F.lit(1)).over(across).isNotNull().alias("__beyond"))
+    # what the rows before a part add up to comes as a row before its first, what follows it as rows after its last:
+    # they travel with the rows in the one exchange, and plain windows take them up
+    kinds = {f.name: f.dataType for f in parts.schema.fields}
+    empty = {o: F.lit(None).cast(kinds[f"__c_{o}"]) for o in header} | {o: F.lit(None).cast(kinds[f"__c_{o}"].elementType) for o in trailer}
+
+    def carrier(kind: int, i: Column, **values: Column) -> Column:
+        return F.struct(F.lit(kind).alias("__o_kind"), i.cast("int").alias("__o_i"), *[values.get(o, none).alias(f"__c_{o}") for o, none in empty.items()])
+
+    sent = F.array(carrier(0, F.lit(0)))
+    before_it = F.when(F.col("__behind"), F.array(carrier(-1, F.lit(0), **{o: F.col(f"__c_{o}") for o in header}))) if header else None
+    after_it = None
+    if trailer:
+        sizes = [F.size(f"__c_{o}") for o in trailer]
+        longest = F.greatest(*sizes) if len(sizes) > 1 else sizes[0]
+        after_it = F.when(F.col("__beyond"), F.transform(F.sequence(F.lit(1), longest), lambda i: carrier(
+            1, i, **{o: F.get(f"__c_{o}", i - 1) for o in trailer})))
+    none = F.slice(sent, 1, 0)
+    carriers = parts.select(*groups, F.explode(F.concat(*[F.coalesce(x, none) for x in (before_it, after_it) if x is not None])).alias("__o"))
+    carriers = carriers.select(*groups, "__o.*")
+    rows = base.withColumns({"__o_kind": F.lit(0), "__o_i": F.lit(0)}).unionByName(carriers, allowMissingColumns=True)
+    own = F.col("__o_kind") == 0
+    w = Window.partitionBy(*groups).orderBy("__o_kind", "__o_i", *order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def source(o: str, c: Column) -> Column:
+        return F.when(own, c).otherwise(F.col(f"__c_{o}"))
+
+    new = {o: F.lag(source(o, F.col(c))).over(w) for o, c in lag.items()}
+    new |= {o: F.lead(source(o, F.col(c))).over(w) for o, c in lead.items()}
+    new |= {o: F.sum(source(o, F.col(c))).over(upto) for o, c in total.items()}
+    new |= {o: F.first(source(o, F.col(c))).over(upto) for o, c in first.items()}
+    new |= {o: F.collect_list(F.struct(source(o, F.col(c)).alias("v"))).over(w.rowsBetween(1, n))
+            for o, (c, n) in ahead.items()}
     if rank:
-        fixed[rank] = F.col(rank) + F.coalesce(F.col("__base_rank"), F.lit(0))
-    out = out.withColumns(fixed)
-    out = out.drop("__is_first", "__is_last", *carried)
+        new[rank] = F.sum(source(rank, F.lit(1).cast("bigint"))).over(upto)
+    out = rows.withColumns(new).where("__o_kind = 0")
+    if ahead:
+        out = out.withColumns({o: F.transform(o, lambda x: x["v"]) for o in ahead})
+    out = out.drop("__o_kind", "__o_i", *[f"__c_{o}" for o in {**header, **trailer}])
     return drop_parts(out) if owner else out
 
 
@@ -175,10 +186,39 @@ def dense_ids(df: DataFrame, keys: list[str], out: str = "id") -> DataFrame:
     return placed.join(starts, "__part").select(*df.columns, (F.col("__before") + F.col("__place") + 1).alias(out))
 
 
-def group_id(keys: list[str]) -> Column:
-    """Stable 64-bit id of a key combination (NULL parts included)."""
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys]
-    return F.xxhash64(F.concat_ws("\u0001", *parts))
+def group_key(keys: list[str]) -> Column:
+    """Exact text key of a key combination, NULL parts included: equal only for equal parts."""
+    parts = [F.when(F.col(k).isNull(), F.lit("-")).otherwise(F.concat(F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")))
+             for k in keys]
+    return F.concat(*parts)
+
+
+def group_ids(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """The rows with the number of their group, 1..n in key order (NULL parts included)."""
+    return join_back(df, dense_ids(df.select(*keys).distinct(), keys, out), keys)
+
+
+def even_parts(df: DataFrame, keys: list[str], column: str, rows: int = 1_000_000, points: int = 1024) -> DataFrame:
+    """Tag rows for ``ordered`` with parts of about ``rows`` rows, found by one mergeable quantile sketch per key.
+
+    A key with at most ``rows`` rows is one part, whatever its values; a larger one is cut at quantiles of the
+    leading order column, so skewed values make no large part. Rows with equal values share a part. Beyond
+    ``points`` * ``rows`` rows parts grow with the key.
+    """
+    value = F.col(column).cast("double")
+    sketch = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(
+        value, [i / points for i in range(1, points)], 4 * points).alias("__b")) if keys else df.agg(
+            F.count(F.lit(1)).alias("__n"), F.percentile_approx(value, [i / points for i in range(1, points)], 4 * points).alias("__b"))
+    n = F.least(F.ceil(F.col("__n") / F.lit(rows)), F.lit(points))
+    # as many even steps through the sketch as the key needs parts, in blocks of 32 for a two-step search
+    cuts = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.get("__b", F.floor(i * F.lit(points) / n).cast("int") - 1))
+    cuts = sketch.where(n > 1).select(*keys, F.array_distinct(cuts).alias("__cuts"))
+    cuts = cuts.withColumn("__tops", F.filter("__cuts", lambda x, i: i % 32 == 31))
+    tagged = join_back(df, cuts, keys) if keys else df.join(cuts, F.lit(True), "left")
+    block = F.size(F.filter("__tops", lambda x: x <= value))
+    part = 32 * block + F.size(F.filter(F.slice("__cuts", 32 * block + 1, 32), lambda x: x <= value))
+    found = F.when(value.isNotNull() & F.col("__cuts").isNotNull(), part).when(value.isNotNull(), F.lit(0))
+    return tagged.withColumn(_PART, found).drop("__cuts", "__tops")
 
 
 def drop_when_next_equal(df: DataFrame, keys: list[str], order: list[str], column: str,

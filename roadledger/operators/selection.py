@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from roadledger.session import cut_lineage
 
 #: Bins of a round, and rows that one task may sort.
-BINS, FINISH = 512, 50_000
+BINS, FINISH = 512, 1_000_000
 #: Weights are taken to this part of a unit.
 UNITS = 10**12
 

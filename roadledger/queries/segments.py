@@ -188,7 +188,7 @@ def group_values_on_rows(spark: SparkSession, sf: str) -> DataFrame:
   l_partkey * 1000000 + l_suppkey AS gid FROM lineitem) GROUP BY 1""")
 def cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
     l = od.duplicate_sizes(read(spark, sf, "lineitem"), ["l_partkey", "l_suppkey"], "n_cluster")
-    l = l.withColumn("gid", od.group_id(["l_partkey", "l_suppkey"]))
+    l = od.group_ids(l, ["l_partkey", "l_suppkey"], "gid")
     return l.groupBy("n_cluster").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("gid").alias("n_clusters"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadledger.functions.text import label_text
-from roadledger.operators.ordered import first_row
+from roadledger.operators.ordered import first_row, group_ids
 from roadledger.sources.records import read_quoted
 
 # Layout of the headerless segment files.
@@ -59,10 +59,10 @@ def read_roads(spark: SparkSession, path: str, columns: list[str], kinds: list[s
 
 
 def explode_parts(df: DataFrame, parts: str, keys: list[str], out: str = "eid") -> DataFrame:
-    """Multi-part lines to single lines, empty ones dropped, with an id hashed from the keys."""
+    """Multi-part lines to single lines, empty ones dropped, numbered 1..n along the keys and parts."""
     flat = df.where(F.size(parts) > 0).select("*", F.posexplode(parts).alias("part", "line")).drop(parts)
     flat = flat.where(F.size("line") > 0)
-    return flat.withColumn(out, F.xxhash64(*keys, "part"))
+    return group_ids(flat, [*keys, "part"], out)
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], rows_per_file: int = 5_000_000) -> None:

@@ -118,3 +118,25 @@ def test_dense_ids_count_from_one_in_key_order(spark):
     rank = {v: n for n, (_, v) in enumerate(sorted(((a is not None, a or "", b), v) for v, (a, b) in enumerate(keys)), 1)}
     assert got == rank
     assert od.dense_ids(df.where("v < 0"), ["a"]).collect() == []
+
+
+def test_even_parts_hold_for_skewed_values(spark):
+    rng = random.Random(3)
+    data = [("hot", rng.choice([rng.random(), 1e9 * rng.random(), 1e-9 * rng.random()]), i) for i in range(6000)]
+    data += [("few", float(i % 5), i) for i in range(6000, 6050)] + [("hot", None, 7000), (None, 1.0, 7001), (None, -1.0, 7002)]
+    df = spark.createDataFrame(data, "k string, v double, i int").repartition(5)
+    tagged = od.even_parts(df, ["k"], "v", rows=100, points=256)
+    sizes = tagged.groupBy("k", "__part").count().where("k = 'hot' AND __part IS NOT NULL").select("count").collect()
+    assert 55 <= len(sizes) <= 70 and max(r[0] for r in sizes) <= 200
+    assert tagged.where("k = 'few'").select("__part").distinct().count() == 1
+    got = od.drop_parts(od.ordered(tagged, ["k"], ["v", "i"], lag={"p": "i"}, lead={"n": "i"}, total={"t": "i"}, rank="r"))
+    w = Window.partitionBy("k").orderBy("v", "i")
+    want = df.withColumns({"p": F.lag("i").over(w), "n": F.lead("i").over(w), "t": F.sum("i").over(w), "r": F.row_number().over(w).cast("long")})
+    assert rows(got, *want.columns) == rows(want)
+
+
+def test_group_numbers_and_keys_are_exact(spark):
+    df = spark.createDataFrame([("a", "b"), ("a", "b"), ("ab", ""), ("", "ab"), (None, "-"), ("-", None), (None, None), ("1:a", "b")], "x string, y string")
+    got = od.group_ids(df, ["x", "y"], "g").withColumn("k", od.group_key(["x", "y"]))
+    assert sorted(r["g"] for r in got.collect()) == [1, 2, 3, 4, 5, 6, 6, 7]
+    assert got.select("g").distinct().count() == got.select("k").distinct().count() == got.select("x", "y").distinct().count() == 7

@@ -94,7 +94,7 @@ def test_partitioned_sink_and_checks(spark, tmp_path):
         got = tables.read_roads(spark, str(tmp_path / "roads"), ["tlid"], ["S1100"], "mtfcc", "fullname", named)
         assert [r[0] for r in rows(got)] == want
     parts = spark.createDataFrame([("r", [[(0.0, 0.0)], []]), ("q", [])], "id string, parts array<array<struct<x: double, y: double>>>")
-    assert rows(tables.explode_parts(parts, "parts", ["id"]), "id", "part") == [("r", 0)]
+    assert rows(tables.explode_parts(parts, "parts", ["id"]), "id", "part", "eid") == [("r", 0, 1)]
 
 
 def test_report_sheets(spark):
