@@ -32,8 +32,8 @@ from roadledger.llm.common import column_name, pieces, ragged_take, whole_text
 
 # Fixed value: Unicode white space, as the pattern's \s means it.
 WHITE = r"\t-\r\x20\x85\xa0  -     　"
-#: Pieces that a worker remembers; beyond, its memory starts afresh.
-REMEMBER = 1 << 17
+#: Pieces that a worker remembers, in two halves: those not met again while the newer half filled up are forgotten.
+REMEMBER = 1 << 18
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
@@ -130,6 +130,7 @@ class ByteBpe:
         self.ranks = read_ranks(path)
         self.merges, self.pattern = Merges(self.ranks), regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.cache = ChunkCache(self.encode_chunks)
         tokens = sorted(self.ranks.items(), key=lambda x: x[1])
         size = np.zeros(tokens[-1][1] + 1, np.int64)
@@ -139,10 +140,12 @@ class ByteBpe:
 
     def _learn(self, texts: set[str]) -> None:
         """Encode new pieces in byte order: each goes on from the prefix that it shares with the one before."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+        if len(self.known) > REMEMBER // 2:
+            self.older, self.known = self.known, {}
+        missing = [t for t in texts if t not in self.known]
+        self.known.update((t, self.older[t]) for t in missing if t in self.older)
         encoder = PrefixEncoder(self.merges)
-        for data in sorted(t.encode() for t in texts if t not in self.known):
+        for data in sorted(t.encode() for t in missing if t not in self.known):
             if data in self.ranks:  # a piece that is a token is that token, reachable by merges or not
                 ids = (self.ranks[data],)
             else:
