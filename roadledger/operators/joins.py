@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roadledger.operators.names import (jaro_distance, match_keys, numbered, ranked_characters,
                                         shared_needed)
 from roadledger.operators.ordered import join_back, ordered
+from roadledger.session import cut_lineage
 
 
 def lookup(df: DataFrame, dim: DataFrame, keys: list[str], keep_unmatched: bool = False) -> DataFrame:
@@ -277,6 +278,56 @@ def record_match(left: DataFrame, right: DataFrame, keys: list[str], left_name:
                                     F.col("merge_code"))})
 
 
+def repair_keys(df: DataFrame, id_col: str, key: str, repairs: dict[int, str], drop: list[str] | None = None) -> DataFrame:
+    """Rows with the listed keys dropped and the keys of listed ids replaced (a short, given list)."""
+    rows = df.where(~F.coalesce(F.col(key).isin(*drop), F.lit(False))) if drop else df
+    fixed = F.lit(None).cast(df.schema[key].dataType)
+    for i, new in repairs.items():
+        fixed = F.when(F.col(id_col) == i, F.lit(new)).otherwise(fixed)
+    return rows.withColumn(key, F.coalesce(fixed, F.col(key)))
+
+
+def one_to_one(pairs: DataFrame, left: str, right: str, cost: list[str]) -> DataFrame:
+    """A choice of ``pairs`` that uses no left and no right id twice, the cheapest first.
+
+    Every id offers itself to its cheapest partner; offers that meet are taken, both ids leave, and the
+    others offer again until no pair is left. The cheapest pair of all always meets, so rounds end; the result is
+    that of taking pairs one by one in order of cost and ids.
+    """
+    def best(df: DataFrame, own: str) -> DataFrame:
+        return df.groupBy(own).agg(F.min("__at").alias("__at")).select("__at.*")
+
+    work = cut_lineage(pairs.select(left, right, F.struct(*cost, left, right).alias("__at")).dropna(subset=[left, right]))
+    taken = []
+    while work.limit(1).count():
+        met = best(work, left).select(left, right).join(best(work, right).select(left, right), [left, right])
+        met = cut_lineage(met)
+        taken.append(met)
+        work = cut_lineage(work.join(met.select(left), left, "left_anti").join(met.select(right), right, "left_anti"))
+    chosen = reduce(lambda a, b: a.unionByName(b), taken) if taken else work.select(left, right)
+    return pairs.join(chosen, [left, right], "left_semi").dropDuplicates([left, right])
+
+
+def external_match(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, left_name: str,
+                   right_name: str, left_date: str, right_date: str) -> DataFrame:
+    """Every record of both sides once: matched pairs of equal keys, then the records left alone.
+
+    Pairs of a key are taken by name distance, then by the days between their dates, and no record
+    is used twice. Adds name_distance (the start of the left name against the right one, per letter), date_gap in days, and
+    merge_code and match_group (1 left only, 2 right only, 3 both). A missing key matches nothing.
+    """
+    cut = F.upper(F.substring(F.col(left_name), F.lit(1), F.length(right_name)))
+    pairs = left.join(right.withColumnRenamed(key, "__key"), F.col(key) == F.col("__key")).withColumns({
+        "name_distance": F.try_divide(F.levenshtein(cut, F.upper(F.col(right_name))), F.length(right_name)),
+        "date_gap": F.datediff(left_date, right_date)}).drop("__key")
+    ranked = pairs.withColumns({"__far": F.coalesce("name_distance", F.lit(float("inf"))), "__days": F.coalesce(F.abs("date_gap"), F.lit(2**31 - 1))})
+    both = one_to_one(ranked, left_id, right_id, ["__far", "__days"]).drop("__far", "__days").withColumn("merge_code", F.lit(3))
+    alone = [df.join(both.select(i), i, "left_anti").withColumn("merge_code", F.lit(n)) for df, i, n in ((left, left_id, 1), (right, right_id, 2))]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), alone, both)
+    names = F.array(F.lit("left only"), F.lit("right only"), F.lit("both"))
+    return out.withColumn("match_group", F.element_at(names, F.col("merge_code")))
+
+
 def match_once(df: DataFrame, keys: list[str], match) -> DataFrame:
     """Match the distinct keys with ``match(distinct) -> DataFrame`` and join the results back."""
     return join_back(df, match(df.select(*keys).distinct()), keys)

@@ -69,14 +69,15 @@ def _clamped(px: Column, py: Column) -> tuple[Column, Column]:
     return t, ex * ex + ey * ey
 
 
-def locate(points: DataFrame, segs: DataFrame, keys: list[str], point_id: list[str],
-           px: str = "px", py: str = "py", fan: int = 64, levels: int | None = None) -> DataFrame:
-    """Nearest spot of its route for every point: distance along the route and off it.
-
-    Routes are summarised as boxes over runs of ``fan``, ``fan``^2 ... segments. A point starts at
-    the widest boxes and only opens a box whose nearest possible distance does not exceed the
-    best distance some box already guarantees, so it meets a few dozen segments, not all of them.
-    ``levels`` defaults to what leaves at most ``fan`` boxes of the longest route at the top.
+def _near_segments(queries: DataFrame, segs: DataFrame, keys: list[str], query_id: list[str], fan: int,
+                   levels: int | None, slack: float = 0.0) -> DataFrame:
+    """Segments of its line that may hold the spot nearest to each query, or one within ``slack`` of it.
+
+    Queries are boxes (__x0, __y0, __x1, __y1) with a point of theirs (__ux, __uy). Lines are summarised
+    as boxes over runs of ``fan``, ``fan``^2 ... segments. A query starts at the widest boxes and only
+    opens a box whose nearest possible distance does not exceed the best distance some box already
+    guarantees, so it meets a few dozen segments, not all of them.
+    ``levels`` defaults to what leaves at most ``fan`` boxes of the longest line at the top.
     """
     if levels is None:
         longest = segs.agg(F.max("seg_no")).first()[0] or 0
@@ -84,29 +85,37 @@ def locate(points: DataFrame, segs: DataFrame, keys: list[str], point_id: list[s
 
     def boxes(level: int) -> DataFrame:
         node = F.floor(F.col("seg_no") / F.lit(fan**level)).cast("bigint")
-        return segs.groupBy(*keys, node.alias("node")).agg(
+        return segs.groupBy(*keys, node.alias("__node")).agg(
             F.min(F.least("x1", "x2")).alias("bx0"), F.max(F.greatest("x1", "x2")).alias("bx1"),
             F.min(F.least("y1", "y2")).alias("by0"), F.max(F.greatest("y1", "y2")).alias("by1"),
             F.min(F.struct("seg_no", "x1", "y1")).alias("v"))
 
-    per_point = Window.partitionBy(*keys, *point_id)
-    x, y = F.col(px), F.col(py)
+    per_query = Window.partitionBy(*keys, *query_id)
+    carried = queries.columns
 
     def prune(df: DataFrame) -> DataFrame:
-        gx = F.greatest(F.col("bx0") - x, F.lit(0.0), x - F.col("bx1"))
-        gy = F.greatest(F.col("by0") - y, F.lit(0.0), y - F.col("by1"))
-        reach = F.pow(F.col("v.x1") - x, 2) + F.pow(F.col("v.y1") - y, 2)
-        df = df.withColumn("__ub", F.min(reach).over(per_point))
+        gx = F.greatest(F.col("bx0") - F.col("__x1"), F.lit(0.0), F.col("__x0") - F.col("bx1"))
+        gy = F.greatest(F.col("by0") - F.col("__y1"), F.lit(0.0), F.col("__y0") - F.col("by1"))
+        reach = F.pow(F.col("v.x1") - F.col("__ux"), 2) + F.pow(F.col("v.y1") - F.col("__uy"), 2)
+        df = df.withColumn("__ub", F.greatest(F.min(reach).over(per_query), F.lit(float(slack) ** 2)))
         near = df.where(gx * gx + gy * gy <= F.col("__ub") * (1 + 1e-9) + 1e-9)
-        return near.select(*keys, *point_id, px, py, "node")
+        return near.select(*carried, "__node")
 
-    cand = prune(points.select(*keys, *point_id, px, py).join(boxes(levels), keys))
+    cand = prune(queries.join(boxes(levels), keys))
     for level in range(levels - 1, 0, -1):
-        child = boxes(level).withColumn("__up", F.floor(F.col("node") / fan).cast("bigint"))
-        cand = cand.withColumnRenamed("node", "__up").join(child, [*keys, "__up"])
+        child = boxes(level).withColumn("__up", F.floor(F.col("__node") / fan).cast("bigint"))
+        cand = cand.withColumnRenamed("__node", "__up").join(child, [*keys, "__up"])
         cand = prune(cand)
-    leaf = segs.withColumn("node", F.floor(F.col("seg_no") / fan).cast("bigint"))
-    hits = cand.join(leaf, [*keys, "node"])
+    return cand.join(segs.withColumn("__node", F.floor(F.col("seg_no") / fan).cast("bigint")), [*keys, "__node"])
+
+
+def locate(points: DataFrame, segs: DataFrame, keys: list[str], point_id: list[str],
+           px: str = "px", py: str = "py", fan: int = 64, levels: int | None = None) -> DataFrame:
+    """Nearest spot of its route for every point: distance along the route and off it."""
+    x, y = F.col(px), F.col(py)
+    queries = points.select(*keys, *point_id, px, py).withColumns({
+        "__x0": x, "__x1": x, "__y0": y, "__y1": y, "__ux": x, "__uy": y})
+    hits = _near_segments(queries, segs, keys, point_id, fan, levels)
     t, d2 = _clamped(x, y)
     hits = hits.withColumns({"__t": t, "__d2": d2})
     best = hits.groupBy(*keys, *point_id).agg(F.min(F.struct(
@@ -115,6 +124,25 @@ def locate(points: DataFrame, segs: DataFrame, keys: list[str], point_id: list[s
                        F.sqrt("m.__d2").alias("offset"))
 
 
+def corners_near(lines: DataFrame, segs: DataFrame, keys: list[str], line_id: list[str], slack: float,
+                 fan: int = 64, levels: int | None = None) -> DataFrame:
+    """Corners of routes near the segments of other lines (x1, y1, x2, y2): (keys, line_id, position, offset).
+
+    The corner nearest to each line segment is among them, and every corner within ``slack`` of it, unless
+    another spot of the route is nearer; only these segments of a route are met.
+    """
+    box = ["x1", "y1", "x2", "y2"]
+    queries = lines.select(*keys, *line_id, *[F.col(c).alias(f"__q{c}") for c in box]).withColumns({
+        "__x0": F.least("__qx1", "__qx2"), "__x1": F.greatest("__qx1", "__qx2"), "__y0": F.least("__qy1", "__qy2"),
+        "__y1": F.greatest("__qy1", "__qy2"), "__ux": F.col("__qx1"), "__uy": F.col("__qy1")})
+    hits = _near_segments(queries, segs, keys, line_id, fan, levels, slack)
+    ends = F.array(F.struct(F.col("x1").alias("__px"), F.col("y1").alias("__py"), F.col("d0").alias("position")),
+                   F.struct(F.col("x2").alias("__px"), F.col("y2").alias("__py"), (F.col("d0") + F.col("seg_len")).alias("position")))
+    spots = hits.select(*keys, *line_id, *[F.col(f"__q{c}").alias(c) for c in box], F.inline(ends))
+    _, d2 = _clamped(F.col("__px"), F.col("__py"))
+    return spots.select(*keys, *line_id, "position", F.sqrt(d2).alias("offset"))
+
+
 def interval_on_route(ends: DataFrame, segs: DataFrame, keys: list[str], line_id: list[str]) -> DataFrame:
     """Sorted positions of a line's two end points (x1, y1, x2, y2) on its route."""
     pts = ends.select(*keys, *line_id, F.posexplode(F.array(
@@ -199,23 +227,42 @@ def apply_offset(points: DataFrame, rel_type: str, direction: str, distance: str
         "tolerance_m": F.when(near, F.lit(buffer_m)).otherwise(F.lit(0.0))})
 
 
+def cells_along(width: float, pad: float = 0.0) -> Column:
+    """Grid cells within ``pad`` of the segment x1, y1, x2, y2: one column of cells after the other.
+
+    The cells grow with the length of the segment, not with the area of its box.
+    """
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    west, east, south, north = F.least(x1, x2), F.greatest(x1, x2), F.least(y1, y2), F.greatest(y1, y2)
+
+    def cell(v: Column) -> Column:
+        return F.floor(v / width).cast("bigint")
+
+    def at(x: Column) -> Column:
+        return F.when(x1 == x2, y1).otherwise(y1 + (x - x1) * F.try_divide(y2 - y1, x2 - x1))
+
+    def rows(cx: Column) -> Column:
+        a = F.greatest(west, F.least(cx * width - pad, east))
+        b = F.least(east, F.greatest((cx + 1) * width + pad, west))
+        flat = x1 == x2
+        low = F.when(flat, south).otherwise(F.greatest(F.least(at(a), at(b)), south))
+        high = F.when(flat, north).otherwise(F.least(F.greatest(at(a), at(b)), north))
+        return F.transform(F.sequence(cell(low - pad), cell(high + pad)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(cell(west - pad), cell(east + pad)), rows))
+
+
 def crossings(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Points where segments of two tables with the same keys cross or touch.
 
-    Both sides are listed in the grid cells their boxes cover; a pair is kept at its first common
-    cell, so long segments are compared only where they can meet.
+    Both sides are listed in the grid cells that they pass through, so long segments are compared only
+    where they can meet; a crossing counts in the cell that holds its point.
     """
     def listed(df: DataFrame, tag: str) -> DataFrame:
-        lo = lambda u, v: F.floor(F.least(u, v) / width).cast("bigint")
-        hi = lambda u, v: F.floor(F.greatest(u, v) / width).cast("bigint")
-        df = df.withColumns({f"{tag}c": lo("x1", "x2"), f"{tag}r": lo("y1", "y2")})
-        df = df.withColumn("__cx", F.explode(F.sequence(lo("x1", "x2"), hi("x1", "x2"))))
-        df = df.withColumn("__cy", F.explode(F.sequence(lo("y1", "y2"), hi("y1", "y2"))))
-        return df.withColumnsRenamed({c: f"{tag}{c}" for c in df.columns
-                                      if c not in (*keys, "__cx", "__cy", f"{tag}c", f"{tag}r")})
+        df = df.withColumn("__cell", F.explode(cells_along(width, 1e-6 * width))).withColumns({"__cx": F.col("__cell.cx"), "__cy": F.col("__cell.cy")}).drop("__cell")
+        return df.withColumnsRenamed({c: f"{tag}{c}" for c in df.columns if c not in (*keys, "__cx", "__cy")})
 
     p = listed(a, "a_").join(listed(b, "b_"), [*keys, "__cx", "__cy"])
-    p = p.where((F.col("__cx") == F.greatest("a_c", "b_c")) & (F.col("__cy") == F.greatest("a_r", "b_r")))
     rx, ry = F.col("a_x2") - F.col("a_x1"), F.col("a_y2") - F.col("a_y1")
     sx, sy = F.col("b_x2") - F.col("b_x1"), F.col("b_y2") - F.col("b_y1")
     qx, qy = F.col("b_x1") - F.col("a_x1"), F.col("b_y1") - F.col("a_y1")
@@ -223,11 +270,12 @@ def crossings(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> Data
     t = F.try_divide(qx * sy - qy * sx, den)
     u = F.try_divide(qx * ry - qy * rx, den)
     hit = p.withColumns({"t": t, "u": u}).where(F.col("t").between(0, 1) & F.col("u").between(0, 1))
-    return hit.withColumns({"x": F.col("a_x1") + F.col("t") * rx, "y": F.col("a_y1") + F.col("t") * ry})
+    hit = hit.withColumns({"x": F.col("a_x1") + F.col("t") * rx, "y": F.col("a_y1") + F.col("t") * ry})
+    return hit.where((F.floor(F.col("x") / width) == F.col("__cx")) & (F.floor(F.col("y") / width) == F.col("__cy")))
 
 
 def endpoint_ranges(parts: DataFrame, endpoints: DataFrame, project: str, part: str, touch: float = 1e-6,
-                    lines: DataFrame | None = None, width: float = 1000.0) -> DataFrame:
+                    lines: DataFrame | None = None, width: float = 1000.0, routes: DataFrame | None = None) -> DataFrame:
     """Where both endpoints of a project lie on each part of its route, and how far off, near or far.
 
     ``endpoints`` are vertices (project, endpoint 'a'/'b', vid, x, y). Those of line and area endpoints
@@ -235,49 +283,54 @@ def endpoint_ranges(parts: DataFrame, endpoints: DataFrame, project: str, part:
     closed outline). An endpoint's range on a part spans the spots where a segment of it crosses the part
     or a vertex of either lies on the other; without any, it is the nearest spot. ``width`` is the side of
     the grid cells in which crossings are looked for.
+    With ``routes`` (project and one other column, the route) parts are keyed by route and exist once, however many
+    projects share it: endpoints probe the boxes of the route, and no geometry is copied per project.
     """
-    keys = [project, part]
-    ids = parts.select(*keys).distinct()
+    if routes is None:
+        route = "__route"
+        parts = parts.withColumnRenamed(project, route)
+        routes = parts.select(F.col(route).alias(project), route).distinct()
+    else:
+        route = next(c for c in routes.columns if c != project)
+    keys = [route, part]
+    box = ["x1", "y1", "x2", "y2"]
+    ids = parts.select(*keys).distinct().join(routes, route)
     pts = endpoints.select(project, "endpoint", "vid", F.col("x").alias("px"), F.col("y").alias("py"))
-    at = locate(ids.join(pts, project), parts, keys, ["endpoint", "vid"]).select(*keys, "endpoint", "offset", "position")
+    at = locate(ids.join(pts, project), parts, keys, [project, "endpoint", "vid"]).select(*keys, project, "endpoint", "offset", "position")
     if lines is not None:
-        box = ["x1", "y1", "x2", "y2"]
-        lines = lines.select(project, "endpoint", "seg_no", *box, "d0", "seg_len")
-        met = crossings(parts.select(*keys, *box, "d0", "seg_len"), lines.select(project, "endpoint", *box), [project], width)
-        met = met.select(project, F.col(f"a_{part}").alias(part), F.col("b_endpoint").alias("endpoint"), F.lit(0.0).alias("offset"),
-                         (F.col("a_d0") + F.col("t") * F.col("a_seg_len")).alias("position"))
-        corners = parts.select(*keys, (2 * F.col("seg_no")).alias("vid"), F.col("x1").alias("px"), F.col("y1").alias("py"), F.col("d0").alias("position"))
-        corners = corners.unionByName(parts.select(*keys, (2 * F.col("seg_no") + 1).alias("vid"), F.col("x2").alias("px"), F.col("y2").alias("py"),
-                                                   (F.col("d0") + F.col("seg_len")).alias("position")))
-        near = corners.join(lines.select(project, "endpoint").distinct(), project)
-        off = locate(near, lines, [project, "endpoint"], [part, "vid"]).select(*keys, "vid", "endpoint", "offset")
-        off = off.join(corners.select(*keys, "vid", "position"), [*keys, "vid"]).select(*at.columns)
-        at = at.unionByName(met).unionByName(off)
+        own = lines.select(project, "endpoint", F.col("seg_no").alias("line_seg"), *box).join(routes, project)
+        met = crossings(parts.select(*keys, *box, "d0", "seg_len"), own.select(route, project, "endpoint", *box), [route], width)
+        met = met.select(route, F.col(f"a_{part}").alias(part), F.col(f"b_{project}").alias(project), F.col("b_endpoint").alias("endpoint"),
+                         F.lit(0.0).alias("offset"), (F.col("a_d0") + F.col("t") * F.col("a_seg_len")).alias("position"))
+        near = corners_near(own.join(parts.select(*keys).distinct(), route), parts, keys, [project, "endpoint", "line_seg"], touch)
+        at = at.unionByName(met).unionByName(near.select(*at.columns))
     length = line_lengths(parts, keys).select(*keys, "length").where("length > 0")
     at = at.join(length, keys).withColumn("f", F.col("position") / F.col("length"))
     on = F.col("offset") <= touch
-    ep = at.groupBy(*keys, "endpoint", "length").agg(
+    named = [project, *keys]
+    ep = at.groupBy(*named, "endpoint", "length").agg(
         F.min("offset").alias("dist"), F.min(F.when(on, F.col("f"))).alias("lo_on"),
         F.max(F.when(on, F.col("f"))).alias("hi_on"), F.min(F.struct("offset", "f")).alias("n"))
-    ep = ep.select(*keys, "endpoint", "length", "dist",
+    ep = ep.select(*named, "endpoint", "length", "dist",
                    F.coalesce("lo_on", "n.f").alias("lo"), F.coalesce("hi_on", "n.f").alias("hi"),
                    F.when(F.col("lo_on").isNotNull(), "intersect").otherwise("nearest").alias("src"))
-    sides = [ep.where(F.col("endpoint") == e).select(*keys, *(["length"] if e == "a" else []), *[
+    sides = [ep.where(F.col("endpoint") == e).select(*named, *(["length"] if e == "a" else []), *[
         F.col(c).alias(f"{c}_{e}") for c in ("dist", "lo", "hi", "src")]) for e in ("a", "b")]
-    return sides[0].join(sides[1], keys)
+    return sides[0].join(sides[1], named).drop("__route")
 
 
 def crop_routes(parts: DataFrame, endpoints: DataFrame, project: str, part: str,
                 max_metres: float = 25_000.0, rule: str = "inner", touch: float = 1e-6,
-                lines: DataFrame | None = None, width: float = 1000.0) -> tuple[DataFrame, DataFrame]:
+                lines: DataFrame | None = None, width: float = 1000.0, routes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Crop every part of a project's route between its two endpoints.
 
-    ``parts`` are segments keyed by (project, part); ``endpoints`` and ``lines`` are as in
-    ``endpoint_ranges``. Parts farther than ``max_metres`` from either endpoint are left out.
+    ``parts`` are segments keyed by (project, part), or by (route, part) with ``routes``; ``endpoints``,
+    ``lines`` and ``routes`` are as in ``endpoint_ranges``. Parts farther than ``max_metres`` from either endpoint are left out.
     Returns one row per kept part (fractions, distances, sources) and the cropped vertices.
     """
-    keys = [project, part]
-    both = endpoint_ranges(parts, endpoints, project, part, touch, lines, width)
+    shared = routes is not None
+    keys = [next(c for c in routes.columns if c != project), part] if shared else [project, part]
+    both = endpoint_ranges(parts, endpoints, project, part, touch, lines, width, routes)
     both = both.where(F.greatest("dist_a", "dist_b") <= max_metres)
     swap = F.col("lo_a") + F.col("hi_a") > F.col("lo_b") + F.col("hi_b")
     first = {c: F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")) for c in ("lo", "hi")}
@@ -288,9 +341,10 @@ def crop_routes(parts: DataFrame, endpoints: DataFrame, project: str, part: str,
     mid = (f0 + f1) / 2
     both = both.withColumns({"crop_from": F.when(f0 > f1, mid).otherwise(f0),
                              "crop_to": F.when(f0 > f1, mid).otherwise(f1)})
-    cuts = both.select(*keys, (F.col("crop_from") * F.col("length")).alias("d_from"),
+    cut_id = [project] if shared else []
+    cuts = both.select(*keys, *cut_id, (F.col("crop_from") * F.col("length")).alias("d_from"),
                        (F.col("crop_to") * F.col("length")).alias("d_to"))
-    return both, cut_lines(parts, cuts, keys, [])
+    return both, cut_lines(parts, cuts, keys, cut_id)
 
 
 def crop_summary(cropped: DataFrame, all_parts: DataFrame, project: str, part: str, ranges: DataFrame | None = None) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Areas as boundary edges: adjacency, outlines, shared borders, directional halves."""
+"""Areas as boundary edges and rings: adjacency, outlines, shared and near borders, directional halves."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadledger.operators.linear import cells_along
 from roadledger.operators.ordered import ordered
 
 
@@ -61,15 +62,129 @@ def direction_word(c: Column) -> Column:
     return out
 
 
+def _beyond(direction: Column, x: Column, y: Column) -> Column:
+    """How far a point lies on the asked side of the centroid cx, cy."""
+    return (F.when(direction == "north", y - F.col("cy")).when(direction == "south", F.col("cy") - y)
+            .when(direction == "east", x - F.col("cx")).when(direction == "west", F.col("cx") - x))
+
+
+def _crossing(direction: Column, s1: Column, s2: Column) -> tuple[Column, Column]:
+    """Where the segment x1, y1, x2, y2 crosses the line through the centroid."""
+    t = F.try_divide(s1, s1 - s2)
+    upright = direction.isin("east", "west")
+    return (F.when(upright, F.col("cx")).otherwise(F.col("x1") + t * (F.col("x2") - F.col("x1"))),
+            F.when(upright, F.col("y1") + t * (F.col("y2") - F.col("y1"))).otherwise(F.col("cy")))
+
+
 def directional_half(edges: DataFrame, centres: DataFrame, area: str, direction: str) -> DataFrame:
-    """Boundary edges whose middle lies on the asked side of the centroid (whole edges are kept,
-    so the cut is exact to one edge)."""
+    """Boundary lines on the asked side of the centroid, cut where they cross the line through it."""
     e = edges.join(centres, area)
-    mx, my = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     d = F.col(direction)
-    side = (F.when(d == "north", my >= F.col("cy")).when(d == "south", my <= F.col("cy"))
-            .when(d == "east", mx >= F.col("cx")).when(d == "west", mx <= F.col("cx")))
-    return e.where(side)
+    e = e.withColumns({"__s1": _beyond(d, F.col("x1"), F.col("y1")), "__s2": _beyond(d, F.col("x2"), F.col("y2"))})
+    s1, s2 = F.col("__s1"), F.col("__s2")
+    e = e.where((F.greatest(s1, s2) > 0) | ((s1 == 0) & (s2 == 0)))
+    x, y = _crossing(d, s1, s2)
+    e = e.withColumns({"__x1": F.when(s1 < 0, x).otherwise(F.col("x1")), "__y1": F.when(s1 < 0, y).otherwise(F.col("y1")),
+                       "__x2": F.when(s2 < 0, x).otherwise(F.col("x2")), "__y2": F.when(s2 < 0, y).otherwise(F.col("y2"))})
+    e = e.withColumns({c: F.col(f"__{c}") for c in ("x1", "y1", "x2", "y2")})
+    p, q = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    return e.withColumns({"p": F.least(p, q), "q": F.greatest(p, q)}).drop("__s1", "__s2", "__x1", "__y1", "__x2", "__y2")
+
+
+def half_rings(vertices: DataFrame, centres: DataFrame, requests: DataFrame, area: str, ring: str = "part", seq: str = "seq",
+               split: Column | None = None) -> DataFrame:
+    """Closed rings of the asked half of each requested area: (req, area, ring, seq, x, y).
+
+    ``requests``: (req, area, direction) with direction words. A ring follows its vertices on the asked side and the
+    points where it crosses the line through the centroid, and closes along that line, so both halves of an
+    area add up to it, holes included. Rings wholly beyond the line give none.
+    """
+    v = ordered(vertices.select(area, ring, seq, F.col("x").alias("x1"), F.col("y").alias("y1")), [area, ring], [seq],
+                lead={"x2": "x1", "y2": "y1"}, split=split).where(F.col("x2").isNotNull())
+    v = v.join(centres.select(area, "cx", "cy"), area).join(requests.select("req", area, "direction"), area)
+    d = F.col("direction")
+    v = v.withColumns({"__s1": _beyond(d, F.col("x1"), F.col("y1")), "__s2": _beyond(d, F.col("x2"), F.col("y2"))})
+    s1, s2 = F.col("__s1"), F.col("__s2")
+    x, y = _crossing(d, s1, s2)
+    own = F.when(s1 >= 0, F.struct(F.lit(0).alias("i"), F.col("x1").alias("x"), F.col("y1").alias("y")))
+    cut = F.when(s1 * s2 < 0, F.struct(F.lit(1).alias("i"), x.alias("x"), y.alias("y")))
+    points = v.select("req", area, ring, seq, F.explode(F.filter(F.array(own, cut), lambda p: p.isNotNull())).alias("p")).select(
+        "req", area, ring, seq, "p.*")
+    keys = ["req", area, ring]
+    points = ordered(points, keys, [seq, "i"], rank="__n")
+    ends = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("x", "y"), F.col("__n")).alias("p")).where("n > 2")
+    rows = points.join(ends.select(*keys), keys, "left_semi").select(*keys, (F.col("__n") - 1).alias(seq), "x", "y")
+    return rows.unionByName(ends.select(*keys, F.col("n").alias(seq), "p.x", "p.y"))
+
+
+def ring_areas(vertices: DataFrame, keys: list[str], ring: str = "part", seq: str = "seq", split: Column | None = None) -> DataFrame:
+    """Area of closed rings per key, holes (rings of the other turn) taken off."""
+    v = ordered(vertices.select(*keys, ring, seq, "x", "y"), [*keys, ring], [seq], lead={"x2": "x", "y2": "y"}, split=split)
+    v = v.where(F.col("x2").isNotNull())
+    return v.groupBy(*keys).agg(F.abs(F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y")) / 2).alias("area_m2"))
+
+
+def _within(limit: float) -> Column:
+    """Part (from, to) of the segment x1..y2 that lies within ``limit`` of the segment o_x1..o_y2, as fractions; NULL for none.
+
+    The spots within a distance of a segment are a convex shape: two discs and the strip between them.
+    """
+    ax, ay = F.col("x1") - F.col("o_x1"), F.col("y1") - F.col("o_y1")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    ux, uy = F.col("o_x2") - F.col("o_x1"), F.col("o_y2") - F.col("o_y1")
+    length = F.sqrt(ux * ux + uy * uy)
+    ux, uy = ux / length, uy / length
+    own = dx * dx + dy * dy
+
+    def disc(px: Column, py: Column) -> Column:
+        b, c = px * dx + py * dy, px * px + py * py - limit * limit
+        root = F.sqrt(F.greatest(b * b - own * c, F.lit(0.0)))
+        return F.when(b * b - own * c >= 0, F.struct(((-b - root) / own).alias("a"), ((-b + root) / own).alias("b")))
+
+    def slab(at: Column, step: Column, low: Column, high: Column) -> Column:
+        """Fractions at which at + t * step lies between two borders."""
+        t1, t2 = F.try_divide(low - at, step), F.try_divide(high - at, step)
+        still = F.when(at.between(low, high), F.struct(F.lit(float("-inf")).alias("a"), F.lit(float("inf")).alias("b")))
+        return F.when(step != 0, F.struct(F.least(t1, t2).alias("a"), F.greatest(t1, t2).alias("b"))).otherwise(still)
+
+    along = slab(ax * ux + ay * uy, dx * ux + dy * uy, F.lit(0.0), length)
+    across = slab(ay * ux - ax * uy, dy * ux - dx * uy, F.lit(-limit), F.lit(limit))
+    strip = F.struct(F.greatest(along["a"], across["a"]).alias("a"), F.least(along["b"], across["b"]).alias("b"))
+    shapes = [disc(ax, ay), disc(ax - ux * length, ay - uy * length), F.when(along.isNotNull() & across.isNotNull() & (strip["a"] <= strip["b"]), strip)]
+    found = F.filter(F.array(*shapes), lambda s: s.isNotNull())
+    low = F.greatest(F.array_min(F.transform(found, lambda s: s["a"])), F.lit(0.0))
+    high = F.least(F.array_max(F.transform(found, lambda s: s["b"])), F.lit(1.0))
+    return F.when((F.size(found) > 0) & (low < high), F.struct(low.alias("a"), high.alias("b")))
+
+
+def border_within(edges: DataFrame, area: str, pairs: DataFrame, limit: float, width: float | None = None) -> DataFrame:
+    """The border of ``area_other`` within ``limit`` of the border of ``area``, for given pairs: (req.., x1, y1, x2, y2).
+
+    Edges meet in the grid cells along them; each keeps the parts that some edge of the other area reaches, joined up.
+    """
+    width = width or max(100 * limit, 1.0)
+    other = f"{area}_other"
+    ids = pairs.columns
+    box = ["x1", "y1", "x2", "y2"]
+    theirs = pairs.join(edges.select(F.col(area).alias(other), *box), other).withColumn("__cell", F.explode(cells_along(width, limit)))
+    mine = pairs.join(edges.select(area, *box), area).withColumn("__cell", F.explode(cells_along(width, limit)))
+    mine = mine.select(*ids, "__cell", *[F.col(c).alias(f"o_{c}") for c in box])
+    met = theirs.join(mine, [*ids, "__cell"]).withColumn("w", _within(limit)).where("w IS NOT NULL")
+    spans = met.groupBy(*ids, *box).agg(F.array_sort(F.collect_set("w")).alias("w"))
+    start = F.array().cast("array<struct<a:double,b:double>>")
+
+    def grown(done: Column, w: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], w["b"]).alias("b"))))
+        return F.when(F.size(done) == 0, F.array(w)).when(w["a"] <= last["b"], longer).otherwise(F.concat(done, F.array(w)))
+
+    parts = spans.select(*ids, *box, F.explode(F.aggregate("w", start, grown)).alias("w"))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+
+    def spot(t: str, c: str, d: Column) -> Column:
+        return F.when(F.col(t) == 0, F.col(f"{c}1")).when(F.col(t) == 1, F.col(f"{c}2")).otherwise(F.col(f"{c}1") + F.col(t) * d)
+
+    return parts.select(*ids, spot("w.a", "x", dx).alias("x1"), spot("w.a", "y", dy).alias("y1"), spot("w.b", "x", dx).alias("x2"), spot("w.b", "y", dy).alias("y2"))
 
 
 def boundary_reference(requests: DataFrame, edges: DataFrame, names: DataFrame, area: str,

@@ -202,6 +202,63 @@ def boundary_reference(spark: SparkSession, sf: str) -> DataFrame:
     return pl.boundary_reference(req, e, names, "area", best).groupBy("req", "kind").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
+_QUADS = """q AS (SELECT s_suppkey AS area, CAST(s_suppkey % 25 * 3 AS DOUBLE) AS ox, floor(s_suppkey / 25) * 3.0 AS oy, s_suppkey % 7 / 10.0 AS w FROM supplier),
+r AS (SELECT area, unnest([0, 1, 2, 3, 4]) AS seq, unnest([ox, ox + 1 + w, ox + 0.8, ox - 0.2, ox]) AS x1, unnest([oy, oy - w, oy + 1, oy + 0.7, oy]) AS y1 FROM q),
+e AS (SELECT * FROM (SELECT *, lead(x1) OVER (PARTITION BY area ORDER BY seq) AS x2, lead(y1) OVER (PARTITION BY area ORDER BY seq) AS y2 FROM r) WHERE x2 IS NOT NULL),
+c AS (SELECT area, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS cx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS cy FROM e GROUP BY area),
+d AS (SELECT e.*, cx, cy, k, area * 4 + k AS req, CASE k WHEN 0 THEN y1 - cy WHEN 1 THEN cy - y1 WHEN 2 THEN x1 - cx ELSE cx - x1 END AS s1,
+  CASE k WHEN 0 THEN y2 - cy WHEN 1 THEN cy - y2 WHEN 2 THEN x2 - cx ELSE cx - x2 END AS s2 FROM e JOIN c USING (area), range(4) t(k)),
+pts AS (SELECT req, k, seq, 0 AS i, x1 AS x, y1 AS y FROM d WHERE s1 >= 0 UNION ALL SELECT req, k, seq, 1, CASE WHEN k >= 2 THEN cx ELSE x1 + s1 / (s1 - s2) * (x2 - x1) END,
+  CASE WHEN k >= 2 THEN y1 + s1 / (s1 - s2) * (y2 - y1) ELSE cy END FROM d WHERE s1 * s2 < 0),
+ring AS (SELECT req, row_number() OVER (PARTITION BY req ORDER BY seq, i) - 1 AS seq, x, y FROM pts),
+shut AS (SELECT * FROM ring UNION ALL SELECT req, (SELECT count(*) FROM ring z WHERE z.req = ring.req), x, y FROM ring WHERE seq = 0)"""
+
+
+def _quads(spark: SparkSession, sf: str) -> DataFrame:
+    """A slanted closed ring of four corners per supplier."""
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("area"), (F.col("s_suppkey") % 25 * 3).cast("double").alias("ox"),
+                                           (F.floor(F.col("s_suppkey") / 25) * 3.0).alias("oy"), (F.col("s_suppkey") % 7 / 10.0).alias("w"))
+    ox, oy, w = F.col("ox"), F.col("oy"), F.col("w")
+    corners = [(ox, oy), (ox + 1 + w, oy - w), (ox + 0.8, oy + 1), (ox - 0.2, oy + 0.7), (ox, oy)]
+    return s.select("area", F.lit(0).alias("part"), F.inline(F.array(*[
+        F.struct(F.lit(i).alias("seq"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate(corners)])))
+
+
+def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    v = _quads(spark, sf)
+    words = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(d).alias("direction")) for i, d in enumerate(("north", "south", "east", "west"))])
+    req = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("area"), F.inline(words)).select(
+        (F.col("area") * 4 + F.col("k")).alias("req"), "area", "direction")
+    return v, pl.half_rings(v, pl.centroids(pl.boundary_edges(v, ["area"]), "area"), req, "area")
+
+
+@query(f"WITH {_QUADS} SELECT req, CAST(seq AS BIGINT) AS seq, round(x, 9) AS x, round(y, 9) AS y FROM shut")
+def half_rings(spark: SparkSession, sf: str) -> DataFrame:
+    return rnd(_halves(spark, sf)[1].select("req", "seq", "x", "y"), x=9, y=9)
+
+
+@query(f"""WITH {_QUADS}, a AS (SELECT area, abs(sum(x1 * y2 - x2 * y1) / 2) AS whole FROM e GROUP BY area)
+SELECT area, round(whole, 8) AS area_m2, round(whole, 8) AS north_south, round(whole, 8) AS east_west FROM a""")
+def halves_add_up(spark: SparkSession, sf: str) -> DataFrame:
+    """The halves of an area against the whole."""
+    v, halves = _halves(spark, sf)
+    parts = pl.ring_areas(halves, ["req", "area"]).groupBy("area").agg(
+        F.sum(F.when(F.col("req") % 4 < 2, F.col("area_m2"))).alias("north_south"), F.sum(F.when(F.col("req") % 4 >= 2, F.col("area_m2"))).alias("east_west"))
+    return rnd(pl.ring_areas(v, ["area"]).join(parts, "area"), area_m2=8, north_south=8, east_west=8)
+
+
+@query("""WITH s AS (SELECT s_suppkey AS area, s_suppkey + 1 AS area_other FROM supplier WHERE s_suppkey % 25 <> 24 AND s_suppkey + 1 IN (SELECT s_suppkey FROM supplier))
+SELECT area, area_other, round(1.2::DOUBLE, 6) AS length FROM s""")
+def border_within(spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbour's border up to a tenth from the own one: the shared side and both stubs beside it."""
+    e = pl.boundary_edges(squares(spark, sf), ["area"])
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("area"))
+    pairs = s.where("area % 25 <> 24").select("area", (F.col("area") + 1).alias("area_other")).join(s.withColumnRenamed("area", "area_other"), "area_other")
+    near = pl.border_within(e, "area", pairs.select("area", "area_other"), 0.1, width=0.75)
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    return near.groupBy("area", "area_other").agg(F.round(F.sum(length), 6).alias("length"))
+
+
 @query()
 def crop_routes(spark: SparkSession, sf: str) -> DataFrame:
     s = path_segments(spark, sf).withColumn("part", F.lit(0))

@@ -203,6 +203,29 @@ def external_record_match(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(joins.record_match(a, b, ["k"], "c_name", "s_name", "d1", "d2"), name_distance=8).select("k", "merge_code", "name_distance", "match_group")
 
 
+@query("""
+WITH RECURSIVE l AS (SELECT c_custkey AS l, c_nationkey AS k, c_name, min(o_orderdate) AS d1 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+r AS (SELECT s_suppkey AS r, s_nationkey AS k, s_name, min(l_shipdate) AS d2 FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL),
+p AS (SELECT l.k, l, r, levenshtein(upper(substr(c_name, 1, length(s_name))), upper(s_name)) / length(s_name) AS far, datediff('day', d2, d1) AS gap FROM l JOIN r ON l.k = r.k),
+q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY far, coalesce(abs(gap), 2147483647), l, r) AS n FROM p),
+g AS (SELECT DISTINCT k, 0::BIGINT AS n, []::BIGINT[] AS ls, []::BIGINT[] AS rs FROM q UNION ALL
+  SELECT g.k, q.n, CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN ls ELSE list_append(ls, l) END,
+    CASE WHEN list_contains(ls, l) OR list_contains(rs, r) THEN rs ELSE list_append(rs, r) END FROM g JOIN q ON q.k = g.k AND q.n = g.n + 1),
+m AS (SELECT unnest(ls) AS l, unnest(rs) AS r FROM g WHERE n = (SELECT max(n) FROM q WHERE q.k = g.k))
+SELECT l.l AS c_custkey, r.r AS s_suppkey, CAST(CASE WHEN r.r IS NULL THEN 1 WHEN l.l IS NULL THEN 2 ELSE 3 END AS INTEGER) AS merge_code, round(far, 8) AS name_distance,
+  CAST(gap AS INTEGER) AS date_gap, CASE WHEN r.r IS NULL THEN 'left only' WHEN l.l IS NULL THEN 'right only' ELSE 'both' END AS match_group
+FROM l LEFT JOIN m ON m.l = l.l FULL OUTER JOIN r ON r.r = m.r LEFT JOIN q ON q.l = l.l AND q.r = r.r""")
+def external_records_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and suppliers of a nation, each used once, with the gap between their first dates."""
+    o, li = read(spark, sf, "orders"), read(spark, sf, "lineitem")
+    first = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("d1"))
+    a = read(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), "c_name").join(first, "c_custkey", "left")
+    shipped = li.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.min("l_shipdate").alias("d2"))
+    b = read(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), "s_name").join(shipped, "s_suppkey", "left")
+    out = joins.external_match(a, b, "k", "c_custkey", "s_suppkey", "c_name", "s_name", "d1", "d2")
+    return rnd(out, name_distance=8).select("c_custkey", "s_suppkey", "merge_code", "name_distance", "date_gap", "match_group")
+
+
 @query("""SELECT p_brand, count(*) AS n FROM part WHERE starts_with(p_brand, 'Brand#1') OR starts_with(p_brand, 'Brand#24') GROUP BY 1""")
 def prefix_membership(spark: SparkSession, sf: str) -> DataFrame:
     return joins.prefix_members(read(spark, sf, "part"), "p_brand", ["Brand#1", "Brand#24"]).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
