@@ -84,10 +84,17 @@ class PrefixEncoder:
         raise ValueError("the ranks lack a byte")
 
     def append(self, more: bytes) -> None:
-        start = len(self.data)
-        self.data += more
-        for stop in range(start + 1, len(self.data) + 1):
-            self.last.append(self._token_ending(stop))
+        at = len(self.data)
+        data = self.data = self.data + more
+        last, ranks, adjacent, longest = self.last, self.merges.ranks, self.merges.adjacent, self.merges.longest
+        for stop in range(at + 1, len(data) + 1):
+            for start in range(stop - longest if stop > longest else 0, stop):
+                token = data[start:stop]
+                if token in ranks and adjacent(data[start - last[start - 1]:start] if start else b"", token):
+                    last.append(stop - start)
+                    break
+            else:
+                raise ValueError("the ranks lack a byte")
 
     def cut(self, size: int) -> None:
         """Keep the first ``size`` bytes."""

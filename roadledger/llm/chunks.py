@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -51,6 +52,7 @@ class ChunkCache:
         if new:
             found = [np.asarray(x, np.uint32) for i in range(0, len(new), AT_ONCE) for x in self.encode(new[i:i + AT_ONCE])]
             self.now.add(new, found, np.fromiter(map(len, found), np.int64, len(found)))
+            gc.freeze()  # what is remembered holds no cycles; the collector need not walk it again and again
 
     def encode_texts(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts given as chunks, joined, and the number of ids of each text."""
