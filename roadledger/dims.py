@@ -282,6 +282,8 @@ STATE_RECODES = {75: 69}
 STATUS_GROUP_TYPOS = {
     "1AIF": "1A1F", "2A1P": "2A1F", "6BI": "6B1", "BA2": "3A2", "IA3F": "1A3F", "IAIF": "1A1F",
 }
+GIS_END_TYPOS = {2801.0: 28.01, 15790.0: 1.579}
+CHECK_ERRORS = {"ERROR": "0"}
 # state, route, start mile-post, typed year, right year
 OPEN_YEAR_FIXES = [
     (5, "40", 109.13, 89, 69),
@@ -371,6 +373,19 @@ def recode(c: Column, mapping: dict) -> Column:
     return out
 
 
+def program_names(df: DataFrame, code: str, label: str) -> DataFrame:
+    """Display name of a funding program; programs without one keep their own name."""
+    names = code_table(df.sparkSession, entries(PROGRAM_NAMES), "c", "l", numeric=False)
+    return decode(df, code, names, label).withColumn(label, F.coalesce(label, F.col(code)))
+
+
+def repair_label(df: DataFrame, code: str, label: str, pairs: list[tuple[str, str]], width: int = 2) -> DataFrame:
+    """A code read back as a number: its label decoded anew and the code padded to its width again."""
+    dim = code_table(df.sparkSession, pairs, "c", "l")
+    number = df.withColumn(code, F.trim(F.col(code).cast("string")).try_cast("int"))
+    return decode(number, code, dim, label).withColumn(code, F.lpad(F.col(code).cast("string"), width, "0"))
+
+
 def program_pairs() -> list[tuple[str, str]]:
     return [(c, name) for name, text in FUNDING_PROGRAMS.items() for c in text.split()]
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,52 +57,74 @@ def route_designation(df: DataFrame) -> DataFrame:
     return df.withColumns({"route_designation": label, "is_named": named})
 
 
+class NameRule(NamedTuple):
+    """Names of these anchors (of any, when empty) that match ``when`` are rewritten by ``edits`` (pattern, replacement)."""
+
+    anchors: tuple[str, ...]
+    when: str
+    edits: tuple[tuple[str, str], ...]
+
+
+# How a reference is written in a title and how the network writes it, the first rule that fits counts.
+NAME_RULES = [
+    NameRule(("county_line",), r"(?i)\s*County\s*Line", ((r"(?i)\s*County\s*Line|\s*County|-", ""),)),
+    NameRule(("state_line",), r"(?i)State\s*Line", ((r"(?i)\s*State\s*Line|-", ""),)),
+    NameRule(("city", "city_limits"), r"(?i)City\s*Limit|Town\s*Line", ((r"(?i)\s*City\s*Limits?\s*|\s*Town\s*Lines?\s*|\s*Limits?\s*|-", ""),)),
+    NameRule(("county",), r"(?i)\bCounty\b", ((r"(?i)\s*County\b", ""),)),
+    NameRule((), r"(?i)Rail\s*road|Railway|\bRR\b|\bRwy\b", ((r"(?i)\s*Rail\s*road", " RR"), (r"(?i)\s*Railway", " Rlwy"))),
+    NameRule((), r"(?i)^Interstate\s+\S+", ((r"(?i)^Interstate\s+(\S+)", "I- $1"),)),
+    NameRule((), r"(?i)^US\s+Route\s+\S+", ((r"(?i)^US\s+Route\s+(\S+)", "US Hwy $1"),)),
+    NameRule((), r"(?i)^State\s+Route\s+\S+", ((r"(?i)^State\s+Route\s+(\S+)", "State Rte $1"),)),
+    NameRule((), r"(?i)^State\s+Highway\s+\S+", ((r"(?i)^State\s+Highway\s+(\S+)", "State Hwy $1"),)),
+]
+# Boundary words, two names with a hyphen between them, and a direction as a word.
+BOUNDARY_WORDS = r"(?i)\s*(State|County|Town)\s*Line"
+HYPHENATED = r"\w+\s*-\s*\w+"
+DIRECTION = r"(?i)(?<![A-Za-z])(North|South|East|West)(?![A-Za-z])"
+
+
+def without_first(text: Column, part: Column) -> Column:
+    """The text without the first occurrence of a part, in either case."""
+    at = F.position(F.lower(part), F.lower(text))
+    return F.when((F.length(part) > 0) & (at > 0), F.concat(
+        F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(part), F.length(text)))).otherwise(text)
+
+
 def paired_boundary(feature: Column, state: Column, county: Column) -> Column:
-    """Neighbour in a paired boundary such as 'Adams-Brown County Line'; NULL when it is not one."""
-    line = feature.rlike(r"(?i)(State|County|Town)\s*Line") & feature.rlike(r"\w+\s*-\s*\w+")
-    bare = squish(F.regexp_replace(feature, r"(?i)\s*(State|County|Town)\s*Line", ""))
-    parts = F.filter(F.transform(F.split(bare, r"\s*-\s*"), squish), lambda p: p != "")
-    other = F.filter(parts, lambda p: ~F.coalesce(F.lower(p).isin(F.lower(state), F.lower(county)), F.lit(False)))
-    return F.when(line, F.coalesce(F.try_element_at(other, F.lit(1)), F.try_element_at(parts, F.lit(1))))
+    """The far side of a boundary named by both sides, such as 'Adams-Brown County Line'; NULL when it is not one.
+
+    Sides that name the own state or county come last, the others keep their order, and the first one is taken.
+    """
+    sides = F.transform(F.split(F.regexp_replace(feature, BOUNDARY_WORDS, ""), "-"), squish)
+    homes = F.array(F.lower(F.coalesce(state, F.lit(""))), F.lower(F.coalesce(county, F.lit(""))))
+    ranked = F.array_sort(F.transform(F.filter(sides, lambda s: s != ""), lambda s, i: F.struct(
+        F.array_contains(homes, F.lower(s)).alias("home"), i.alias("i"), s.alias("name"))))
+    return F.when(feature.rlike(BOUNDARY_WORDS) & feature.rlike(HYPHENATED), F.get(ranked, 0)["name"])
+
+
+def rewritten(name: Column, anchor: Column, rules: list[NameRule] = NAME_RULES) -> Column:
+    """The name after the edits of the first rule that fits its anchor and text."""
+    fits = [name.rlike(r.when) & (anchor.isin(*r.anchors) if r.anchors else F.lit(True)) for r in rules]
+    number = F.coalesce(*[F.when(f, F.lit(i)) for i, f in enumerate(fits)])
+    edited = [reduce(lambda text, edit: F.regexp_replace(text, *edit), r.edits, name) for r in rules]
+    return reduce(lambda out, i: F.when(number == i, squish(edited[i])).otherwise(out), range(len(rules)), name)
 
 
 def abbreviate(name: Column) -> Column:
     """Trailing road words shortened the way the network writes them."""
-    out = name
-    for word, short in SUFFIXES.items():
-        out = F.regexp_replace(out, rf"(?i)\b{word}$", short)
-    return squish(out)
+    return squish(reduce(lambda text, word: F.regexp_replace(text, rf"(?i)\b{word}$", SUFFIXES[word]), SUFFIXES, name))
 
 
 def normalise_reference(df: DataFrame, feature: str, anchor: str, direction: str, state: str,
                         county: str) -> DataFrame:
     """Direction named in the feature, and the feature text in the network's style."""
-    county_text = F.when(F.col(county).rlike(r"(?i)\s*County"), F.regexp_replace(
-        F.col(county), r"(?i)^(.*?)\s*County.*$", "$1")).otherwise(F.col(county))
-    f = squish(F.col(feature))
-    lines = F.col(anchor).isin(*DIRECTIONAL_ANCHORS)
-    in_text = F.nullif(F.lower(F.regexp_extract(
-        f, r"(?i)(?<![A-Za-z])(North|South|East|West)(?![A-Za-z])", 1)), F.lit(""))
-    pair = paired_boundary(f, F.col(state), county_text)
-    a = F.col(anchor)
-    no_county = F.regexp_replace(f, F.concat(F.lit(r"(?i)\Q"), F.coalesce(county_text, F.lit("")), F.lit(r"\E")), "")
-    rail = squish(F.regexp_replace(F.regexp_replace(f, r"(?i)\s*Rail\s*road", " RR"), r"(?i)\s*Railway", " Rlwy"))
-    text = (F.when(lines & pair.isNotNull(), pair)
-            .when((a == "county_line") & f.rlike(r"(?i)\s*County\s*Line"),
-                  squish(F.regexp_replace(no_county, r"(?i)\s*County\s*Line|\s*County|-", "")))
-            .when((a == "state_line") & f.rlike(r"(?i)State\s*Line"),
-                  squish(F.regexp_replace(f, r"(?i)\s*State\s*Line|-", "")))
-            .when(a.isin("city", "city_limits") & f.rlike(r"(?i)City\s*Limit|Town\s*Line"), squish(F.regexp_replace(
-                f, r"(?i)\s*City\s*Limits?\s*|\s*Town\s*Lines?\s*|\s*Limits?\s*|-", "")))
-            .when((a == "county") & f.rlike(r"(?i)\bCounty\b"), squish(F.regexp_replace(f, r"(?i)\s*County\b", "")))
-            .when(f.rlike(r"(?i)Rail\s*road|Railway|\bRR\b|\bRwy\b"), rail)
-            .when(f.rlike(r"(?i)^Interstate\s+\S+"), F.regexp_replace(f, r"(?i)^Interstate\s+(\S+)", "I- $1"))
-            .when(f.rlike(r"(?i)^US\s+Route\s+\S+"), F.regexp_replace(f, r"(?i)^US\s+Route\s+(\S+)", "US Hwy $1"))
-            .when(f.rlike(r"(?i)^State\s+Route\s+\S+"),
-                  F.regexp_replace(f, r"(?i)^State\s+Route\s+(\S+)", "State Rte $1"))
-            .when(f.rlike(r"(?i)^State\s+Highway\s+\S+"),
-                  F.regexp_replace(f, r"(?i)^State\s+Highway\s+(\S+)", "State Hwy $1"))
-            .otherwise(f))
-    return df.withColumns({
-        "extracted_direction": F.when(lines, F.coalesce(in_text, F.col(direction))),
-        "feature_clean": abbreviate(text)})
+    name, kind = squish(F.col(feature)), F.col(anchor)
+    own_county = without_first(F.regexp_replace(F.col(county), r"(?i)\s+County", " County"), F.lit(" County"))
+    on_line = kind.isin(*DIRECTIONAL_ANCHORS)
+    far_side = F.when(on_line, paired_boundary(name, F.col(state), own_county))
+    # the own county only goes from names of county lines
+    own_line = (kind == "county_line") & name.rlike(NAME_RULES[0].when)
+    text = rewritten(F.when(own_line, without_first(name, F.coalesce(own_county, F.lit("")))).otherwise(name), kind)
+    named = F.nullif(F.lower(F.regexp_extract(name, DIRECTION, 1)), F.lit(""))
+    return df.withColumns({"extracted_direction": F.when(on_line, F.coalesce(named, F.col(direction))),
+                           "feature_clean": abbreviate(F.coalesce(far_side, text))})

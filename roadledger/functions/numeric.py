@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unit factors.
@@ -88,6 +88,15 @@ def implied_decimal(c: Column, places: int = 2) -> Column:
     return c.cast("double") / F.lit(float(10**places))
 
 
+def segment_measures(df: DataFrame, route: str, mile: str, length: str) -> DataFrame:
+    """Typed measures of a segment record: route number without its last digit, start, length and end in miles.
+
+    Mile-posts and lengths carry two implied decimals; the end is the start plus the length.
+    """
+    start, miles = implied_decimal(F.col(mile)), implied_decimal(F.col(length))
+    return df.withColumns({"route": F.expr(f"`{route}` div 10").cast("int"), "mp_start": start, "seg_len": miles, "mp_end": start + miles})
+
+
 def sum0(c: Column) -> Column:
     """Sum whose value over no or only NULL rows is 0."""
     return F.coalesce(F.sum(c), F.lit(0.0))

@@ -25,6 +25,7 @@ NUMBER_PATTERNS = [
     r"\bIR[\s-]+(\d{1,3})(?=[^0-9]|$)",
     r"\bI[\s-]*(\d{1,3})(?=[^0-9]|$)",
 ]
+# Numbers of other route systems, and two routes named together.
 US_ROUTE = r"\b(?:US|U\.S\.)\s*(?:RT\.?\s*)?(\d{1,3})\b"
 STATE_ROUTE = r"\b(?:SR|SH|RTE?|ROUTE)\s*[\s-]?(\d{1,4})\b"
 CONCURRENT = r"I[\s-]*(\d{1,3})\s*[/&]\s*I?[\s-]*(\d{1,3})"
@@ -36,6 +37,7 @@ CROSS_REFERENCES = [
     r"\bAT\s+I[\s-]*{n}(?=[^0-9]|$)",
     r"@\s*I[\s-]*{n}(?=[^0-9]|$)",
 ]
+# Phrases that end a project at a route, a route that leads the title, and any mention of one.
 LIMIT_REFERENCES = [
     r"(?:FR(?:OM|\.)?|FM)\s+I[\s-]*{n}(?=[^0-9]|$)",
     r"\bTO\s+I[\s-]*{n}(?=[^0-9]|$)",

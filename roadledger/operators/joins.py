@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadledger.functions.text import strip_zeros
 from roadledger.operators.names import (jaro_distance, match_keys, numbered, ranked_characters,
                                         shared_needed)
 from roadledger.operators.ordered import join_back, ordered
@@ -105,6 +106,15 @@ def suffix_number(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, r"([0-9]+)\s*$", 1), F.lit("")).try_cast("bigint")
 
 
+def signed_routes(df: DataFrame, routes: DataFrame, keys: list[str], number: str, route_keys: list[str], route_number: str) -> DataFrame:
+    """Left join on the keys and the number without leading zeros and blanks on both sides; every left row stays."""
+    bare = routes.withColumns({"__n": strip_zeros(F.trim(F.col(route_number).cast("string")))} | {f"__r_{k}": F.col(k) for k in route_keys})
+    bare = bare.drop(*[c for c in [*route_keys, route_number] if c in df.columns])
+    match = [df[a] == bare[f"__r_{b}"] for a, b in zip(keys, route_keys)]
+    left = strip_zeros(F.trim(df[number].cast("string")))
+    return df.join(bare, reduce(lambda a, b: a & b, match, left == bare["__n"]), "left").drop("__n", *[f"__r_{k}" for k in route_keys])
+
+
 def numbered_routes(requests: DataFrame, network: DataFrame, block: list[str], number: str,
                     name: str, kind: str, request_kind: str,
                     extra_kinds: dict[str, list[str]] | None = None) -> DataFrame:

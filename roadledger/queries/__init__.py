@@ -2,4 +2,4 @@
 
 from roadledger.queries.base import REGISTRY
 from roadledger.queries import (audits, evaluation, panel_queries, segments, shapes, spending,  # noqa: F401
-                                source_queries, texts, network_queries, study_queries)
+                                record_queries, source_queries, texts, network_queries, study_queries)

@@ -43,6 +43,7 @@ def titles(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", "o_custkey", "o_totalprice", F.year("o_orderdate").alias("yr"), "k", F.concat(route, place).alias("title"))
 
 
+# The reference patterns and prefixes of roadledger.functions.routes, for the SQL side.
 _RE = r"(\bIH?[-\s]?\d{1,3}[A-Z]{0,2}\b)|(\bIR[-\s]?\d{1,3}[A-Z]{0,2}\b)|(\bIN[-\s]?\d{1,3}\b)|(\bINTERSTATE\s+\d{1,3}\b)|(\bFAI[-\s]?\d{1,3}\b)"
 _PRE = r"^(INTERSTATE\s+|FAI[-\s]?|IR[-\s]?|IN[-\s]?|IH?[-\s]?)"
 
@@ -73,6 +74,7 @@ def routes_in_documents(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "has_route", found.alias("n_found"))
 
 
+# The number patterns of roadledger.functions.routes, for the SQL side.
 _ALL = [r"\bINTERSTATE\s+(\d{1,3})\b", r"\bIH\s*(\d{1,3})(?:[^0-9]|$)", r"\bFAI[\s-]*(\d{1,3})(?:[^0-9]|$)", r"\bIS\s+(\d{1,3})(?:[^0-9]|$)",
         r"\bIR[\s-]+(\d{1,3})(?:[^0-9]|$)", r"\bI[\s-]*(\d{1,3})(?:[^0-9]|$)"]
 
