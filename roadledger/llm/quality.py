@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadledger.llm.common import SPACE, column_name, whole_text, words_of
+from roadledger.llm.common import SPACE, SPACE_CLASS, column_name, whole_text, words_of
 
 BUCKETS = 262_144
 #: Counts that the queries add to both sides of a bucket.
@@ -37,28 +37,28 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _gram_buckets(words: Column, buckets: int) -> Column:
-    """Bucket numbers of all words and of all pairs of neighbouring words."""
-    def both(hashes: Column) -> Column:
-        pairs = F.zip_with(hashes, F.slice(hashes, 2, F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.when(
-            b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")))
-        single = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-        return F.concat(single, F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0))))
+def _word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), both)
 
+def _pair_hashes(hashes: Column) -> Column:
+    """Hashes of all pairs of neighbouring words."""
+    last = F.greatest(F.size(hashes) - 1, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), last), F.slice(hashes, F.lit(2), last), lambda a, b: F.xxhash64(a, b))
 
-def _repeat_words(words: Column) -> Column:
+
+def _bucket(h: Column, buckets: int) -> Column:
+    # the same bucket by a cheaper step where their number is a power of two
+    return F.pmod(h, F.lit(buckets).cast("long")) if buckets & buckets - 1 else h.bitwiseAND(F.lit(buckets - 1).cast("long"))
+
+
+def _repeat_words(hashes: Column, pairs: Column) -> Column:
     """Words that lie in a window of five found twice or more in the text.
 
-    Windows are 64-bit hashes compared within one text only. Where any repeats, (hash, place) pairs are
-    sorted; a place whose neighbour has the same hash repeats, and covers the words up to the next
-    such place or the window's end.
+    Windows are 64-bit hashes compared within one text only, of two pairs and the last word. Where any
+    repeats, (hash, place) pairs are sorted; a place whose neighbour has the same hash repeats, and covers the words up to
+    the next such place or the window's end.
     """
-    def windows(hashes: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(
-            *[F.get(hashes, i + (j - 1)) for j in range(WINDOW)]))
-
     def covered(w: Column) -> Column:
         ordered = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
@@ -75,23 +75,20 @@ def _repeat_words(words: Column) -> Column:
     def count(w: Column) -> Column:
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(covered(w))
 
-    return F.when(F.size(words) < WINDOW + 1, F.lit(0).cast("long")).otherwise(
-        _let(_let(F.transform(words, lambda w: F.xxhash64(w)), windows), count))
+    n = F.size(hashes) - (WINDOW - 1)
+    windows = F.transform(F.slice(pairs, F.lit(1), n), lambda p, i: F.xxhash64(p, F.get(pairs, i + 2), F.get(hashes, i + 4)))
+    return F.when(F.size(hashes) < WINDOW + 1, F.lit(0).cast("long")).otherwise(_let(windows, count))
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
-def base_columns(text: Column, words: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of whole texts."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(_without(x, SPACE)) > 0)
+def base_columns(text: Column, hashes: Column, pairs: Column) -> dict[str, Column]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of whole texts, by the hashes of words and pairs."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(_without(text, SPACE)).cast("long"),
-        "n_symbols": (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long"),
+        "n_words": F.size(hashes).cast("long"),
+        "word_chars": (F.length(text) - F.regexp_count(text, F.lit(SPACE_CLASS.rstrip("+")))).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": _repeat_words(words),
+        "n_repeat_words": _repeat_words(hashes, pairs),
     }
 
 
@@ -103,8 +100,8 @@ def gram_log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
     """
     ids = trusted.select(F.col("doc_id").alias("t_id")).distinct()
     marked = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("t_id"), "left")
-    grams = marked.select(F.col("t_id").isNotNull().cast("long").alias("good"),
-                          F.explode(_gram_buckets(words_of(F.col("text")), buckets)).alias("bucket"))
+    hashed = marked.select(F.col("t_id").isNotNull().cast("long").alias("good"), _word_hashes(words_of(F.col("text"))).alias("h"))
+    grams = hashed.select("good", F.explode(F.concat("h", _pair_hashes(F.col("h")))).alias("h")).select("good", _bucket(F.col("h"), buckets).cast("int").alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("all"))
     counts = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     counts = counts.select("bucket", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("good", "all")])
@@ -123,10 +120,13 @@ def gram_log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
         F.log(quotient(x)), 4)).cast("string")), ",").alias("ratios"))
 
 
-def _mean_ratio(buckets: Column, ratios: Column) -> Column:
-    """Mean of the ratios at the buckets; 0 without any."""
-    total = F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + F.element_at(ratios, b + 1))
-    return F.coalesce(total / F.nullif(F.size(buckets), F.lit(0)), F.lit(0.0))
+def _mean_ratio(hashes: Column, pairs: Column, ratios: Column, buckets: int) -> Column:
+    """Mean of the ratios at the buckets of all words and pairs; 0 without any."""
+    def added(acc: Column, h: Column) -> Column:
+        return acc + F.get(ratios, _bucket(h, buckets))
+
+    total = F.aggregate(pairs, F.aggregate(hashes, F.lit(0.0), added), added)
+    return F.coalesce(total / F.nullif(F.size(hashes) + F.size(pairs), F.lit(0)), F.lit(0.0))
 
 
 def quality_columns(docs: DataFrame, trusted: DataFrame, columns: list[str], buckets: int = BUCKETS,
@@ -134,12 +134,14 @@ def quality_columns(docs: DataFrame, trusted: DataFrame, columns: list[str], buc
     """``columns`` of every document with the base columns, base_failed, score and kept."""
     # a constant of ``buckets`` numbers in the plan: subqueries may not stand in a lambda
     ratios = F.split(F.lit(gram_log_ratios(docs, trusted, buckets, prior).first()["ratios"]), ",").cast("array<double>")
-    text, words = (column_name(docs, c) for c in ("whole_text", "words"))
+    text, hashes, pairs = (column_name(docs, c) for c in ("whole_text", "hashes", "pairs"))
     d = docs.select(*columns, whole_text().alias(text))
-    d = d.select("*", words_of(F.col(text)).alias(words))
-    base = base_columns(F.col(text), F.col(words))
+    # each text is split and hashed once
+    d = d.select("*", _word_hashes(words_of(F.col(text))).alias(hashes))
+    d = d.select("*", _pair_hashes(F.col(hashes)).alias(pairs))
+    base = base_columns(F.col(text), F.col(hashes), F.col(pairs))
     d = d.select(*columns, *[c.alias(n) for n, c in base.items()],
-                 _let(_gram_buckets(F.col(words), buckets), lambda b: _mean_ratio(b, ratios)).alias("score"))
+                 _mean_ratio(F.col(hashes), F.col(pairs), ratios, buckets).alias("score"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return d.select("*", failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"))
 
