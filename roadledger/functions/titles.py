@@ -206,10 +206,14 @@ RULES = [
 _TWO_ENDED = {ON_FROM_TO, BETWEEN_AND_LOOSE, *FROM_TO, *BETWEEN_AND, A_TO_B, A_DASH_B}
 
 
-def _candidates(texts: dict[str, Column]) -> Column:
+#: Rules that are tried at once; later groups are only looked at for titles that the earlier ones leave open.
+GROUPS = [RULES[:6], RULES[6:10], RULES[10:14], RULES[14:19], RULES[19:24], RULES[24:]]
+
+
+def _candidates(texts: dict[str, Column], rules: list[tuple]) -> Column:
     """Array of what every rule finds, in order: raw ends and how to accept them."""
     found = []
-    for source, pattern, clean, least, check in RULES:
+    for source, pattern, clean, least, check in rules:
         text = texts[source]
         second = _grab(text, pattern, 2) if pattern in _TWO_ENDED else F.lit(None).cast("string")
         found.append(F.struct(_grab(text, pattern).alias("a"), second.alias("b"), F.lit(clean).alias("clean"),
@@ -253,12 +257,16 @@ def parse_titles(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
     out = out.withColumns({"__mile": F.coalesce(mile_pair, mile_one), "__coded": coded})
     work = F.when(starts_with_work(t), F.col("__n"))
     texts = {"on": _grab(work, AFTER_ON), "work": work, "full": F.col("__n"), "place": F.col("__loc")}
-    # the cleaning and the acceptance test are written once and stop at the first accepted find
-    out = out.withColumn("__found", F.filter(_candidates(texts), lambda c: c["a"].isNotNull()))
     none = F.array().cast("array<struct<a: string, b: string, least: int, check: string>>")
-    first = F.aggregate("__found", none, lambda acc, c: F.when(F.size(acc) > 0, acc).otherwise(
-        F.filter(F.transform(F.array(c), _cleaned), _accepted)))
-    out = out.withColumn("__e", F.try_element_at(first, F.lit(1)))
+
+    def first_of(rules: list[tuple]) -> Column:
+        """The first accepted find of some rules; the cleaning and the test stand here once and stop at it."""
+        found = F.filter(_candidates(texts, rules), lambda c: c["a"].isNotNull())
+        return F.try_element_at(F.aggregate(found, none, lambda acc, c: F.when(F.size(acc) > 0, acc).otherwise(
+            F.filter(F.transform(F.array(c), _cleaned), _accepted))), F.lit(1))
+
+    open_ends = F.col("__mile").isNull() & F.col("__coded").isNull()
+    out = out.withColumn("__e", F.when(open_ends, F.coalesce(*map(first_of, GROUPS))))
     mile, code = F.col("__mile"), F.col("__coded")
     coded_b = code["b"].try_cast("double").cast("string")
     a = (F.when(mile.isNotNull(), F.concat(F.lit("MP "), mile["a"]))
@@ -276,7 +284,7 @@ def parse_titles(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
         f"{prefix}milepost_start": F.coalesce(mile["a"], code["a"]).try_cast("double"),
         f"{prefix}milepost_end": F.when(mile.isNotNull(), mile["b"]).otherwise(code["b"]).try_cast("double"),
         f"{prefix}project_type": F.coalesce(project_type(F.trim(F.col(column))), F.lit(""))})
-    return out.drop("__t", "__n", "__loc", "__mile", "__coded", "__found", "__e", "__p")
+    return out.drop("__t", "__n", "__loc", "__mile", "__coded", "__e", "__p")
 
 
 def parse_with_fallback(df: DataFrame, description: str, title: str) -> DataFrame:

@@ -140,8 +140,9 @@ def nearest_name(left: DataFrame, right: DataFrame, block: list[str], left_name:
 
     Exact for the accepted distances without comparing all names of a block: two names that close
     have similar lengths and share combinations of their rarest characters (see ``match_keys``),
-    so the names meet on (block, both lengths, combination). A pair that shares several is kept
-    at the first one. Ties go to the alphabetically first name.
+    so the names meet on (block, both lengths, combination). Few pairs share several; the distance of
+    these is worked out again. Ties go to the alphabetically first name. From a distance of a third on, lengths and
+    characters say nothing, and all names of a block are compared.
     """
     share = 1.0 - 3.0 * max_distance
 
@@ -154,19 +155,26 @@ def nearest_name(left: DataFrame, right: DataFrame, block: list[str], left_name:
         names = names.repartition(tasks, *block, out)
         names = names.withColumns({own: F.length(out), "__ranked": ranked_characters(F.col(out))})
         names = names.withColumn("__tokens", numbered(F.col("__ranked"))).drop("__ranked")
-        partners = F.sequence(F.greatest(F.ceil(F.col(own) * share - 1e-9), F.lit(1)), F.floor(F.col(own) / share + 1e-9))
-        names = names.withColumn(other, F.explode(F.transform(partners, lambda n: n.cast("int"))))
-        need = shared_needed(F.col(own), F.col(other), max_distance)
-        names = names.withColumn("__take", F.least(need, F.lit(3)))
-        names = names.withColumn("__head", F.slice("__tokens", F.lit(1), F.col(own) - need + F.col("__take")))
-        keys = match_keys(F.col("__head"), F.col("__take"))
-        names = names.withColumn(f"{out}_keys", keys).drop("__tokens", "__head", "__take")
-        return names.withColumn("__key", F.explode(f"{out}_keys"))
-
-    a = listed(left, left_name, "__a", ("__la", "__lb"))
-    b = listed(right, right_name, "__b", ("__lb", "__la"))
-    pairs = a.join(b, [*block, "__la", "__lb", "__key"])
-    pairs = pairs.where(F.array_min(F.array_intersect("__a_keys", "__b_keys")) == F.col("__key"))
+
+        def partner(n: Column) -> Column:
+            need = shared_needed(F.col(own), n, max_distance)
+            take = F.least(need, F.lit(3))
+            return F.struct(n.cast("int").alias("other"), (F.col(own) - need + take).cast("int").alias("head"), take.alias("take"))
+
+        lengths_met = F.sequence(F.greatest(F.ceil(F.col(own) * share - 1e-9), F.lit(1)), F.floor(F.col(own) / share + 1e-9))
+        names = names.withColumn("__partners", F.transform(lengths_met, partner))
+        names = names.select(*block, out, own, "__partners", F.explode(match_keys(F.col("__tokens"), F.col("__partners"))).alias("__k"))
+        met = F.filter("__partners", lambda p: (p["take"] == F.col("__k.take")) & (p["head"] > F.col("__k.last")))
+        return names.select(*block, out, own, F.col("__k.key").alias("__key"), F.explode(F.transform(met, lambda p: p["other"])).alias(other))
+
+    if share > 1e-9:
+        a = listed(left, left_name, "__a", ("__la", "__lb"))
+        b = listed(right, right_name, "__b", ("__lb", "__la"))
+        pairs = a.join(b, [*block, "__la", "__lb", "__key"])
+    else:
+        a, b = (df.where(F.lower(F.col(n)) != "").select(*block, F.lower(F.col(n)).alias(o)).distinct() for df, n, o in (
+            (left, left_name, "__a"), (right, right_name, "__b")))
+        pairs = a.join(b, block)
     scored = pairs.select(*block, "__a", "__b",
                           jaro_distance(F.col("__a"), F.col("__b")).alias("match_dist"))
     best = scored.where(F.col("match_dist") <= max_distance + 1e-12).groupBy(*block, "__a").agg(

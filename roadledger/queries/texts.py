@@ -39,7 +39,8 @@ def titles(spark: SparkSession, sf: str) -> DataFrame:
                   F.concat(F.lit(" MP "), k, F.lit(".5 TO MP "), plus(4), F.lit(".25")), F.concat(F.lit(" AT SR "), k, F.lit(", DECK REPAIR")),
                   ", 2.5 MI N OF US 36, RESURFACING", ", MILL CREEK-PINE RIVER, PE", " STATEWIDE; SIGN UPGRADE", " NEAR SPRINGFIELD, LIGHTING",
                   F.concat(F.lit(", EXIT "), k, F.lit(" RAMP")), ""], F.col("o_orderkey") % 10)
-    o = read(spark, sf, "orders").withColumn("k", F.col("o_custkey") % 95 + 1)
+    # a title takes far longer to parse than to move, and the file may be one split
+    o = read(spark, sf, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("k", F.col("o_custkey") % 95 + 1)
     return o.select("o_orderkey", "o_custkey", "o_totalprice", F.year("o_orderdate").alias("yr"), "k", F.concat(route, place).alias("title"))
 
 
@@ -160,7 +161,8 @@ SELECT word, matched_name, round(dist, 8) AS match_dist FROM r WHERE rn = 1""")
 def nearest_name(spark: SparkSession, sf: str) -> DataFrame:
     def words(table: str, name: str) -> DataFrame:
         found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
-        return read(spark, sf, table).select(found.alias(name)).distinct().withColumn("pool", F.lit(1))
+        texts = read(spark, sf, table).select("text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return texts.select(found.alias(name)).distinct().withColumn("pool", F.lit(1))
 
     out = joins.nearest_name(words("benchmark", "word"), words("documents", "name"), ["pool"], "word", "name", 0.1)
     return out.select("word", "matched_name", F.round("match_dist", 8).alias("match_dist"))
