@@ -122,3 +122,23 @@ def test_no_record_is_used_twice(spark):
     b = spark.createDataFrame(right, "r int, k string, rn string, d int")
     fixed = joins.repair_keys(b, "r", "k", {1000: "z"}, drop=["d"])
     assert {r["r"]: r["k"] for r in fixed.collect()} == {i: "z" if i == 1000 else k for i, k, *_ in right if k != "d"}
+
+
+def test_nearest_names_at_any_distance(spark):
+    from roadledger.operators.names import jaro_batch
+    import pandas as pd
+    rng = random.Random(9)
+    def word(): return "".join(rng.choice("aabcde ") for _ in range(rng.randint(1, 9))).strip() or "x"  # noqa: E704
+    left, right = sorted({word() for _ in range(40)}), sorted({word() for _ in range(60)})
+    a = spark.createDataFrame([(i % 2, w) for i, w in enumerate(left)] + [(0, None), (0, "")], "b int, n string")
+    b = spark.createDataFrame([(i % 2, w) for i, w in enumerate(right)] + [(1, None)], "b int, m string")
+    for limit in (0.1, 0.3, 1 / 3, 0.34, 0.5):
+        want = set()
+        for i, x in enumerate(left):
+            pool = [w for j, w in enumerate(right) if j % 2 == i % 2]
+            far = 1.0 - jaro_batch(pd.Series([x] * len(pool)), pd.Series(pool))
+            best = min(zip(far, pool))
+            if best[0] <= limit + 1e-12:
+                want.add((i % 2, x, best[1], round(best[0], 9)))
+        got = joins.nearest_name(a, b, ["b"], "n", "m", limit).collect()
+        assert {(r["b"], r["n"], r["matched_name"], round(r["match_dist"], 9)) for r in got} == want, limit
