@@ -72,13 +72,13 @@ def append_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 400000),
+WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT 2 * o_custkey AS k FROM orders),
 s AS (SELECT k FROM a INTERSECT SELECT k FROM b)
 SELECT 'shared' AS side, k FROM s UNION ALL SELECT 'left', k FROM a WHERE k NOT IN (FROM s) UNION ALL SELECT 'right', k FROM b WHERE k NOT IN (FROM s)""")
 def set_overlap(spark: SparkSession, sf: str) -> DataFrame:
     o = read(spark, sf, "orders")
-    a = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).distinct()
-    b = o.where("o_totalprice > 400000").select(F.col("o_custkey").alias("k")).distinct()
+    a = o.select(F.col("o_custkey").alias("k")).distinct()
+    b = o.select((2 * F.col("o_custkey")).alias("k")).distinct()
     left, right = reshape.drop_shared(a, b, "k")
     tagged = [(reshape.both_sides(a, b, "k"), "shared"), (left, "left"), (right, "right")]
     frames = [df.select(F.lit(t).alias("side"), "k") for df, t in tagged]

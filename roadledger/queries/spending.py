@@ -54,30 +54,30 @@ def deflated_spend_by_year(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH big AS (SELECT o_custkey AS c_custkey, count(*) AS n_big FROM orders WHERE o_totalprice > 300000 GROUP BY 1),
-rich AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0)
+WITH big AS (SELECT o_custkey + 100 AS c_custkey, count(*) AS n_big FROM orders GROUP BY 1),
+rich AS (SELECT c_custkey, c_acctbal FROM customer)
 SELECT coalesce(rich.c_custkey, big.c_custkey) AS c_custkey, c_acctbal, n_big,
   CAST(CASE WHEN rich.c_custkey IS NULL THEN 2 WHEN big.c_custkey IS NULL THEN 1 ELSE 3 END AS INTEGER) AS merge_code
 FROM rich FULL OUTER JOIN big ON rich.c_custkey = big.c_custkey""")
 def merge_code_full_outer(spark: SparkSession, sf: str) -> DataFrame:
-    rich = read(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_acctbal")
-    big = read(spark, sf, "orders").where("o_totalprice > 300000").groupBy(
-        F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_big"))
+    rich = read(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    # whole tables on moved keys, so that both sides have rows of their own
+    big = read(spark, sf, "orders").groupBy((F.col("o_custkey") + 100).alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_big"))
     return joins.merge_code(rich, big, ["c_custkey"])
 
 
-@query("""SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey
-  AND l_returnflag = 'R')""")
+@query("""SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem
+  WHERE l_orderkey + l_linenumber = o_orderkey)""")
 def unmatched_left(spark: SparkSession, sf: str) -> DataFrame:
-    lines = read(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    lines = read(spark, sf, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber")).alias("o_orderkey"))
     return joins.unmatched(read(spark, sf, "orders"), lines, ["o_orderkey"]).select("o_orderkey", "o_custkey")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS
-  (SELECT 1 FROM orders WHERE l_orderkey = o_orderkey AND o_totalprice > 250000)""")
+  (SELECT 1 FROM orders WHERE l_orderkey = o_orderkey + o_custkey % 3)""")
 def unmatched_right(spark: SparkSession, sf: str) -> DataFrame:
-    big = read(spark, sf, "orders").where("o_totalprice > 250000").select(F.col("o_orderkey").alias("l_orderkey"))
-    return joins.unmatched(read(spark, sf, "lineitem"), big, ["l_orderkey"]).select(
+    moved = read(spark, sf, "orders").select((F.col("o_orderkey") + F.col("o_custkey") % 3).alias("l_orderkey"))
+    return joins.unmatched(read(spark, sf, "lineitem"), moved, ["l_orderkey"]).select(
         "l_orderkey", "l_linenumber", "l_partkey")
 
 
@@ -185,11 +185,11 @@ def uniqueness_census(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT open_year, round(sum(CASE WHEN m THEN o_totalprice ELSE 0 END), 2) AS matched,
   round(sum(CASE WHEN m THEN 0 ELSE o_totalprice END), 2) AS unmatched,
   round(sum(CASE WHEN m THEN o_totalprice ELSE 0 END) / sum(o_totalprice), 8) AS share_matched
-FROM (SELECT *, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS m FROM openings)
+FROM (SELECT *, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey + l_linenumber = o_orderkey) AS m FROM openings)
 GROUP BY 1""")
 def match_success(spark: SparkSession, sf: str) -> DataFrame:
     from roadledger.operators.panels import match_success as run
-    hit = read(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    hit = read(spark, sf, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber")).alias("o_orderkey"))
     out = run(openings(spark, sf), hit, ["o_orderkey"], "open_year", "o_totalprice")
     return rnd(out, matched=2, unmatched=2, share_matched=8)
 
@@ -209,10 +209,10 @@ def lookup_matched(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(out.groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"), F.sum("c_acctbal").alias("balance")), balance=2)
 
 
-@query("""SELECT p_partkey, coalesce(n, 0) AS n_lines, c.qty AS qty FROM part LEFT JOIN (SELECT l_partkey, count(*) n,
-  sum(l_quantity) qty FROM lineitem WHERE l_tax = 0 GROUP BY 1) c ON p_partkey = l_partkey""")
+@query("""SELECT p_partkey, coalesce(n, 0) AS n_lines, c.qty AS qty FROM part LEFT JOIN (SELECT 2 * l_partkey AS l_partkey, count(*) n,
+  sum(l_quantity) qty FROM lineitem GROUP BY 1) c ON p_partkey = l_partkey""")
 def lookup_keep_all(spark: SparkSession, sf: str) -> DataFrame:
-    dim = read(spark, sf, "lineitem").where("l_tax = 0").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+    dim = read(spark, sf, "lineitem").groupBy((2 * F.col("l_partkey")).alias("p_partkey")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty"))
     out = joins.lookup(read(spark, sf, "part"), dim, ["p_partkey"], keep_unmatched=True)
     return out.select("p_partkey", F.coalesce("n", F.lit(0)).alias("n_lines"), "qty")
