@@ -292,7 +292,7 @@ def _word_cache(path: str, end: int) -> ChunkCache:
     tokenizer = Tokenizer.from_file(path)
     # an empty chunk stands for the end
     return ChunkCache(lambda chunks: [e.ids if c else [end] for c, e in zip(
-        chunks, tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False))])
+        chunks, tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False))])
 
 
 def word_encoder(path: str, end: int) -> Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]]:
