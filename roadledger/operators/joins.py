@@ -71,14 +71,17 @@ def window_match(openings: DataFrame, records: DataFrame, keys: list[str], open_
                  record_year: str, before: int, after: int, gap: str = "yr_gap") -> DataFrame:
     """Pairs within a key whose record year lies in [open - before, open + after].
 
-    The window is turned into an equality: each opening is listed once per year of its window
-    (before + after + 1 copies), so only real matches leave the join and the year spreads a hot
-    key over many tasks.
+    The window is turned into an equality on spans of as many years as it has: it touches two spans at
+    most, so an opening is listed twice at most, however wide its window. The listed side is never broadcast:
+    the planner measures it before it is listed.
     """
-    years = F.sequence(F.col(open_year) - before, F.col(open_year) + after)
-    listed = openings.withColumn("__year", F.explode(years))
-    pairs = listed.join(records.withColumn("__year", F.col(record_year)), [*keys, "__year"])
-    return pairs.withColumn(gap, F.col(record_year) - F.col(open_year)).drop("__year")
+    width = before + after + 1
+    span = lambda year: F.floor(year / width)
+    first, last = span(F.col(open_year) - before), span(F.col(open_year) + after)
+    listed = openings.withColumn("__span", F.explode(F.sequence(first, last))).hint("merge")
+    pairs = listed.join(records.withColumn("__span", span(F.col(record_year))).hint("merge"), [*keys, "__span"])
+    gap_years = F.col(record_year) - F.col(open_year)
+    return pairs.where(gap_years.between(-before, after)).withColumn(gap, gap_years).drop("__span")
 
 
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

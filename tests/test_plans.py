@@ -24,3 +24,15 @@ def test_orders_are_cut_on_the_route_that_the_spot_belongs_to(spark, tmp_path):
     spark.createDataFrame([(4, 300)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r["route"]: (r["cut_from"], r["cut_to"]) for r in REGISTRY["crop_by_route"].run(spark, str(tmp_path)).collect()}
     assert got == {0: (10.0, 55.0), 150: (20.0, 110.0)}
+
+
+def test_wide_windows_list_an_opening_twice_at_most_and_are_not_broadcast(spark, tmp_path):
+    opened = spark.createDataFrame([(1, y) for y in range(-3, 4)] + [(None, 0), (2, None)], "k int, open int")
+    records = spark.createDataFrame([(1, y) for y in range(-9, 10)] + [(None, 0), (2, None)], "k int, yr int")
+    opened.write.parquet(f"{tmp_path}/opened")
+    opened = spark.read.parquet(f"{tmp_path}/opened")
+    for before, after in ((0, 2), (9, 7), (3, 0)):
+        out = joins.window_match(opened, records, ["k"], "open", "yr", before, after)
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["open"], r["yr"], r["yr_gap"]) for r in out.collect())
+        assert got == sorted((o, y, y - o) for o in range(-3, 4) for y in range(-9, 10) if o - before <= y <= o + after)
