@@ -276,7 +276,9 @@ def within_distance(points: DataFrame, others: DataFrame, limit: float, x: str =
 
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
                        for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = cells(points).withColumn("__d", F.explode(around))
+    # points are small but each meets all others around it: a table of one split must not be one task
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = cells(points.repartition(tasks)).withColumn("__d", F.explode(around))
     a = a.withColumns({"__cx": F.col("__cx") + F.col("__d.i"), "__cy": F.col("__cy") + F.col("__d.j")})
     a = a.drop("__d").withColumnsRenamed({x: "__px", y: "__py"})
     b = cells(others)

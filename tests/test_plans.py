@@ -36,3 +36,11 @@ def test_wide_windows_list_an_opening_twice_at_most_and_are_not_broadcast(spark,
         assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
         got = sorted((r["open"], r["yr"], r["yr_gap"]) for r in out.collect())
         assert got == sorted((o, y, y - o) for o in range(-3, 4) for y in range(-9, 10) if o - before <= y <= o + after)
+
+
+def test_points_of_one_split_are_dealt_out_before_they_meet(spark):
+    points = spark.createDataFrame([(i, float(i), 0.0) for i in range(20)], "p int, x double, y double").coalesce(1)
+    others = spark.createDataFrame([(i, float(i), 1.0) for i in range(20)], "o int, x double, y double").coalesce(1)
+    out = joins.within_distance(points, others, 1.5)
+    assert "Repartition 4, true" in plan(out)
+    assert sorted((r["p"], r["o"]) for r in out.collect()) == [(i, j) for i in range(20) for j in range(20) if abs(i - j) <= 1]
