@@ -124,22 +124,26 @@ def ring_areas(vertices: DataFrame, keys: list[str], ring: str = "part", seq: st
     return v.groupBy(*keys).agg(F.abs(F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y")) / 2).alias("area_m2"))
 
 
-def _within(limit: float) -> Column:
-    """Part (from, to) of the segment x1..y2 that lies within ``limit`` of the segment o_x1..o_y2, as fractions; NULL for none.
+def _with_within(df: DataFrame, limit: float) -> DataFrame:
+    """Adds ``w``: the part (from, to) of the segment x1..y2 that lies within ``limit`` of the segment o_x1..o_y2, as fractions; NULL for none.
 
-    The spots within a distance of a segment are a convex shape: two discs and the strip between them.
+    The spots within a distance of a segment are a convex shape: two discs and the strip between them. Every step
+    is a column of its own, because each is used several times by the next.
     """
-    ax, ay = F.col("x1") - F.col("o_x1"), F.col("y1") - F.col("o_y1")
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    ux, uy = F.col("o_x2") - F.col("o_x1"), F.col("o_y2") - F.col("o_y1")
-    length = F.sqrt(ux * ux + uy * uy)
-    ux, uy = ux / length, uy / length
-    own = dx * dx + dy * dy
-
-    def disc(px: Column, py: Column) -> Column:
-        b, c = px * dx + py * dy, px * px + py * py - limit * limit
-        root = F.sqrt(F.greatest(b * b - own * c, F.lit(0.0)))
-        return F.when(b * b - own * c >= 0, F.struct(((-b - root) / own).alias("a"), ((-b + root) / own).alias("b")))
+    own_columns = df.columns
+    df = df.withColumns({"__ax": F.col("x1") - F.col("o_x1"), "__ay": F.col("y1") - F.col("o_y1"), "__dx": F.col("x2") - F.col("x1"),
+                         "__dy": F.col("y2") - F.col("y1"), "__vx": F.col("o_x2") - F.col("o_x1"), "__vy": F.col("o_y2") - F.col("o_y1")})
+    df = df.withColumn("__length", F.sqrt(F.col("__vx") * F.col("__vx") + F.col("__vy") * F.col("__vy")))
+    df = df.withColumns({"__ux": F.col("__vx") / F.col("__length"), "__uy": F.col("__vy") / F.col("__length"),
+                         "__own": F.col("__dx") * F.col("__dx") + F.col("__dy") * F.col("__dy")})
+    ax, ay, dx, dy, ux, uy, length, own = (F.col(f"__{c}") for c in ("ax", "ay", "dx", "dy", "ux", "uy", "length", "own"))
+    for n, (px, py) in enumerate([(ax, ay), (ax - ux * length, ay - uy * length)]):
+        df = df.withColumns({f"__b{n}": px * dx + py * dy, f"__c{n}": px * px + py * py - limit * limit})
+    df = df.withColumns({f"__root{n}": F.col(f"__b{n}") * F.col(f"__b{n}") - own * F.col(f"__c{n}") for n in (0, 1)})
+
+    def disc(n: int) -> Column:
+        root = F.sqrt(F.greatest(F.col(f"__root{n}"), F.lit(0.0)))
+        return F.when(F.col(f"__root{n}") >= 0, F.struct(((-F.col(f"__b{n}") - root) / own).alias("a"), ((-F.col(f"__b{n}") + root) / own).alias("b")))
 
     def slab(at: Column, step: Column, low: Column, high: Column) -> Column:
         """Fractions at which at + t * step lies between two borders."""
@@ -147,14 +151,17 @@ def _within(limit: float) -> Column:
         still = F.when(at.between(low, high), F.struct(F.lit(float("-inf")).alias("a"), F.lit(float("inf")).alias("b")))
         return F.when(step != 0, F.struct(F.least(t1, t2).alias("a"), F.greatest(t1, t2).alias("b"))).otherwise(still)
 
-    along = slab(ax * ux + ay * uy, dx * ux + dy * uy, F.lit(0.0), length)
-    across = slab(ay * ux - ax * uy, dy * ux - dx * uy, F.lit(-limit), F.lit(limit))
-    strip = F.struct(F.greatest(along["a"], across["a"]).alias("a"), F.least(along["b"], across["b"]).alias("b"))
-    shapes = [disc(ax, ay), disc(ax - ux * length, ay - uy * length), F.when(along.isNotNull() & across.isNotNull() & (strip["a"] <= strip["b"]), strip)]
-    found = F.filter(F.array(*shapes), lambda s: s.isNotNull())
-    low = F.greatest(F.array_min(F.transform(found, lambda s: s["a"])), F.lit(0.0))
-    high = F.least(F.array_max(F.transform(found, lambda s: s["b"])), F.lit(1.0))
-    return F.when((F.size(found) > 0) & (low < high), F.struct(low.alias("a"), high.alias("b")))
+    df = df.withColumns({"__at1": ax * ux + ay * uy, "__step1": dx * ux + dy * uy, "__at2": ay * ux - ax * uy, "__step2": dy * ux - dx * uy})
+    df = df.withColumns({"__along": slab(F.col("__at1"), F.col("__step1"), F.lit(0.0), length),
+                         "__across": slab(F.col("__at2"), F.col("__step2"), F.lit(-limit), F.lit(limit)), "__disc0": disc(0), "__disc1": disc(1)})
+    along, across = F.col("__along"), F.col("__across")
+    df = df.withColumn("__strip", F.struct(F.greatest(along["a"], across["a"]).alias("a"), F.least(along["b"], across["b"]).alias("b")))
+    strip = F.when(along.isNotNull() & across.isNotNull() & (F.col("__strip.a") <= F.col("__strip.b")), F.col("__strip"))
+    df = df.withColumn("__found", F.filter(F.array("__disc0", "__disc1", strip), lambda s: s.isNotNull()))
+    df = df.withColumns({"__low": F.greatest(F.array_min(F.transform("__found", lambda s: s["a"])), F.lit(0.0)),
+                         "__high": F.least(F.array_max(F.transform("__found", lambda s: s["b"])), F.lit(1.0))})
+    w = F.when((F.size("__found") > 0) & (F.col("__low") < F.col("__high")), F.struct(F.col("__low").alias("a"), F.col("__high").alias("b")))
+    return df.select(*own_columns, w.alias("w"))
 
 
 def border_within(edges: DataFrame, area: str, pairs: DataFrame, limit: float, width: float | None = None) -> DataFrame:
@@ -169,7 +176,8 @@ def border_within(edges: DataFrame, area: str, pairs: DataFrame, limit: float, w
     theirs = pairs.join(edges.select(F.col(area).alias(other), *box), other).withColumn("__cell", F.explode(cells_along(width, limit)))
     mine = pairs.join(edges.select(area, *box), area).withColumn("__cell", F.explode(cells_along(width, limit)))
     mine = mine.select(*ids, "__cell", *[F.col(c).alias(f"o_{c}") for c in box])
-    met = theirs.join(mine, [*ids, "__cell"]).withColumn("w", _within(limit)).where("w IS NOT NULL")
+    # no filter on w: it would be rewritten onto the coordinates; the sets leave NULL out
+    met = _with_within(theirs.join(mine, [*ids, "__cell"]), limit)
     spans = met.groupBy(*ids, *box).agg(F.array_sort(F.collect_set("w")).alias("w"))
     start = F.array().cast("array<struct<a:double,b:double>>")
 

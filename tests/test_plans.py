@@ -44,3 +44,11 @@ def test_points_of_one_split_are_dealt_out_before_they_meet(spark):
     out = joins.within_distance(points, others, 1.5)
     assert "Repartition 4, true" in plan(out)
     assert sorted((r["p"], r["o"]) for r in out.collect()) == [(i, j) for i in range(20) for j in range(20) if abs(i - j) <= 1]
+
+
+def test_border_steps_are_written_out_once(spark):
+    square = [(a, a + x1, y1, a + x2, y2) for a in (0, 1) for x1, y1, x2, y2 in ((0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0))]
+    edges = spark.createDataFrame([(a, *map(float, r)) for a, *r in square], "area int, x1 double, y1 double, x2 double, y2 double")
+    near = pl.border_within(edges, "area", spark.createDataFrame([(0, 1)], "area int, area_other int"), 0.1, width=0.75)
+    assert plan(near).count("SQRT(") < 10
+    assert near.select(F.round(F.sum(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1"))), 6)).first()[0] == 1.2
