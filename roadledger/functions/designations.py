@@ -102,10 +102,14 @@ def paired_boundary(feature: Column, state: Column, county: Column) -> Column:
     return F.when(feature.rlike(BOUNDARY_WORDS) & feature.rlike(HYPHENATED), F.get(ranked, 0)["name"])
 
 
-def rewritten(name: Column, anchor: Column, rules: list[NameRule] = NAME_RULES) -> Column:
-    """The name after the edits of the first rule that fits its anchor and text."""
+def rule_number(name: Column, anchor: Column, rules: list[NameRule] = NAME_RULES) -> Column:
+    """Place of the first rule that fits a name's anchor and text, NULL for none."""
     fits = [name.rlike(r.when) & (anchor.isin(*r.anchors) if r.anchors else F.lit(True)) for r in rules]
-    number = F.coalesce(*[F.when(f, F.lit(i)) for i, f in enumerate(fits)])
+    return F.coalesce(*[F.when(f, F.lit(i)) for i, f in enumerate(fits)])
+
+
+def rewritten(name: Column, number: Column, rules: list[NameRule] = NAME_RULES) -> Column:
+    """The name after the edits of the rule of that number."""
     edited = [reduce(lambda text, edit: F.regexp_replace(text, *edit), r.edits, name) for r in rules]
     return reduce(lambda out, i: F.when(number == i, squish(edited[i])).otherwise(out), range(len(rules)), name)
 
@@ -118,13 +122,17 @@ def abbreviate(name: Column) -> Column:
 def normalise_reference(df: DataFrame, feature: str, anchor: str, direction: str, state: str,
                         county: str) -> DataFrame:
     """Direction named in the feature, and the feature text in the network's style."""
-    name, kind = squish(F.col(feature)), F.col(anchor)
-    own_county = without_first(F.regexp_replace(F.col(county), r"(?i)\s+County", " County"), F.lit(" County"))
-    on_line = kind.isin(*DIRECTIONAL_ANCHORS)
-    far_side = F.when(on_line, paired_boundary(name, F.col(state), own_county))
+    # every step is a column of its own: written into one another, the early ones would be worked out hundreds of times a row
+    kind, name, text = F.col(anchor), F.col("__name"), F.col("__text")
+    d = df.withColumns({"__name": squish(F.col(feature)),
+                        "__county": without_first(F.regexp_replace(F.col(county), r"(?i)\s+County", " County"), F.lit(" County"))})
     # the own county only goes from names of county lines
     own_line = (kind == "county_line") & name.rlike(NAME_RULES[0].when)
-    text = rewritten(F.when(own_line, without_first(name, F.coalesce(own_county, F.lit("")))).otherwise(name), kind)
+    d = d.withColumn("__text", F.when(own_line, without_first(name, F.coalesce("__county", F.lit("")))).otherwise(name))
+    on_line = kind.isin(*DIRECTIONAL_ANCHORS)
+    far_side = F.when(on_line, paired_boundary(name, F.col(state), F.col("__county")))
+    d = d.withColumn("__rule", rule_number(text, kind))
+    d = d.withColumn("__text", F.coalesce(far_side, rewritten(text, F.col("__rule"))))
     named = F.nullif(F.lower(F.regexp_extract(name, DIRECTION, 1)), F.lit(""))
-    return df.withColumns({"extracted_direction": F.when(on_line, F.coalesce(named, F.col(direction))),
-                           "feature_clean": abbreviate(F.coalesce(far_side, text))})
+    d = d.withColumns({"extracted_direction": F.when(on_line, F.coalesce(named, F.col(direction))), "feature_clean": abbreviate(text)})
+    return d.drop("__name", "__county", "__rule", "__text")

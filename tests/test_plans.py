@@ -52,3 +52,11 @@ def test_border_steps_are_written_out_once(spark):
     near = pl.border_within(edges, "area", spark.createDataFrame([(0, 1)], "area int, area_other int"), 0.1, width=0.75)
     assert plan(near).count("SQRT(") < 10
     assert near.select(F.round(F.sum(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1"))), 6)).first()[0] == 1.2
+
+
+def test_reference_names_are_squished_once(spark):
+    df = spark.createDataFrame([("A - B  County Line", "county_line", "north", "Ohio", "A County")], "f string, a string, d string, s string, c string")
+    out = designations.normalise_reference(df.withColumn("f", F.concat("f", F.lit(""))), "f", "a", "d", "s", "c")
+    assert df.columns + ["extracted_direction", "feature_clean"] == out.columns
+    assert plan(out).count("regexp_replace(") < 100
+    assert out.select("feature_clean", "extracted_direction").first() == ("B", "north")
