@@ -321,16 +321,18 @@ def endpoint_ranges(parts: DataFrame, endpoints: DataFrame, project: str, part:
 
 def crop_routes(parts: DataFrame, endpoints: DataFrame, project: str, part: str,
                 max_metres: float = 25_000.0, rule: str = "inner", touch: float = 1e-6,
-                lines: DataFrame | None = None, width: float = 1000.0, routes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                lines: DataFrame | None = None, width: float = 1000.0, routes: DataFrame | None = None,
+                ranges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Crop every part of a project's route between its two endpoints.
 
     ``parts`` are segments keyed by (project, part), or by (route, part) with ``routes``; ``endpoints``,
     ``lines`` and ``routes`` are as in ``endpoint_ranges``. Parts farther than ``max_metres`` from either endpoint are left out.
+    A caller that reads the result of ``endpoint_ranges`` as well stores it and passes it on as ``ranges``.
     Returns one row per kept part (fractions, distances, sources) and the cropped vertices.
     """
     shared = routes is not None
     keys = [next(c for c in routes.columns if c != project), part] if shared else [project, part]
-    both = endpoint_ranges(parts, endpoints, project, part, touch, lines, width, routes)
+    both = endpoint_ranges(parts, endpoints, project, part, touch, lines, width, routes) if ranges is None else ranges
     both = both.where(F.greatest("dist_a", "dist_b") <= max_metres)
     swap = F.col("lo_a") + F.col("hi_a") > F.col("lo_b") + F.col("hi_b")
     first = {c: F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")) for c in ("lo", "hi")}

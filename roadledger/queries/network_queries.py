@@ -10,6 +10,7 @@ from roadledger.operators import linear as ln
 from roadledger.operators import network as nw
 from roadledger.operators import places as pl
 from roadledger.queries.base import query, read, rnd
+from roadledger.session import cut_lineage
 
 _PATH = """v AS (SELECT user_id, event_id AS seq, floor(epoch(ts) / 60) - 28401120 AS x, round(value * 10, 3) AS y, event_type FROM events),
 g AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, row_number() OVER w - 1 AS seg_no FROM v WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
@@ -265,8 +266,8 @@ def crop_routes(spark: SparkSession, sf: str) -> DataFrame:
     v = path(spark, sf)
     ends = v.where(F.col("event_type").isin("signup", "purchase")).select(
         "user_id", F.when(F.col("event_type") == "signup", "a").otherwise("b").alias("endpoint"), F.col("seq").alias("vid"), "x", "y")
-    cropped, _ = ln.crop_routes(s, ends, "user_id", "part", rule="mid")
-    ranges = ln.endpoint_ranges(s, ends, "user_id", "part")
+    ranges = cut_lineage(ln.endpoint_ranges(s, ends, "user_id", "part"))
+    cropped, _ = ln.crop_routes(s, ends, "user_id", "part", rule="mid", ranges=ranges)
     return ln.crop_summary(cropped, s, "user_id", "part", ranges).drop("crop_from", "crop_to")
 
 
@@ -295,6 +296,6 @@ def crop_between_shapes(spark: SparkSession, sf: str) -> DataFrame:
     ends = s.select("s_suppkey", F.lit("a").alias("endpoint"), F.posexplode(shape((a, -50), (a, 50))).alias("vid", "p")).unionByName(
         s.select("s_suppkey", F.lit("b").alias("endpoint"), F.posexplode(other).alias("vid", "p"))).select("s_suppkey", "endpoint", "vid", "p.*")
     lines = ln.segments(ends, ["s_suppkey", "endpoint"], "vid")
-    cropped, _ = ln.crop_routes(parts, ends, "s_suppkey", "part", lines=lines)
-    ranges = ln.endpoint_ranges(parts, ends, "s_suppkey", "part", lines=lines)
+    ranges = cut_lineage(ln.endpoint_ranges(parts, ends, "s_suppkey", "part", lines=lines))
+    cropped, _ = ln.crop_routes(parts, ends, "s_suppkey", "part", lines=lines, ranges=ranges)
     return rnd(ln.crop_summary(cropped, parts, "s_suppkey", "part", ranges), len_crop_m=6, part_dist_m=6, len_corr_m=6, crop_from=9, crop_to=9)

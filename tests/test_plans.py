@@ -67,3 +67,13 @@ def test_kept_documents_are_not_judged_by_a_pushed_filter(spark):
     out = quality.quality_filter(docs, docs.select("doc_id"), buckets=16, prior=2.0)
     assert plan(out).count("xxhash64(") < 20
     assert [r["doc_id"] for r in out.collect()] == [1]
+
+
+def test_crops_of_stored_ranges_do_not_locate_the_ends_again(spark):
+    v = spark.createDataFrame([(u, 0, i, 10.0 * i, 0.0) for u in (1, 2) for i in range(4)], "u int, part int, seq int, x double, y double")
+    parts = ln.segments(v, ["u", "part"])
+    ends = spark.createDataFrame([(u, e, 0, x, 1.0) for u in (1, 2) for e, x in (("a", 3.0), ("b", 24.0))], "u int, endpoint string, vid int, x double, y double")
+    ranges = cut_lineage(ln.endpoint_ranges(parts, ends, "u", "part"))
+    (own, _), (again, _) = ln.crop_routes(parts, ends, "u", "part", ranges=ranges), ln.crop_routes(parts, ends, "u", "part")
+    assert "Join" not in plan(own) and "Join" in plan(again)
+    assert rows(own) == rows(again.select(*own.columns))
