@@ -13,6 +13,9 @@ from roadledger.operators.names import (jaro_distance, match_keys, numbered, ran
 from roadledger.operators.ordered import join_back, ordered
 from roadledger.session import cut_lineage
 
+#: A key of more rows is scanned in the parts that the caller names.
+FEW_ROWS = 100_000
+
 
 def lookup(df: DataFrame, dim: DataFrame, keys: list[str], keep_unmatched: bool = False) -> DataFrame:
     """Many-to-one join to a table that is unique on the keys.
@@ -47,10 +50,14 @@ def positional_merge(left: DataFrame, right: DataFrame, keys: list[str], left_or
     count = F.count(F.lit(1)).alias("__n")
     l_n = left.groupBy(*keys).agg(count.alias("__ln"))
     r_n = right.groupBy(*keys).agg(count.alias("__rn"))
-    a = join_back(ordered(left, keys, left_order, rank="__i", split=left_split), l_n, keys)
-    a = join_back(a, r_n, keys)
-    b = join_back(ordered(right, keys, right_order, rank="__j", split=right_split), l_n, keys)
-    b = join_back(b, r_n, keys)
+
+    def placed(df: DataFrame, order: list[str], n: str, rank: str, split: Column | None) -> DataFrame:
+        # a key of few rows is one part: parts of a row each would send a carrier along with every row
+        counted = join_back(join_back(df, l_n, keys), r_n, keys)
+        return ordered(counted, keys, order, rank=rank, split=None if split is None else F.when(F.col(n) > FEW_ROWS, split))
+
+    a = placed(left, left_order, "__ln", "__i", left_split)
+    b = placed(right, right_order, "__rn", "__j", right_split)
     # the repeated last row of the shorter side becomes one row per missing position
     a = a.withColumn("__i", F.explode(F.when(
         (F.col("__i") == F.col("__ln")) & (F.col("__rn") > F.col("__ln")),

@@ -77,3 +77,17 @@ def test_crops_of_stored_ranges_do_not_locate_the_ends_again(spark):
     (own, _), (again, _) = ln.crop_routes(parts, ends, "u", "part", ranges=ranges), ln.crop_routes(parts, ends, "u", "part")
     assert "Join" not in plan(own) and "Join" in plan(again)
     assert rows(own) == rows(again.select(*own.columns))
+
+
+def test_only_keys_of_many_rows_are_scanned_in_parts(spark, monkeypatch):
+    left = spark.createDataFrame([(k, x) for k, n in ((1, 9), (2, 2), (None, 4)) for x in range(n)], "k int, x int")
+    right = spark.createDataFrame([(k, y) for k, n in ((1, 3), (2, 7), (None, 6), (3, 1)) for y in range(n)], "k int, y int")
+
+    def merged():
+        return joins.positional_merge(left, right, ["k"], ["x"], ["y"], F.floor(F.col("x") / 2), F.floor(F.col("y") / 2))
+
+    assert f"> {joins.FEW_ROWS}" in plan(merged())
+    whole = rows(merged(), "k", "x", "y", "merge_code")
+    monkeypatch.setattr(joins, "FEW_ROWS", 3)
+    assert rows(merged(), "k", "x", "y", "merge_code") == whole
+    assert [r for r in whole if r[0] == 1] == [(1, x, min(x, 2), 3) for x in range(9)] and len(whole) == 9 + 7 + 6 + 1
