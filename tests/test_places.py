@@ -142,3 +142,18 @@ def test_nearest_names_at_any_distance(spark):
                 want.add((i % 2, x, best[1], round(best[0], 9)))
         got = joins.nearest_name(a, b, ["b"], "n", "m", limit).collect()
         assert {(r["b"], r["n"], r["matched_name"], round(r["match_dist"], 9)) for r in got} == want, limit
+
+
+def test_match_once_stores_no_pairs(spark, monkeypatch):
+    stored = []
+    keep = joins.cut_lineage
+    monkeypatch.setattr(joins, "cut_lineage", lambda df: stored.append((out := keep(df)).count()) or out)
+    a = spark.range(400).selectExpr("id AS l", "IF(id < 300, 'Elm', 'Straße') AS ln", "'x' AS k", "DATE'2020-01-01' AS d1")
+    b = spark.range(100).selectExpr("id AS r", "IF(id < 90, 'elm', 'strasse') AS rn", "'x' AS k", "DATE'2020-01-03' AS d2")
+    for left, right in ((a, b), (a.where("l % 40 = 0"), b)):
+        got = joins.external_match(left, right, "k", "l", "r", "ln", "rn", "d1", "d2").where("merge_code = 3")
+        ls = sorted(r["l"] for r in left.collect())
+        # equal names first, and among equal costs the smaller ids
+        want = list(zip([x for x in ls if x < 300], range(90))) + list(zip([x for x in ls if x >= 300], range(90, 100)))
+        assert sorted((r["l"], r["r"], r["date_gap"], r["name_distance"]) for r in got.collect()) == [(x, y, -2, 0.0) for x, y in sorted(want)]
+    assert max(stored) <= 16_000  # of 40,000 pairs; a list that is used up is followed by a longer one
