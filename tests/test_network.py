@@ -103,6 +103,17 @@ def test_stitch_takes_shortest_bridges_once(spark):
     assert got == [("r", 11), ("r", 14), ("r", 15)]
 
 
+def test_stitch_looks_at_joined_fill_only(spark, monkeypatch):
+    near, find = [], nw.edges_near_points
+    monkeypatch.setattr(nw, "edges_near_points", lambda *a: near.append((out := find(*a)).count()) or out)
+    matched, _ = _edges(spark, [("r", 1, (0, 0), (100, 0)), ("r", 2, (150, 0), (300, 0))])
+    loose = [("", 100 + i, (i, 40 + i), (i + 50, 41 + i)) for i in range(60)]
+    fill, segs = _edges(spark, [("", 11, (100, 0), (120, 5)), ("", 12, (120, 5), (150, 0)), ("", 13, (120, 5), (130, 30)), ("", 14, (300, 0), (900, 0)), *loose])
+    got = rows(nw.stitch(matched, fill, segs, "k", snap=1.0, ratio=1.5, max_metres=200.0, buffer=200.0))
+    assert got == [("r", 11), ("r", 12)]
+    assert near == [3]  # neither the 60 edges joined to nothing nor the one longer than any path
+
+
 def test_crop_inner_rule(spark):
     parts = ln.segments(line(spark, [(0, 0), (1000, 0)], "p"), ["k"]).withColumn("part", F.lit(0))
     ends = spark.createDataFrame([("p", "a", 1, 200.0, 0.0), ("p", "a", 2, 300.0, 0.0), ("p", "b", 3, 800.0, 50.0)], "k string, endpoint string, vid int, x double, y double")
