@@ -124,6 +124,23 @@ def _any(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def _by_letters(words: list[str]) -> str:
+    """One alternative per leading letter, and so on letter by letter: the same words as joining them by ``|``.
+
+    The alternatives are no longer tried in their order, so it suits patterns of which only start and end of the match count.
+    """
+    groups: dict[str, list[str]] = {}
+    for w in dict.fromkeys(words):
+        plain = w[:1].isalpha() and w[1:2] not in ("?", "*", "+", "{")
+        groups.setdefault(w[0] if plain else "", []).append(w[1:] if plain else w)
+    return "(?:" + "|".join("|".join(rest) if not letter else letter + (rest[0] if len(rest) == 1 else _by_letters(rest))
+                            for letter, rest in groups.items()) + ")"
+
+
+#: Work words at the end of a text, as WORK_WORDS has them. A search tries them at each letter of the text.
+WORK_END = rf"(?i)\s*[,;]?\s*{_by_letters(WORK_WORDS[3:-1].split('|'))}\s*$"
+
+
 def _grab(text: Column, pattern: str, group: int = 1) -> Column:
     """Group of the first match, NULL when there is none or it is empty."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
@@ -143,9 +160,10 @@ def clean_endpoint(text: Column) -> Column:
     """Endpoint without trailing work words and punctuation; a bare direction becomes NULL."""
     out = text
     for _ in range(3):
-        out = F.regexp_replace(out, rf"(?i)\s*[,;]?\s*{WORK_WORDS}\s*$", "")
+        out = F.regexp_replace(out, WORK_END, "")
         out = F.regexp_replace(F.trim(out), r"[.,;:\- ]+$", "")
-    return F.nullif(F.regexp_replace(out, r"^[NSEW]\.?$", ""), F.lit(""))
+    # inside a lambda nullif would work out all of the above twice
+    return F.try_element_at(F.filter(F.array(F.regexp_replace(out, r"^[NSEW]\.?$", "")), lambda x: x != ""), F.lit(1))
 
 
 def strip_route(text: Column) -> Column:
@@ -203,6 +221,11 @@ RULES = [
     ("place", INTERCHANGE_TEXT, False, 1, "any"),
     ("place", IN_CITY, False, 1, "not work"),
 ]
+#: Letters that every match of a pattern holds: texts without them are not searched.
+NEEDED = {ON_FROM_TO: "TO", BETWEEN_AND_LOOSE: "BETWEEN", OVER_ON: "OVER", AT_ON: "ON", FROM_TO[0]: "TO", FROM_TO[1]: "TO", FROM_WORK: "F", FROM_END: "F",
+          BETWEEN_AND[0]: "BETWEEN", BETWEEN_AND[1]: "BETWEEN", A_TO_B: "TO", A_DASH_B: "-", PLACED_AT[1]: "UNDER", PLACED_AT[2]: "NEAR",
+          PLACED_AT[3]: "OVER", PLACED_AT[4]: "IN", OFFSET_TEXT[0]: "MI", OFFSET_TEXT[1]: "M", EXIT_TEXT: "EXIT", JUNCTION_TEXT: "JCT",
+          INTERCHANGE_TEXT: "INTERCHANGE", IN_CITY: "IN"}
 _TWO_ENDED = {ON_FROM_TO, BETWEEN_AND_LOOSE, *FROM_TO, *BETWEEN_AND, A_TO_B, A_DASH_B}
 
 
@@ -211,12 +234,14 @@ GROUPS = [RULES[:6], RULES[6:10], RULES[10:14], RULES[14:19], RULES[19:24], RULE
 
 
 def _candidates(texts: dict[str, Column], rules: list[tuple]) -> Column:
-    """Array of what every rule finds, in order: raw ends and how to accept them."""
+    """Array of what every rule finds, in order: raw ends, '' for none, and how to accept them."""
     found = []
     for source, pattern, clean, least, check in rules:
         text = texts[source]
-        second = _grab(text, pattern, 2) if pattern in _TWO_ENDED else F.lit(None).cast("string")
-        found.append(F.struct(_grab(text, pattern).alias("a"), second.alias("b"), F.lit(clean).alias("clean"),
+        if pattern in NEEDED:
+            text = F.when(text.contains(NEEDED[pattern]), text)
+        second = F.regexp_extract(text, pattern, 2) if pattern in _TWO_ENDED else F.lit(None).cast("string")
+        found.append(F.struct(F.regexp_extract(text, pattern, 1).alias("a"), second.alias("b"), F.lit(clean).alias("clean"),
                               F.lit(least).alias("least"), F.lit(check).alias("check")))
     return F.array(*found)
 
@@ -255,13 +280,14 @@ def parse_titles(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
         _grab(t, CODED_MILEPOST, 2).alias("a"), _grab(t, CODED_MILEPOST, 3).alias("b"),
         _grab(t, CODED_MILEPOST, 1).alias("area")))
     out = out.withColumns({"__mile": F.coalesce(mile_pair, mile_one), "__coded": coded})
-    work = F.when(starts_with_work(t), F.col("__n"))
-    texts = {"on": _grab(work, AFTER_ON), "work": work, "full": F.col("__n"), "place": F.col("__loc")}
+    out = out.withColumn("__work", F.when(starts_with_work(t), F.col("__n")))
+    out = out.withColumn("__on", _grab(F.col("__work"), AFTER_ON))
+    texts = {"on": F.col("__on"), "work": F.col("__work"), "full": F.col("__n"), "place": F.col("__loc")}
     none = F.array().cast("array<struct<a: string, b: string, least: int, check: string>>")
 
     def first_of(rules: list[tuple]) -> Column:
         """The first accepted find of some rules; the cleaning and the test stand here once and stop at it."""
-        found = F.filter(_candidates(texts, rules), lambda c: c["a"].isNotNull())
+        found = F.filter(_candidates(texts, rules), lambda c: c["a"] != "")
         return F.try_element_at(F.aggregate(found, none, lambda acc, c: F.when(F.size(acc) > 0, acc).otherwise(
             F.filter(F.transform(F.array(c), _cleaned), _accepted))), F.lit(1))
 
@@ -284,7 +310,7 @@ def parse_titles(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
         f"{prefix}milepost_start": F.coalesce(mile["a"], code["a"]).try_cast("double"),
         f"{prefix}milepost_end": F.when(mile.isNotNull(), mile["b"]).otherwise(code["b"]).try_cast("double"),
         f"{prefix}project_type": F.coalesce(project_type(F.trim(F.col(column))), F.lit(""))})
-    return out.drop("__t", "__n", "__loc", "__mile", "__coded", "__e", "__p")
+    return out.drop("__t", "__n", "__loc", "__work", "__on", "__mile", "__coded", "__e", "__p")
 
 
 def parse_with_fallback(df: DataFrame, description: str, title: str) -> DataFrame:

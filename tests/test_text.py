@@ -106,3 +106,36 @@ def test_designations(spark):
     assert got["Adams-Brown County Line"] == ("Brown", None) and got["Main Street"] == ("Main St", None)
     assert got["Interstate 70"][0] == "I- 70" and got["North Springfield City Limits"] == ("North Springfield", "north")
     assert got["Union Railroad"][0] == "Union RR"
+
+
+def test_work_words_by_letters_cut_what_the_list_cuts(spark):
+    words = titles.WORK_WORDS[3:-1]
+    for a, b in ((r"\w*", "S"), (r"\w+", "LAND"), (r"\s+", "  "), (r"\s", " "), (r"\.?", "."), (r"[\.,\s]", ",")):
+        words = words.replace(a, b)
+    made = [(p + w + q,) for w in words.split("|") for p in ("", "OAK RD; ", "X", "oak , ") for q in ("", " ", "\n", "\u0085", "ED", " X")]
+    plain = rf"(?i)\s*[,;]?\s*{titles.WORK_WORDS}\s*$"
+    got = spark.createDataFrame(made, "t string").select(
+        "t", F.regexp_replace("t", titles.WORK_END, "").alias("new"), F.regexp_replace("t", plain, "").alias("old")).collect()
+    assert all(r["new"] == r["old"] for r in got) and sum(r["new"] != r["t"] for r in got) > len(got) / 2
+
+
+def test_needed_letters_are_in_every_match(spark):
+    texts = ["FROM OAK RD TO ELM AVE, PE", "BETWEEN A ST AND B ST", "BETWEEN A ST & B ST", "OAK-ELM", "SIGNING OVER OAK RD ON I-5", "AT X ON IH 5", "UNDER OAK",
+             "NEAR OAK", "OVER OAK", "IN SPRING FIELD", "2.5 MI N OF US 36", "3 M N OF OAK", "EXIT 4", "JCT. US 5", "OAK INTERCHANGE", "FM OAK RD, PAVING", "FR. OAK"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern, needed in titles.NEEDED.items():
+        assert df.where(F.col("t").rlike(pattern) & ~F.col("t").contains(needed)).count() == 0
+        assert df.where(F.col("t").rlike(pattern)).count() > 0
+
+
+def test_pairs_of_one_number_are_spread_over_tasks(spark, tmp_path):
+    from roadledger.queries import REGISTRY
+    suppliers = [(2 * i, 3) for i in range(10)] + [(4, 3), (5, 3), (6, None), (None, 3)]
+    parts = [(i, "Brand#3", "PROMO") for i in range(40)] + [(1, "Brand#3", "PROMO"), (None, "Brand#3", "SMALL"), (7, None, "PROMO"), (8, "Brand#3", None), (9, "Brand#4", "PROMO")]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    out = REGISTRY["numbered_route_join"].run(spark, str(tmp_path))
+    kind = {s: "PROMO" if s is not None and s % 2 == 0 else "SMALL" for s, _ in suppliers}
+    want = [(s, b, p) for s, no in suppliers for p, b, t in parts if no is not None and b == f"Brand#{no}" and t == kind[s]]
+    assert rows(out) == sorted(want, key=repr)
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
