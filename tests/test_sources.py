@@ -109,3 +109,9 @@ def test_report_sheets(spark):
     assert rows(sheets.melt_blocks(df, layout), "year", "agency", "amount") == [(1999, "state", 1000.0), (1999, "state", 2500.0)]
     assert sheets.slice_rows(df, 1, 4, drop=2).count() == 2
     assert rows(tables.union_by_name([spark.range(1).toDF("id"), spark.range(1).withColumn("b", F.lit(2))])) == sorted([(0, None), (0, 2)], key=repr)
+
+
+def test_a_filter_on_records_does_not_parse_them_twice(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(XML)
+    plan = flat(spark, tmp_path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(") == 1
