@@ -154,6 +154,27 @@ def numbered_routes(requests: DataFrame, network: DataFrame, block: list[str], n
         roads, [*block, "__kind", "__no"]).drop("__kind", "__no")
 
 
+#: Parts that the rows of one key are dealt into by ``dealt_join``.
+DEALT = 64
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
+    """All pairs of rows with equal keys, for few keys that hold many rows of both sides.
+
+    The result of one key is far larger than its rows, so tasks are not left to follow the sizes of the inputs: the right
+    rows of a key are dealt into parts by their hash, each meets all left rows of the key, and the parts are
+    spread over all tasks whichever way the rows are then joined. Key columns keep the left names.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [f"__key{i}" for i in range(len(on))]
+    part = F.pmod(F.xxhash64(*right.columns), F.lit(DEALT)).cast("int")
+    rows = right.select(*[F.col(r).alias(k) for k, (_, r) in zip(keys, on)], part.alias("__part"),
+                        *[c for c in right.columns if c not in {r for _, r in on}])
+    copies = left.select("*", *[F.col(c).alias(k) for k, (c, _) in zip(keys, on)], F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("__part"))
+    met = [*keys, "__part"]
+    return copies.repartition(tasks, *met).join(rows.repartition(tasks, *met), met).drop(*met)
+
+
 def nearest_name(left: DataFrame, right: DataFrame, block: list[str], left_name: str,
                  right_name: str, max_distance: float = 0.1) -> DataFrame:
     """Best name on the right for each distinct name on the left, by Jaro distance.

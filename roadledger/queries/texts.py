@@ -175,7 +175,7 @@ def numbered_route_join(spark: SparkSession, sf: str) -> DataFrame:
     p = read(spark, sf, "part").select("p_brand", "p_partkey", F.col("p_type").alias("road_kind"))
     parts = p.select(F.struct("p_brand", "p_partkey").alias("road"), "p_brand", "road_kind")
     hits = joins.numbered_routes(s.withColumn("one", F.lit(1)), parts.withColumn("one", F.lit(1)).drop("road").distinct(), ["one"], "no", "p_brand", "road_kind", "kind")
-    return hits.join(p, (hits["p_brand"] == p["p_brand"]) & (hits["kind"] == p["road_kind"])).select("s_suppkey", hits["p_brand"], "p_partkey")
+    return joins.dealt_join(hits, p, [("p_brand", "p_brand"), ("kind", "road_kind")]).select("s_suppkey", "p_brand", "p_partkey")
 
 
 @query("""
