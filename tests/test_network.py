@@ -220,3 +220,16 @@ def test_incremental_enrichment(spark, tmp_path):
         spark.createDataFrame([(k,) for k in part], "k long").coalesce(1).write.mode("append").parquet(src)
         incremental.run_incremental(spark.readStream.schema("k long").parquet(src), res, chk, ["k"], provider, "k long, result long")
     assert rows(spark.read.parquet(res), "k", "result") == [(1, 10), (2, 20), (3, 30)]
+
+
+def test_components_work_out_the_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    edges = spark.range(40).select(counted("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.component for r in nw.components(edges).collect()} == {0}
+    assert seen.value == 40
