@@ -349,20 +349,29 @@ def crop_routes(parts: DataFrame, endpoints: DataFrame, project: str, part: str,
     return both, cut_lines(parts, cuts, keys, cut_id)
 
 
-def crop_summary(cropped: DataFrame, all_parts: DataFrame, project: str, part: str, ranges: DataFrame | None = None) -> DataFrame:
+def crop_summary(cropped: DataFrame, all_parts: DataFrame, project: str, part: str, ranges: DataFrame | None = None,
+                 vertices: DataFrame | None = None) -> DataFrame:
     """Per project: parts, kept parts, cropped length, length per carriageway and distance of the nearest part.
 
-    ``ranges``, from ``endpoint_ranges``, gives the distance for projects with no part in reach as well.
+    ``ranges``, from ``endpoint_ranges``, gives the distance for projects with no part in reach as well. With the cropped
+    ``vertices`` the length is that of the cut lines, and their number is a further column.
     """
     n_all = all_parts.select(project, part).distinct().groupBy(project).agg(F.count(F.lit(1)).alias("n_parts_all"))
-    length = (F.col("crop_to") - F.col("crop_from")) * F.col("length")
+    length, counted = (F.col("crop_to") - F.col("crop_from")) * F.col("length"), []
+    if vertices is not None:
+        keys = [project, part]
+        n = vertices.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_vertices"))
+        cut = vertex_lengths(vertices, keys).withColumnRenamed("length", "__cut").join(n, keys)
+        cropped = cropped.join(cut, keys, "left")
+        length, counted = F.col("__cut"), [F.sum("n_vertices").alias("n_vertices")]
     best = F.min_by(F.struct("crop_from", "crop_to", "src_a", "src_b"), F.col(part))
-    kept = cropped.groupBy(project).agg(F.count(F.lit(1)).alias("n_parts_kept"), F.sum(length).alias("len_crop_m"), best.alias("b"))
+    kept = cropped.groupBy(project).agg(F.count(F.lit(1)).alias("n_parts_kept"), F.sum(length).alias("len_crop_m"), best.alias("b"), *counted)
     reach = (cropped if ranges is None else ranges).groupBy(project).agg(F.min(F.greatest("dist_a", "dist_b")).alias("part_dist_m"))
     out = n_all.join(kept, project, "left").join(reach, project, "left")
     n = F.coalesce("n_parts_kept", F.lit(0))
     return out.select(project, "n_parts_all", n.alias("n_parts_kept"), "len_crop_m", "part_dist_m",
-                      (F.col("len_crop_m") / F.greatest(n, F.lit(1))).alias("len_corr_m"), "b.*")
+                      (F.col("len_crop_m") / F.greatest(n, F.lit(1))).alias("len_corr_m"), "b.*",
+                      *[F.coalesce("n_vertices", F.lit(0)).alias("n_vertices") for _ in counted])
 
 
 def crop_quality(summary: DataFrame) -> DataFrame:

@@ -262,13 +262,14 @@ def border_within(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def crop_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's path cut between the signups and the purchases: kept parts, cut lines and their vertices."""
     s = path_segments(spark, sf).withColumn("part", F.lit(0))
     v = path(spark, sf)
     ends = v.where(F.col("event_type").isin("signup", "purchase")).select(
         "user_id", F.when(F.col("event_type") == "signup", "a").otherwise("b").alias("endpoint"), F.col("seq").alias("vid"), "x", "y")
     ranges = cut_lineage(ln.endpoint_ranges(s, ends, "user_id", "part"))
-    cropped, _ = ln.crop_routes(s, ends, "user_id", "part", rule="mid", ranges=ranges)
-    return ln.crop_summary(cropped, s, "user_id", "part", ranges).drop("crop_from", "crop_to")
+    cropped, vertices = ln.crop_routes(s, ends, "user_id", "part", rule="mid", ranges=ranges)
+    return ln.crop_summary(cropped, s, "user_id", "part", ranges, vertices).drop("crop_from", "crop_to")
 
 
 @query("""

@@ -26,6 +26,17 @@ def test_orders_are_cut_on_the_route_that_the_spot_belongs_to(spark, tmp_path):
     assert got == {0: (10.0, 55.0), 150: (20.0, 110.0)}
 
 
+def test_crop_routes_cuts_the_vertices(spark, tmp_path):
+    """The line runs along y = 10 from x = 0 to 100 in steps of 10; user 1 has no purchase, so nothing of its route is kept."""
+    at = F.timestamp_seconds(F.lit(28401120 * 60) + F.col("id") * 600)
+    kind = F.when(F.col("id") == 2, "signup").when((F.col("id") == 7) & (F.col("user_id") == 0), "purchase").otherwise("view")
+    users = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("user_id")
+    spark.range(11).select("id", users).select((F.col("id") + 100 * F.col("user_id")).alias("event_id"), at.alias("ts"), "user_id",
+                                               kind.alias("event_type"), F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    out = REGISTRY["crop_routes"].run(spark, str(tmp_path))
+    assert rows(out, "user_id", "n_parts_kept", "len_crop_m", "n_vertices") == [(0, 1, 50.0, 6), (1, 0, None, 0)]
+
+
 def test_wide_windows_list_an_opening_twice_at_most_and_are_not_broadcast(spark, tmp_path):
     opened = spark.createDataFrame([(1, y) for y in range(-3, 4)] + [(None, 0), (2, None)], "k int, open int")
     records = spark.createDataFrame([(1, y) for y in range(-9, 10)] + [(None, 0), (2, None)], "k int, yr int")
