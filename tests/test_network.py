@@ -1,5 +1,6 @@
 import math
 import random
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from roadledger.operators import joins, linear as ln, network as nw, panels as pn, places as pl, regression as rg
 from roadledger.operators import sampling as sm
 from roadledger.operators.names import jaro_batch
+from roadledger.session import shared_folder
 from roadledger.streaming import incremental
 from tests.conftest import rows
 
@@ -233,3 +235,25 @@ def test_components_work_out_the_edges_once(spark):
     edges = spark.range(40).select(counted("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in nw.components(edges).collect()} == {0}
     assert seen.value == 40
+
+
+def test_edges_side_by_side_are_near_once(spark):
+    """Twenty edges between the same nodes: a route keeps the shortest near one, ties to the least id, but not its own."""
+    matched, _ = _edges(spark, [("r", 1, (0, 0), (100, 0)), ("r", 2, (150, 0), (300, 0)), ("s", 3, (0, 0), (100, 0)), ("s", 11, (100, 0), (150, 0))])
+    beside = [("", 11 + i, (100, 0), (150, 0)) for i in range(20)]
+    fill, segs = _edges(spark, beside)
+    assert rows(nw.stitch(matched, fill, segs, "k", snap=1.0, max_metres=200.0, buffer=200.0)) == [("r", 11)]
+    points = spark.createDataFrame([("r", 100.0, 0.0), ("r", 150.0, 0.0), ("s", 100.0, 0.0)], "k string, px double, py double")
+    listed = segs.join(fill.select("eid", "a", "b", "len"), "eid").withColumn("len", F.when(F.col("eid") % 2 == 0, F.col("len")).otherwise(F.col("len") + 1))
+    near = nw.edges_near_points(points, listed, ["k"], ["eid"], 200.0, None, (["a", "b"], "len"), ~((F.col("k") == "s") & (F.col("eid") == 12)))
+    assert rows(near) == [("r", 12), ("s", 14)]
+
+
+def test_paths_and_components_keep_no_earlier_round(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = {f.name for f in folder.iterdir()}
+    edges, _ = _edges(spark, [("r", i, (10 * i, 0), (10 * i + 10, 0)) for i in range(12)])
+    assert nw.components(edges).select("component").distinct().count() == 1
+    paths = nw.bounded_paths(edges, spark.createDataFrame([("r", "0:0")], "k string, node string"), "k", 65.0)
+    assert sorted(r["dist"] for r in paths.collect()) == [10.0 * i for i in range(7)]
+    assert sorted(f.name.split("-")[0] for f in folder.iterdir() if f.name not in before) == ["edges", "edges", "paths"]
